@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from struct import pack
@@ -139,15 +140,17 @@ class Codec:
         slot = self.mph.find(piece)
         return [self.slot_rank[slot]] if slot >= 0 else self.merge(piece)
 
-    def _learn(self, key: str, segment: str) -> None:
-        known, out = self.pieces, b""
-        for piece in self.pattern.findall(segment):
-            ids = known.get(piece)
-            if ids is None:
-                raw = self.encode_piece(piece.encode("utf-8", "replace"))
-                ids = known[piece] = pack(f"<{len(raw)}I", *raw)
-            out += ids
-        self.memo[key] = out
+    def _learn(self, keys: list[str], segments: list[str]) -> None:
+        known = self.pieces
+        for key, segment in zip(keys, segments, strict=True):
+            out = b""
+            for piece in self.pattern.findall(segment):
+                ids = known.get(piece)
+                if ids is None:
+                    raw = self.encode_piece(piece.encode("utf-8", "replace"))
+                    ids = known[piece] = pack(f"<{len(raw)}I", *raw)
+                out += ids
+            self.memo[key] = out
         if len(known) > self.MEMO:
             known.clear()
 
@@ -163,29 +166,32 @@ class Codec:
         return " ".join(map(self.decimal.__getitem__, ids.tolist())).encode()
 
 
-def join_segments(text: str, memo: dict[str, bytes], most: int, learn) -> bytes:
-    """Joined ids of the segments of ``text``, each from ``memo`` or learned.
+def join_segments(text: str, memo: dict[str, bytes], most: int, learn: Callable[[list[str], list[str]], None]) -> bytes:
+    """Joined ids of the segments of ``text``, from ``memo`` or by
+    ``learn(keys, segments)``, which adds what is missing.
 
     A segment begins before a space that follows a non-space. The split
     pattern of byte-level vocabularies lets a pre-token hold a space only as
     its first character or among white space alone, so each such place is a
     boundary of pre-tokens and what is left of it has no bearing on what is
     right of it. ``memo`` has segments without their leading space; the first
-    segment of a text, which has none, is kept under "\\0" + segment.
+    segment of a text, which has none, is kept under "\0" + segment.
     """
     if not text:
         return b""
     parts = text.split(" ")
     if _SPACE_RUN.search(text):
         parts = _with_runs(parts)
-    head = "\0" + parts[0]
+    head, rest = "\0" + parts[0], parts[1:]
     if len(memo) > most:
         memo.clear()
+    keys = list(set(rest).difference(memo))
+    segments = [" " + k for k in keys]
     if head not in memo:
-        learn(head, parts[0])
-    rest = parts[1:]
-    for part in set(rest).difference(memo):
-        learn(part, " " + part)
+        keys.append(head)
+        segments.append(parts[0])
+    if keys:
+        learn(keys, segments)
     return memo[head] + b"".join([memo[p] for p in rest])
 
 

@@ -37,3 +37,41 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2
     )
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm import decontaminate
+
+    return decontaminate.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL["op3_decontaminate"] = f"""
+WITH item AS (
+  SELECT item_id, {_WORDS.format(text="text")} AS w FROM benchmark WHERE text IS NOT NULL
+), gram AS (
+  SELECT DISTINCT item_id, least(8, len(w)) AS n,
+         array_to_string(w[i : i + least(8, len(w)) - 1], ' ') AS g
+  FROM item, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS r(i) WHERE len(w) > 0
+), doc AS (
+  SELECT doc_id, coalesce({_WORDS.format(text="text")}, []) AS w FROM documents
+), size AS (SELECT DISTINCT n FROM gram
+), win AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM doc, size, unnest(range(1, len(w) - n + 2)) AS r(i) WHERE len(w) >= n
+), hit AS (
+  SELECT doc_id, item_id, i, win.n FROM win JOIN gram USING (n, g)
+), word AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT DISTINCT doc_id, i, n FROM hit), unnest(range(i, i + n)) AS r(p) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_items, 0) >= 2 AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

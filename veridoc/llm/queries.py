@@ -75,3 +75,10 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0) >= 2 AS contaminated
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+@query
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm import sketch
+
+    return sketch.against_next(read_table(spark, sf_dir, "documents"))

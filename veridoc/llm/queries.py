@@ -82,3 +82,32 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.llm import sketch
 
     return sketch.against_next(read_table(spark, sf_dir, "documents"))
+
+
+#: The rules of the query.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm import urls
+
+    return urls.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+# The rules alone: the tables' pages have neither canonical links nor
+# redirects; those are tested against a brute-force version.
+ORACLE_SQL["op9_url_filter"] = """
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), rule(v, h, s) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), fit AS (
+  SELECT page_id, arg_max(h || s, length(h || s)) AS rule, arg_max(v, length(h || s)) AS v
+  FROM p JOIN rule ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN fit USING (page_id)
+"""

@@ -111,3 +111,30 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN fit USING (page_id)
 """
+
+
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm import jaccard
+
+    return jaccard.join(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+ORACLE_SQL["op6_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + least(4, len(w)) - 1], ' ')) AS s
+  FROM w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS r(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), k AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM k JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)
+), b AS (SELECT x AS u, y AS v FROM e UNION ALL SELECT y, x FROM e
+), reach AS (
+  SELECT doc_id AS a, doc_id AS z FROM documents UNION SELECT a, v FROM reach JOIN b ON z = u
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(z) FROM reach WHERE a = w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id)
+"""

@@ -104,7 +104,7 @@ class Codec:
                 if (a := get(key[:i])) is not None and (b := get(key[i:])) is not None:
                     self.pairs[a << 32 | b] = rank
         self.decimal = [str(i) for i in range(len(self.token))]
-        self.memo: dict[str, bytes] = {}
+        self.segments = Segments(self._learn, self.MEMO)
         self.pieces: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -140,23 +140,22 @@ class Codec:
         slot = self.mph.find(piece)
         return [self.slot_rank[slot]] if slot >= 0 else self.merge(piece)
 
-    def _learn(self, keys: list[str], segments: list[str]) -> None:
+    def _learn(self, segment: str) -> bytes:
         known = self.pieces
-        for key, segment in zip(keys, segments, strict=True):
-            out = b""
-            for piece in self.pattern.findall(segment):
-                ids = known.get(piece)
-                if ids is None:
-                    raw = self.encode_piece(piece.encode("utf-8", "replace"))
-                    ids = known[piece] = pack(f"<{len(raw)}I", *raw)
-                out += ids
-            self.memo[key] = out
+        out = b""
+        for piece in self.pattern.findall(segment):
+            ids = known.get(piece)
+            if ids is None:
+                raw = self.encode_piece(piece.encode("utf-8", "replace"))
+                ids = known[piece] = pack(f"<{len(raw)}I", *raw)
+            out += ids
         if len(known) > self.MEMO:
             known.clear()
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as unsigned 32-bit integers."""
-        return np.frombuffer(join_segments(text, self.memo, self.MEMO, self._learn), "<u4")
+        return np.frombuffer(self.segments.encode(text), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
@@ -166,33 +165,35 @@ class Codec:
         return " ".join(map(self.decimal.__getitem__, ids.tolist())).encode()
 
 
-def join_segments(text: str, memo: dict[str, bytes], most: int, learn: Callable[[list[str], list[str]], None]) -> bytes:
-    """Joined ids of the segments of ``text``, from ``memo`` or by
-    ``learn(keys, segments)``, which adds what is missing.
+class Segments(dict):
+    """Joined ids of texts from a bounded memo of their segments.
 
     A segment begins before a space that follows a non-space. The split
     pattern of byte-level vocabularies lets a pre-token hold a space only as
     its first character or among white space alone, so each such place is a
     boundary of pre-tokens and what is left of it has no bearing on what is
-    right of it. ``memo`` has segments without their leading space; the first
-    segment of a text, which has none, is kept under "\0" + segment.
+    right of it. Keys are segments without their leading space; ``learn``
+    gives the packed ids of a segment on its first use.
     """
-    if not text:
-        return b""
-    parts = text.split(" ")
-    if _SPACE_RUN.search(text):
-        parts = _with_runs(parts)
-    head, rest = "\0" + parts[0], parts[1:]
-    if len(memo) > most:
-        memo.clear()
-    keys = list(set(rest).difference(memo))
-    segments = [" " + k for k in keys]
-    if head not in memo:
-        keys.append(head)
-        segments.append(parts[0])
-    if keys:
-        learn(keys, segments)
-    return memo[head] + b"".join([memo[p] for p in rest])
+
+    def __init__(self, learn: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.learn, self.most = learn, most
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.learn(" " + part)
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        parts = text.split(" ")
+        if _SPACE_RUN.search(text):
+            parts = _with_runs(parts)
+        if len(self) > self.most:
+            self.clear()
+        head = self.learn(parts[0]) if parts[0] else b""
+        return head + b"".join(map(self.__getitem__, parts[1:]))
 
 
 #: White space before a space; a superset of the split pattern's is harmless.

@@ -35,7 +35,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.llm import tokenfile
 
     return tokenfile.round_trip(
-        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2
     )
 
 

@@ -29,17 +29,19 @@ import atexit
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm.bpe import join_segments
+from veridoc.llm.bpe import Segments
 from veridoc.llm.common import _remove, arrow_schema, narrow, shared_dir, texts
 
 SEQ_LEN = 2048
@@ -48,32 +50,68 @@ BATCH = 128
 
 
 class LibraryEncoder:
-    """Whole-text ids by the tokenizers library, which encodes each segment
-    (see ``join_segments``) that is not in a bounded memo."""
+    """Whole-text ids by the tokenizers library.
+
+    ``pattern`` is the split pattern of the tokenizer file, so that the
+    library's model encodes each pre-token as it would in its text. It is
+    given those that are not in a bounded memo. A file whose steps before the
+    model are not plain byte-level ones is left to the library text by text.
+    """
 
     MEMO = 600_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.memo: dict[str, bytes] = {}
+        before = self.tokenizer.pre_tokenizer
+        self.plain = self.tokenizer.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel) and not before.add_prefix_space
+        self.tokenize = self.tokenizer.model.tokenize
+        self.split = regex.compile(pattern).findall
+        letters = [x for x, _ in (before.pre_tokenize_str(chr(b))[0] for b in range(128))] if self.plain else []
+        # Bytes from 128 up stand for themselves or for letters after U+00FF,
+        # in the order of the bytes that have no visible character.
+        self.letter = dict(enumerate(letters)) | self._high_letters(letters)
+        self.pieces: dict[str, bytes] = {}
+        self.segments = Segments(self._learn, self.MEMO)
+
+    @staticmethod
+    def _high_letters(low: list[str]) -> dict[int, str]:
+        after = max((ord(x) for x in low), default=0xFF) + 1
+        out = {}
+        for b in range(128, 256):
+            if 0xA1 <= b != 0xAD:
+                out[b] = chr(b)
+            else:
+                out[b], after = chr(after), after + 1
+        return out
 
-    def _learn(self, keys: list[str], segments: list[str]) -> None:
-        for key, x in zip(keys, self.tokenizer.encode_batch_fast(segments, add_special_tokens=False), strict=True):
-            self.memo[key] = np.array(x.ids, "<u4").tobytes()
+    def _learn(self, segment: str) -> bytes:
+        known = self.pieces
+        out = b""
+        for piece in self.split(segment):
+            ids = known.get(piece)
+            if ids is None:
+                byte_text = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letter)
+                ids = known[piece] = array("I", [t.id for t in self.tokenize(byte_text)]).tobytes()
+            out += ids
+        if len(known) > self.MEMO:
+            known.clear()
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return join_segments(text, self.memo, self.MEMO, self._learn)
+        if not self.plain:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.segments.encode(text)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def encoder(path: str, pattern: str) -> LibraryEncoder:
+    return LibraryEncoder(path, pattern)
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -144,7 +182,7 @@ class PartWriter:
             self.fs.move(f"{self.path}.{self.trial}{end}", self.path + end)
 
 
-def write(df: DataFrame, tokenizer_path: str, out: str, *, end_id: int, key: str = "doc_id", text: str = "text", parts: int | None = None, seq_len: int = SEQ_LEN, batch: int = BATCH) -> DataFrame:
+def write(df: DataFrame, tokenizer_path: str, pattern: str, out: str, *, end_id: int, key: str = "doc_id", text: str = "text", parts: int | None = None, seq_len: int = SEQ_LEN, batch: int = BATCH) -> DataFrame:
     """Writes the files of ``df`` below ``out`` and returns their manifest:
     (part, path, n_docs, n_tokens, start), one row a file, where start counts
     the ids of all parts before."""
@@ -162,7 +200,7 @@ def write(df: DataFrame, tokenizer_path: str, out: str, *, end_id: int, key: str
         for rb in batches:
             if not rb.num_rows:
                 continue
-            enc = encoder(tokenizer_path)
+            enc = encoder(tokenizer_path, pattern)
             kind = pa.uint16() if max(enc.vocab_size, end_id + 1) <= 1 << 16 else pa.uint32()
             if writer is None:
                 writer = PartWriter(f"{out}/part-{part:05d}", kind, key_type, seq_len, batch)
@@ -240,10 +278,10 @@ class _Flow:
         return out
 
 
-def round_trip(df: DataFrame, tokenizer_path: str, *, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, tokenizer_path: str, pattern: str, *, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the files of ``df`` to the shared folder and reads them back."""
     spark: SparkSession = df.sparkSession
     out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    manifest = write(df, tokenizer_path, out, end_id=end_id, key=key, text=text)
+    manifest = write(df, tokenizer_path, pattern, out, end_id=end_id, key=key, text=text)
     atexit.register(_remove, spark, out)
     return read_documents(manifest, df.schema[key].dataType.simpleString(), key)

@@ -138,3 +138,10 @@ WITH RECURSIVE w AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(z) FROM reach WHERE a = w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id)
 """
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm import substring
+
+    return substring.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))

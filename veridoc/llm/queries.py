@@ -145,3 +145,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.llm import substring
 
     return substring.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm import toxicity
+
+    documents = read_table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, read_table(spark, sf_dir, "labels")))

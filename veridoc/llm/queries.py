@@ -153,3 +153,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = read_table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.train(documents, read_table(spark, sf_dir, "labels")))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm import warc
+
+    return warc.round_trip(read_table(spark, sf_dir, "pages"), least=0).drop("url")
+
+
+# Base 32 by hand: five bits of the digest at a time.
+ORACLE_SQL["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+         array_to_string(list_transform(string_split(sha1(html), ''), lambda h: bin(('0x' || h)::INT + 16)[2:]), '') AS bits FROM p
+), e AS (
+  SELECT page_id, payload_bytes,
+         array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[('0b' || bits[5 * i + 1 : 5 * i + 5])::INT + 1]), '') AS payload_digest FROM d
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM e
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""

@@ -78,8 +78,9 @@ class Rows:
         return np.bincount(self.col, g[self.row], width)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4, beta: float = 0.0, gamma: float = 1.0) -> Model:
-    """Full-batch Adam on the non-negative risk with the sigmoid loss."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 2e-5, beta: float = 0.0, gamma: float = 1.0) -> Model:
+    """Full-batch Adam on the non-negative risk with the logistic loss, whose
+    scores are probabilities."""
     size = 1 << BITS
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(np.zeros(size, np.float32), -60.0)
@@ -94,13 +95,13 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
-        sp, su = _sigmoid(p.dot(w) + b), _sigmoid(u.dot(w) + b)
-        # Sigmoid loss of z as positive is 1 - s, as negative s; ds/dz = s (1 - s).
-        dp, du = sp * (1 - sp) / p.n, su * (1 - su) / u.n
-        negative = su.mean() - prior * sp.mean()
-        gp_neg, gu_neg = -prior * dp, du
+        zp, zu = p.dot(w) + b, u.dot(w) + b
+        sp, su = _sigmoid(zp), _sigmoid(zu)
+        # Slopes of the losses log(1 + exp(-z)) as positive, log(1 + exp(z)) as negative.
+        gp_pos, gp_neg, gu_neg = prior * (sp - 1) / p.n, -prior * sp / p.n, su / u.n
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         if negative >= -beta:
-            gp, gu = -prior * dp + gp_neg, gu_neg
+            gp, gu = gp_pos + gp_neg, gu_neg
         else:
             gp, gu = -gamma * gp_neg, -gamma * gu_neg
         grad = np.append(p.back(gp, n) + u.back(gu, n) + decay * w, gp.sum() + gu.sum())

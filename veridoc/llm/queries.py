@@ -176,3 +176,10 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to FROM f
 """
+
+
+@query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm import html
+
+    return html.extract(read_table(spark, sf_dir, "pages"))

@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from veridoc.llm.common import Words, arrow_schema, cut, mix64, narrow, space_words, written
 from veridoc.llm.components import components
 
-#: Shingles in the broadcast that orders them: 8 bytes each, 16 MB at most.
-HOT = 2_000_000
+#: Shingles in the broadcast that orders them: 8 bytes each, 8 MB at most.
+HOT = 1_000_000
 #: Shingles seen less often count as rare.
 MIN_DF = 3
 #: Most nodes of a group, and most queries that one task opens a group for.
@@ -149,9 +149,18 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             break
         least = row.df
     if least is None:
-        return np.empty(0, np.uint32), np.empty(0, np.int64)
-    hot = counts.filter(F.col("df") >= least).toPandas().sort_values("high")
-    return hot["high"].to_numpy().astype(np.uint32), hot["df"].to_numpy()
+        return np.empty(0, np.uint32), np.empty(0, np.uint32)
+    shape = arrow_schema(spark, "high binary, df binary")
+
+    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            high, df = rb.column(0).to_numpy().astype(np.uint32), rb.column(1).to_numpy().astype(np.uint32)
+            yield pa.RecordBatch.from_pydict({"high": [high.tobytes()], "df": [df.tobytes()]}, schema=shape)
+
+    rows = counts.filter(F.col("df") >= least).mapInArrow(bytes_of, "high binary, df binary").collect()
+    high = np.frombuffer(b"".join(bytes(r.high) for r in rows), np.uint32)
+    order = np.argsort(high)
+    return high[order], np.frombuffer(b"".join(bytes(r.df) for r in rows), np.uint32)[order]
 
 
 def _deal(packed: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def run(rb: pa.RecordBatch) -> dict:
         return {"label": rb.column(0), "words": [features(x).astype(np.uint32).tobytes() for x in rb.column(1).to_pylist()]}
 
-    got = map_batches(texts, run, ddl).toPandas()
+    got = map_batches(texts, run, ddl).toArrow().to_pandas()
     all_ = [np.frombuffer(x, np.uint32).astype(np.int64) for x in got["words"]]
     toxic = got["label"].to_numpy(dtype=np.int64) == 1
     return fit([x for x, t in zip(all_, toxic, strict=True) if t], all_, float(toxic.mean()) if len(toxic) else 0.0)

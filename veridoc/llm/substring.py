@@ -4,9 +4,11 @@ A gear rolling hash over the bytes of a text places chunk boundaries: it
 covers the last 16 bytes, so boundaries inside a repeated passage fall in the
 same places whatever stands before it, and an insertion only moves the chunks
 that it touches. Boundaries fall between words (or, in scripts without
-spaces, between characters). Chunks are known by a 64-bit digest; all
-occurrences but the first, in order of (document, place), are repeats. Runs of
-repeated chunks of at least ``min_run`` bytes are removed.
+spaces, between characters). A chunk is known by the 64-bit digest of itself
+and the chunk before it, so that a few common words do not count as repeated;
+all occurrences but the first, in order of (document, place), are repeats, and
+repeat both chunks. Runs of repeated chunks of at least ``min_run`` bytes are
+removed.
 
 Only one row for each distinct digest of a task's batch is shuffled, packed by
 digest range; other occurrences in the batch are repeats whatever stands
@@ -30,19 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import arrow_schema, cut, narrow
+from veridoc.llm.common import arrow_schema, mix64, narrow
 from veridoc.llm.jaccard import _by_bucket, _deal, _range_bits
 
-#: Chance of a boundary at a place between words: chunks of about 5 words.
-ODDS = 5
+#: One in so many places between words is a boundary: chunks of some 4 words.
+ODDS = 3
 #: Chunks are at least and at most so many bytes (the last may be shorter).
-LEAST, MOST = 12, 512
+LEAST, MOST = 10, 512
 #: Bytes of a run of repeated chunks that is removed: some 17 English words.
 MIN_RUN = 100
 #: Bytes of text that a task gathers before it packs their chunks.
 PACK = 24_000_000
-#: Rows of repeats per document that may be a broadcast.
-BROADCAST_ROWS = 200_000
 
 _GEAR = np.random.RandomState(20240602).randint(0, 1 << 16, 256).astype(np.uint16)
 
@@ -103,13 +103,17 @@ def _character(raw: np.ndarray, i: int) -> int:
 
 
 def digests(data: bytes, ends: list[int]) -> np.ndarray:
-    """Digest of each chunk without the white space around it, so that a
-    passage is the same at the start of a text and after a space."""
+    """Digest of each chunk and the one before it, without the white space
+    around them, so that a passage is the same after any kind of space. The
+    first chunk has the start of the text before it."""
     one, out, a = xxhash.xxh3_64_intdigest, [], 0
     for b in ends:
         out.append(one(data[a:b].strip()))
         a = b
-    return np.array(out, np.uint64)
+    own = np.array(out, np.uint64)
+    before = np.zeros_like(own)
+    before[1:] = own[:-1]
+    return mix64(own + mix64(before))
 
 
 def _bytes(text: str | None) -> bytes:
@@ -190,10 +194,11 @@ def _ordered(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def runs(ends: list[int], places: set[int], min_run: int) -> list[tuple[int, int]]:
-    """Byte spans of runs of repeated chunks that are long enough, or whole."""
+    """Byte spans of runs of repeated chunks that are long enough, or whole.
+    A place repeats its chunk and the one before it."""
     out, a, begun = [], 0, None
     for i, b in enumerate(ends):
-        if i in places:
+        if i in places or i + 1 in places:
             begun = a if begun is None else begun
         elif begun is not None:
             out.append((begun, a))
@@ -224,11 +229,10 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str =
     counts the code points that went."""
     spark = df.sparkSession
     docs = narrow(df, key, text).select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL")
-    found = cut(repeats(docs).groupBy("id", "mark").agg(F.flatten(F.collect_list("places")).alias("places")))
-    count = found.count()
+    found = repeats(docs).groupBy("id", "mark").agg(F.flatten(F.collect_list("places")).alias("places"))
     found = found.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("places").alias("__places"))
     mark = F.crc32(F.encode(F.col(f"`{text}`"), "utf-8"))
-    rows = df.join(F.broadcast(found) if count <= BROADCAST_ROWS else found, (F.col(f"`{key}`").cast("bigint") == F.col("__id")) & (mark == F.col("__mark")), "left").drop("__id", "__mark")
+    rows = df.join(found, (F.col(f"`{key}`").cast("bigint") == F.col("__id")) & (mark == F.col("__mark")), "left").drop("__id", "__mark")
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "n_removed bigint"])
     shape, at = arrow_schema(spark, ddl), df.columns.index(text)
     sized = df.columns.index(n_chars) if n_chars in df.columns else None

@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import Words, arrow_schema, cut, mix64, narrow, space_words, written
@@ -57,6 +57,8 @@ GROUP, QUERIES = 256, 2048
 PACK = 2_000_000
 #: Rows of a route or id table that may be a broadcast: some 50 bytes each.
 BROADCAST_ROWS = 500_000
+#: Keys alone that may be a broadcast: 16 MB.
+BROADCAST_KEYS = 2_000_000
 
 
 def needed(n, percent: int):
@@ -440,3 +442,26 @@ def join(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
     whole = rows.select("id", "n", "digest").join(reps, "digest", "left").join(roots, "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("id"))
     return whole.select(F.col("id").cast(df.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), component.cast(df.schema[key].dataType).alias("component_id"))
+
+
+def keep_one(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``df``, all columns kept: of each group of linked documents the
+    one with the smallest key stays; of several rows with one key, the one
+    whose text comes first. Documents that link with nothing, and rows without
+    a key, stay.
+
+    Only keys that go are joined, as a broadcast while they are few, so texts
+    are not shuffled for it."""
+    found = cut(join(df, words, percent, key, text).select(key, "component_id"))
+    gone = found.filter(F.col(f"`{key}`") != F.col("component_id")).select(key).distinct()
+    kept = df.join(_few(gone), key, "left_anti")
+    again = cut(found.filter(F.col(f"`{key}`").isNotNull()).groupBy(key).count().filter("count > 1").select(key))
+    if again.isEmpty():
+        return kept.select(*df.columns)
+    first = Window.partitionBy(key).orderBy(text)
+    one = kept.join(_few(again), key, "left_semi").withColumn("__row", F.row_number().over(first)).filter("__row = 1")
+    return kept.join(_few(again), key, "left_anti").select(*df.columns).union(one.select(*df.columns))
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys

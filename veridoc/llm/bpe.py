@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from struct import pack
@@ -29,7 +29,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from veridoc.llm.common import map_batches, narrow, texts
+from veridoc.llm.common import arrow_schema, map_batches, narrow, texts
 
 
 class MinimalPerfectHash:
@@ -260,3 +260,24 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id"
 
     return map_batches(narrow(df, key, text), run, f"`{key}` {kind}, {DIGESTS}")
 
+
+def encoded(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``round_trip``, with the ids themselves as ``ids array<int>``."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(ranks_path, pattern)
+        for rb in batches:
+            for at in range(0, rb.num_rows, 1024):
+                piece = rb.slice(at, 1024)
+                ids = [c.encode(x) for x in texts(piece.column(1))]
+                back = [hashlib.sha256(c.decode(i)).hexdigest() for i in ids]
+                sizes = np.array([len(i) for i in ids], np.int64)
+                flat = pa.array(np.concatenate(ids).astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), flat)
+                sums = [hashlib.sha256(c.decimals(i)).hexdigest() for i in ids]
+                yield pa.RecordBatch.from_arrays([piece.column(0), lists.cast(shape.field(1).type), pa.array(sizes), pa.array(sums), pa.array(back)], schema=shape)
+
+    ddl = f"`{key}` {kind}, ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    shape = arrow_schema(df.sparkSession, ddl)
+    return narrow(df, key, text).mapInArrow(run, ddl)

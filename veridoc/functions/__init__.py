@@ -1,0 +1 @@
+"""Column-level functions: values, JSON Schema keywords, formats, key paths."""

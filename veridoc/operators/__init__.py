@@ -1,0 +1 @@
+"""DataFrame operators: validation, keys, references, reports."""

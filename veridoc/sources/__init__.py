@@ -1,0 +1 @@
+"""Sources: document files, inline documents, key providers."""

@@ -11,8 +11,10 @@ equal sets collapse into one node first.
 2. *Signatures.* For each document: set size, a digest of the set, a min-hash
    and its probe prefix, the rarest shingles of which any linked set must
    share one.
-3. *Groups.* Nodes of equal min-hash form a group; groups over ``GROUP`` nodes
-   are split evenly by digest.
+3. *Groups.* Nodes of equal min-hash form a group. Nodes whose probe prefix
+   reaches a common shingle, as the many near copies of one text do, are
+   grouped by that shingle instead. Groups over ``GROUP`` nodes are split
+   evenly by digest.
 4. *Matrix.* Postings of prefix shingles, again packed by hash range, give
    for each query the groups whose members share a prefix shingle and fit in
    size (the larger set queries the smaller one's group).
@@ -51,6 +53,8 @@ from veridoc.llm.components import components
 HOT = 1_000_000
 #: Shingles seen less often count as rare.
 MIN_DF = 3
+#: Shingles in so many documents are common.
+COMMON = 32
 #: Most nodes of a group, and most queries that one task opens a group for.
 GROUP, QUERIES = 256, 2048
 #: Shingles that a task gathers before it packs them.
@@ -202,24 +206,28 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if not len(s):
                     rows.append((0, None, None, None))
                     continue
-                prefix = _rarest(s, known, df, probe_length(len(s), percent))
-                rows.append((len(s), hashlib.md5(s.tobytes()).digest(), int(s[0].astype(np.int64)), prefix.tobytes()))
+                prefix, common = _rarest(s, known, df, probe_length(len(s), percent))
+                low = s[0] if common is None else common
+                rows.append((len(s), hashlib.md5(s.tobytes()).digest(), int(low.astype(np.int64)), prefix.tobytes()))
             cols = [piece.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(shape)[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(cols, schema=shape)
 
     return docs.mapInArrow(run, SIGNATURE)
 
 
-def _rarest(s: np.ndarray, known: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
-    """The first n of a sorted set by (count, hash)."""
+def _rarest(s: np.ndarray, known: np.ndarray, df: np.ndarray, n: int) -> tuple[np.ndarray, np.uint64 | None]:
+    """The first n of a sorted set by (count, hash), and the first of them
+    that is common, if there is one."""
     if len(known):
         high = (s >> np.uint64(32)).astype(np.uint32)
         at = np.searchsorted(known, high)
         at[at == len(known)] = 0
         count = np.where(known[at] == high, df[at], 0)
         if count.any():
-            return s[np.argsort(count, kind="stable")[:n]]
-    return s[:n]
+            order = np.argsort(count, kind="stable")[:n]
+            first = int(np.searchsorted(count[order], COMMON))
+            return s[order], s[order[first]] if first < len(order) else None
+    return s[:n], None
 
 
 def _grouped(nodes: DataFrame) -> DataFrame:
@@ -260,7 +268,7 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
         blobs = [pa.array([c[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()) for c in columns]
         return pa.RecordBatch.from_arrays([pa.array(bucket[at]), *blobs], schema=shape)
 
-    found = arrow_schema(spark, "node bigint, grp bigint")
+    found = arrow_schema(spark, "node bigint, grps array<bigint>")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_bucket(batches, 4):
@@ -284,11 +292,15 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
                 yield _distinct(out_node, out_group)
 
     def _distinct(a: list, b: list) -> pa.RecordBatch:
+        """One row a query, with the groups that it meets in this range."""
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=found)
+        at = np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(pairs)).astype(np.int32)), pa.array(pairs[:, 1]))
+        return pa.RecordBatch.from_arrays([pa.array(pairs[at, 0]), lists.cast(found.field(1).type)], schema=found)
 
     packed = nodes.select("node", "n", "prefix", "group").mapInArrow(pack, "bucket int, shingle binary, node binary, grp binary, n binary")
-    return _deal(packed).mapInArrow(meet, "node bigint, grp bigint").distinct()
+    met = _deal(packed).mapInArrow(meet, "node bigint, grps array<bigint>")
+    return met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("grps"))).alias("grps")).select("node", F.explode("grps").alias("grp"))
 
 
 def _run_pairs(node: np.ndarray, group: np.ndarray, signed: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

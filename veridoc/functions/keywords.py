@@ -109,7 +109,9 @@ class Compiler:
             return None
         at = lambda key: F.concat(path, F.lit("/"), key)
         if name == "properties":
-            return [self._if(v.get(k).exists & v.is_type("object"), self.errors(s, v.get(k), at(F.lit(k)), f"{where}/{k}", base)) for k, s in value.items()]
+            out = [self._if(v.get(k).exists & v.is_type("object"), self.errors(s, v.get(k), at(F.lit(k)), f"{where}/{k}", base)) for k, s in value.items()]
+            missing = [k for k, s in value.items() if self.draft == 3 and isinstance(s, dict) and s.get("required") is True]
+            return out + [self._when(v.get(k).exists | ~v.is_type("object"), name, where, path) for k in missing]
         if name == "$ref":
             return self._inside(value, base, lambda s, b: [self.errors(s, v, path, where, b)])
         if name == "allOf" or name == "extends":

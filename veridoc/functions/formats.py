@@ -90,7 +90,7 @@ class Formats:
         if name not in PATTERNS:
             return F.lit(True)
         ok = x.rlike(f"^(?:{PATTERNS[name]})\\z")
-        return ok & F.try_to_date(F.substring(x, 1, 10), "yyyy-MM-dd").isNotNull() if name in _DATED else ok
+        return F.when(ok, F.try_to_date(F.substring(x, 1, 10), "yyyy-MM-dd").isNotNull()).otherwise(ok) if name in _DATED else ok
 
     def python(self, name: str, x: str) -> bool:
         if name in self.custom:

@@ -8,13 +8,15 @@ results are DataFrames with the documents' own identifying columns.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridoc.extensions import Extension, keywords
 from veridoc.functions.evaluator import Evaluator, parse_json
 from veridoc.functions.formats import Formats
 from veridoc.functions.keywords import ERROR, Compiler, NotColumnar
@@ -46,9 +48,10 @@ class Validator:
     """``config``: ``primary_key`` has the providers of keys, see
     ``veridoc.sources.providers``."""
 
-    def __init__(self, schemas: SchemaSet, config: dict | None = None, formats: Formats | None = None, keywords: dict | None = None, types: dict | None = None):
+    def __init__(self, schemas: SchemaSet, config: dict | None = None, formats: Formats | None = None, extensions: list[Extension] | None = None, types: dict | None = None):
         self.schemas, self.config = schemas, config or {}
-        self.formats, self.keywords, self.types = formats or Formats(), keywords or {}, types or {}
+        self.extensions = extensions or []
+        self.formats, self.keywords, self.types = formats or Formats(), keywords(self.extensions), types or {}
         self.bound: dict[str, Bound] = {}
         self._greedy: dict[str, tuple] = {}
 
@@ -205,6 +208,37 @@ class Validator:
         return out
 
     def _target_keys(self, b: Bound, k: KeyDef) -> DataFrame:
+        """As ``_accepted_keys``, from the cache folder where there is one."""
+        folder = self.config.get("cacheDir")
+        if not folder:
+            return self._accepted_keys(b, k)
+        path = f"{folder.rstrip('/')}/{hashlib.sha1((b.schema.uri + k.id + b.schema.hash).encode()).hexdigest()}"
+        spark = b.df.sparkSession
+        if not self._path(spark, path)[1]:
+            self._accepted_keys(b, k).write.parquet(path)
+        return spark.read.parquet(path)
+
+    @staticmethod
+    def _path(spark: SparkSession, path: str):
+        """A Hadoop path, its file system, and whether a whole table is there."""
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        return fs, fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")), p
+
+    def warm_up(self) -> None:
+        """Fills the cache of accepted keys for all references."""
+        for b in self.bound.values():
+            for r in b.schema.refs:
+                for t, k in self.targets(r):
+                    self._target_keys(t, k)
+
+    def invalidate(self, spark: SparkSession) -> None:
+        """Removes the cache of accepted keys."""
+        if self.config.get("cacheDir"):
+            fs, _, p = self._path(spark, self.config["cacheDir"])
+            fs.delete(p, True)
+
+    def _accepted_keys(self, b: Bound, k: KeyDef) -> DataFrame:
         """Accepted keys of one declaration, as (key), or (key, doc) if scoped.
 
         If the schema's only enforced key is this one, the accepted keys are
@@ -281,6 +315,11 @@ class Validator:
             parts.append(self.duplicates(uri))
         if b.schema.refs:
             parts += [self.stale(uri), self.dangling(uri)]
+        for x in self.extensions:
+            if x.second_pass is not None:
+                extra = x.second_pass(self, uri)
+                missing = {c: F.lit(x.keyword if c == "keyword" else None).cast("string") for c in DETAIL if c not in extra.columns}
+                parts.append(extra.withColumns(missing))
         whole = [p if "path" in p.columns else p.withColumn("path", F.lit("")) for p in parts]
         return reduce(DataFrame.union, [p.select(*b.ids, *DETAIL) for p in whole])
 

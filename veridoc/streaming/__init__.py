@@ -1,0 +1 @@
+"""Validation of streams."""

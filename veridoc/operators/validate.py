@@ -54,6 +54,7 @@ class Validator:
         self.formats, self.keywords, self.types = formats or Formats(), keywords(self.extensions), types or {}
         self.bound: dict[str, Bound] = {}
         self._greedy: dict[str, tuple] = {}
+        self._some: dict[tuple, bool] = {}
 
     def bind(self, uri: str, df: DataFrame, ids: list[str], order: list[str] | None = None) -> Validator:
         """Binds a table to a schema: each row is a document whose members are
@@ -260,10 +261,23 @@ class Validator:
         rows = self.survivors(uri).select(*b.ids, F.explode(found if single else F.array_distinct(found)).alias("__key"))
         return rows
 
+    def _has_keys(self, r: RefDef) -> bool:
+        """Whether the target has any key at all: a look for one row, which
+        ends with the first that is found."""
+        if r.kind == "foreign_keys" and self._providers(r.target):
+            return True
+        tables = self.targets(r)
+        at = (r.target, r.kind, *(id(b) for b, _ in tables))
+        if at not in self._some:
+            self._some[at] = any(not self._target_keys(t, k).isEmpty() for t, k in tables)
+        return self._some[at]
+
     def stale(self, uri: str) -> DataFrame:
         """ids, reason, keyword, pointer and key of references that hit nothing."""
         b, out = self.bound[uri], []
         for r in b.schema.refs:
+            if r.refers_to is None and not self._has_keys(r):
+                continue  # it dangles instead
             rows = self._refs(uri, r)
             if any(k.scoped for _, k in self.targets(r)):
                 rows = rows.withColumn("__doc", F.to_json(F.struct(*b.ids)))
@@ -272,15 +286,9 @@ class Validator:
                 provided = [(key,) for _, key in self._providers(r.target)] if r.kind == "foreign_keys" else []
                 if provided:
                     rows = rows.join(F.broadcast(b.df.sparkSession.createDataFrame(provided, "__key string")), "__key", "left_anti")
-                elif r.refers_to is None:
-                    continue  # nothing to hit at all: dangling
             for t, k in targets:
                 on = ["__key", "__doc"] if k.scoped else ["__key"]
                 rows = rows.join(self._target_keys(t, k), on, "left_anti")
-            if r.refers_to is None and targets:
-                # Where the target has no key at all the reference dangles instead.
-                some = reduce(DataFrame.union, [self._target_keys(t, k).select("__key") for t, k in targets])
-                rows = rows.join(F.broadcast(some.limit(1).select(F.lit(1).alias("__some"))), F.lit(True), "left_semi")
             out.append(rows.select(*b.ids, F.lit(r.reasons[0]).alias("reason"), F.lit(r.kind).alias("keyword"), F.lit(r.pointer).alias("pointer"), F.col("__key").alias("key")))
         return reduce(DataFrame.unionByName, out) if out else self._nothing(b)
 
@@ -291,13 +299,9 @@ class Validator:
         for r in b.schema.refs:
             if r.refers_to is not None:
                 continue
-            rows = self.survivors(uri).select(*b.ids)
-            targets = self.targets(r)
-            if r.kind == "foreign_keys" and self._providers(r.target):
+            if self._has_keys(r):
                 continue
-            if targets:
-                some = reduce(DataFrame.union, [self._target_keys(t, k).select("__key") for t, k in targets])
-                rows = rows.join(F.broadcast(some.limit(1).select(F.lit(1).alias("__some"))), F.lit(True), "left_anti")
+            rows = self.survivors(uri).select(*b.ids)
             out.append(rows.select(*b.ids, F.lit(r.reasons[1]).alias("reason"), F.lit(r.kind).alias("keyword"), F.lit(r.pointer).alias("pointer"), F.lit(None).cast("string").alias("key")))
         return reduce(DataFrame.unionByName, out) if out else self._nothing(b)
 

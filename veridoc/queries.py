@@ -302,3 +302,193 @@ SELECT 'urn:x:customer' AS schema_id, c_custkey::VARCHAR AS doc_id, 'schema_erro
 UNION ALL SELECT 'urn:x:orders', o_orderkey::VARCHAR, 'stale_fk' FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal >= 0)""")
 def all_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers_and_orders(spark, sf_dir).all_errors().select("schema_id", "doc_id", "reason")
+
+
+# --- literal documents ------------------------------------------------------------------
+
+
+def literal(name: str, body: dict, docs: list[tuple[str, bool]], dialect: str = D7, **options) -> None:
+    """A query over written-out documents: (n, ok), with what has to come out."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(docs)], "n int, t string").select("n", F.try_parse_json("t").alias("json"))
+        v = Validator(load({"$schema": dialect, "id" if "draft-03" in dialect or "draft-04" in dialect else "$id": "urn:x:doc", **body}), **options).bind_json("urn:x:doc", df, ["n"])
+        failed = v.structural("urn:x:doc").select("n").distinct().withColumn("bad", F.lit(True))
+        return df.select("n").join(failed, "n", "left").select("n", F.col("bad").isNull().alias("ok"))
+
+    rows = ", ".join(f"({i}, {str(ok).lower()})" for i, (_, ok) in enumerate(docs))
+    query(name, f"SELECT * FROM (VALUES {rows}) AS t(n, ok)")(run)
+
+
+D4 = "http://json-schema.org/draft-04/schema#"
+D2020 = "https://json-schema.org/draft/2020-12/schema"
+
+literal("kw_formats", {"properties": {"d": {"format": "date-time"}, "e": {"format": "email"}, "i": {"format": "ipv6"}, "u": {"format": "uuid"}, "p": {"format": "json-pointer"}, "h": {"format": "hostname"}}}, [('{"d": "2024-02-29T10:00:00Z"}', True), ('{"d": "2023-02-29T10:00:00Z"}', False), ('{"e": "a@b"}', True), ('{"e": "a"}', False), ('{"i": "::1"}', True), ('{"i": "1::2::3"}', False), ('{"u": "123e4567-e89b-12d3-a456-426614174000"}', True), ('{"u": "1"}', False), ('{"p": "/a~1b"}', True), ('{"p": "a"}', False), ('{"h": "a.b-c"}', True), ('{"h": "-a"}', False), ('{"d": 1}', True)])
+literal("kw_format_regex", {"items": {"format": "regex"}}, [('["a+", 1]', True), ('["a("]', False)])
+literal("kw_pattern_properties", {"patternProperties": {"^x": {"type": "integer"}}}, [('{"x1": 1, "y": "a"}', True), ('{"x1": "a"}', False), ("[]", True)])
+literal("kw_min_properties", {"minProperties": 1}, [('{"a": 1}', True), ("{}", False), ("[]", True)])
+literal("kw_dependent_schemas", {"dependentSchemas": {"a": {"required": ["b"]}}}, [('{"a": 1, "b": 2}', True), ('{"a": 1}', False), ("{}", True)], D2019)
+literal("kw_unevaluated_properties", {"properties": {"a": {}}, "anyOf": [{"properties": {"b": {"type": "string"}}, "required": ["b"]}, {}], "unevaluatedProperties": False}, [('{"a": 1, "b": "x"}', True), ('{"a": 1, "b": 2}', False), ('{"c": 1}', False)], D2019)
+literal("kw_unevaluated_items", {"items": [{}], "unevaluatedItems": False}, [("[1]", True), ("[1, 2]", False)], D2019)
+literal("kw_tuple_items", {"items": [{"type": "integer"}], "additionalItems": {"type": "string"}}, [('[1, "a"]', True), ('["a"]', False), ("[1, 2]", False), ("[]", True)])
+literal("kw_prefix_items", {"prefixItems": [{"type": "integer"}], "items": False}, [("[1]", True), ('["a"]', False), ("[1, 2]", False)], D2020)
+literal("kw_max_contains", {"contains": {"const": 1}, "maxContains": 1}, [("[1, 2]", True), ("[1, 1]", False)], D2019)
+literal("kw_recursive_ref", {"required": ["v"], "properties": {"next": {"$ref": "#"}}}, [('{"v": 1, "next": {"v": 2}}', True), ('{"v": 1, "next": {}}', False)])
+literal("kw_dynamic_ref", {"$dynamicAnchor": "node", "required": ["v"], "properties": {"next": {"$dynamicRef": "#node"}}}, [('{"v": 1, "next": {"v": 2}}', True), ('{"v": 1, "next": {}}', False)], D2020)
+literal("kw_boolean_schemas", {"properties": {"a": True, "b": False}}, [('{"a": 1}', True), ('{"b": 1}', False)])
+literal("kw_draft4_exclusive", {"minimum": 2, "exclusiveMinimum": True}, [("3", True), ("2", False)], D4)
+literal("kw_enum_values", {"enum": [1, "1", None, {"a": [1, 2]}]}, [("1", True), ("1.0", True), ('"1"', True), ("null", True), ("true", False), ('{"a": [1, 2]}', True), ('{"a": [2, 1]}', False)])
+
+
+def _extensions() -> dict:
+    from veridoc.extensions import Extension
+    from veridoc.functions.formats import Formats
+
+    even = Extension("even", lambda value, s, v: F.coalesce(v.number() % 2 == 0, F.lit(True)), lambda value, s, v: v % 2 == 0)
+    return {"extensions": [even], "formats": Formats({"sku": "[A-Z]{2}-[0-9]+"}), "types": {"whole": (lambda v: v.is_type("integer"), lambda v: isinstance(v, int))}}
+
+
+literal("custom_keyword", {"even": True}, [("2", True), ("3", False), ('"x"', True)], **_extensions())
+literal("custom_format", {"format": "sku"}, [('"AB-1"', True), ('"ab-1"', False), ("1", True)], **_extensions())
+
+# --- schemas ------------------------------------------------------------------------------
+
+
+@query("schema_faults", "SELECT * FROM (VALUES (0, 'no_schema'), (1, 'schema_unknown'), (3, 'dup_id'), (4, 'schema_error'), (5, 'fk_no_schema'), (6, 'unexpected'), (7, 'schema_error'), (7, 'schema_error')) AS t(n, reason)")
+def schema_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = [{"type": "object"}, {"$schema": "http://nowhere/"}, schema("a"), schema("a"), schema("b", minimum="x"), schema("c", **fk("missing", "k")), {"errors": []}, schema("d", unique=18, properties={"p": {"unique": ["a", 42]}})]
+    rows = [(i, f.reason) for i, e in enumerate(load(*given).entries) for f in e.faults]
+    return spark.createDataFrame(rows, "n int, reason string")
+
+
+@query("schema_keys", "SELECT * FROM (VALUES ('primary_key', '', 'k', 2), ('unique', '/properties/p', NULL, 0), ('index', '/allOf/0', NULL, 1)) AS t(kind, pointer, name, n_members)")
+def schema_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = schema("a", primary_key={"name": "k", "members": ["p", "q"]}, properties={"p": {"unique": True}, "unique": {"type": "string"}}, allOf=[{"index": ["p"]}])
+    return load(s).key_table(spark).select("kind", "pointer", "name", F.coalesce(F.size("members"), F.lit(0)).alias("n_members"))
+
+
+@query("schema_edges", "SELECT * FROM (VALUES ('urn:x:orders', 'urn:x:customer', 'foreign_keys', 'o_custkey'), ('urn:x:items', 'urn:x:orders', 'join_keys', 'l_orderkey')) AS t(source, target, kind, member)")
+def schema_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.plans.graph import edges_table
+
+    shown = {"properties": {"k": {}}}
+    items = schema("items", join_keys=[{"schema_id": "urn:x:orders", "members": ["l_orderkey"]}], **shown)
+    s = load(schema("customer", primary_key=["c_custkey"], **shown), schema("orders", index=["o_orderkey"], **fk("customer", "o_custkey"), **shown), items)
+    return edges_table(spark, s).select("source", "target", "kind", "member")
+
+
+# --- documents ------------------------------------------------------------------------------
+
+
+def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON documents that name their schema by their type."""
+    from veridoc.sources.documents import parsed
+
+    text = F.concat(F.lit('{"@schema": "urn:x:'), "event_type", F.lit('", "n": '), F.col("event_id").cast("string"), F.lit(', "props": '), "props", F.lit("}"))
+    df = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("doc_id"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("file"), text.alias("text"))
+    return parsed(df).drop("text")
+
+
+def _documents(spark: SparkSession, sf_dir: str, docs: DataFrame, *schemas: dict, **how):
+    from veridoc.operators.documents import Documents
+
+    return Documents(Validator(load(*schemas)), docs, **how)
+
+
+LIMITS = [schema(kind, **{"properties": {"props": prop("k", maximum=most)}}) for kind, most in (("view", 50), ("click", 80))]
+
+
+@query("route_documents", """
+SELECT event_id::VARCHAR AS doc_id, 'schema_unknown' AS reason FROM events WHERE event_type NOT IN ('view', 'click')
+UNION ALL SELECT event_id::VARCHAR, 'schema_error' FROM events WHERE (props ->> '$.k')::INT > CASE event_type WHEN 'view' THEN 50 WHEN 'click' THEN 80 END""")
+def route_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, event_documents(spark, sf_dir), *LIMITS).errors().select("doc_id", "reason")
+
+
+@query("guess_schema", "SELECT event_id::VARCHAR AS doc_id, CASE WHEN (props ->> '$.k')::INT <= 30 THEN 'urn:x:low' WHEN (props ->> '$.k')::INT <= 60 THEN 'urn:x:mid' END AS schema_id FROM events")
+def guess_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("doc_id"), F.col("event_id").alias("ord"), F.try_parse_json("props").alias("json"), F.lit(None).cast("string").alias("reason"))
+    return _documents(spark, sf_dir, docs, schema("low", **prop("k", maximum=30)), schema("mid", **prop("k", maximum=60)), guess=True).docs.select("doc_id", "schema_id")
+
+
+@query("no_id_documents", "SELECT event_id::VARCHAR AS doc_id, 'no_id' AS reason FROM events")
+def no_id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("doc_id"), F.col("event_id").alias("ord"), F.try_parse_json("props").alias("json"), F.lit(None).cast("string").alias("reason"))
+    return _documents(spark, sf_dir, docs, schema("low")).errors().select("doc_id", "reason")
+
+
+@query("array_documents", "SELECT concat(conv_id, ' [', n - 1, ']') AS doc_id, role FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations) WHERE role <> 'user'")
+def array_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each element of a top-level array is a document."""
+    from veridoc.sources.documents import shredded
+
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    docs = turns.select(F.col("conv_id").cast("string").alias("file"), F.parse_json(F.to_json(F.col("t"))).alias("json"), F.lit(None).cast("string").alias("reason"))
+    docs = shredded(docs).select("doc_id", "json", F.try_variant_get("json", "$.role", "string").alias("role"))
+    v = Validator(load(schema("turn", **prop("role", const="user")))).bind_json("urn:x:turn", docs, ["doc_id", "role"])
+    return v.structural("urn:x:turn").select("doc_id", "role")
+
+
+@query("yaml_documents", "SELECT r_name AS doc_id, CASE WHEN r_regionkey >= 2 THEN 'schema_error' END AS reason FROM region WHERE r_regionkey >= 2 UNION ALL SELECT 'broken', 'fatal'")
+def yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.sources.documents import parsed
+
+    text = F.concat(F.lit("'@schema': urn:x:region\nkey: "), F.col("r_regionkey").cast("string"), F.lit("\n"))
+    docs = table(spark, sf_dir, "region").select(F.col("r_name").alias("doc_id"), text.alias("text"))
+    docs = docs.union(spark.createDataFrame([("broken", "{a: [")], "doc_id string, text string"))
+    docs = parsed(docs).select("doc_id", F.col("doc_id").alias("ord"), F.col("doc_id").alias("file"), "json", "reason")
+    return _documents(spark, sf_dir, docs, schema("region", **prop("key", maximum=1))).errors().select("doc_id", "reason")
+
+
+@query("report_annotation", "SELECT event_id::VARCHAR AS doc_id, (props ->> '$.k') AS annot, sha1(concat('{\"@schema\":\"urn:x:', event_type, '\",\"n\":', event_id, ',\"props\":{\"k\":', (props ->> '$.k'), '}}')) AS json_hash, ((props ->> '$.k')::INT > CASE event_type WHEN 'view' THEN 50 WHEN 'click' THEN 80 ELSE -1 END)::INT AS n_errors FROM events")
+def report_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir, event_documents(spark, sf_dir), *LIMITS)
+    return d.report(annotation="props.k").select("doc_id", "annot", "json_hash", "n_errors")
+
+
+@query("document_stats", """
+SELECT CASE WHEN (props ->> '$.k')::INT > CASE event_type WHEN 'view' THEN 50 WHEN 'click' THEN 80 ELSE -1 END THEN 'failed' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1""")
+def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, event_documents(spark, sf_dir), *LIMITS).stats()
+
+
+@query("fk_scoped", "SELECT conv_id, concat('[', turn - 1, ']') AS key FROM (SELECT DISTINCT conv_id, turn FROM conversations) c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn - 1)")
+def fk_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference within the document: each turn to the one before."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    docs = turns.groupBy("conv_id").agg(F.collect_list(F.struct("turn", (F.col("turn") - 1).alias("after"))).alias("turns"))
+    items = {"primary_key": {"members": ["turn"], "limit_scope": True}, "foreign_keys": [{"members": ["after"]}]}
+    v = Validator(load(schema("doc", properties={"turns": {"items": items}}))).bind("urn:x:doc", docs, ["conv_id"])
+    return v.stale("urn:x:doc").select("conv_id", "key")
+
+
+@query("fk_name_missing", "SELECT n_nationkey, 'stale_fk' AS reason FROM nation")
+def fk_name_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Validator(load(schema("region", primary_key=["r_regionkey"]), schema("nation", **fk("region", "n_regionkey", refers_to="nobody"))))
+    v.bind("urn:x:region", table(spark, sf_dir, "region"), ["r_regionkey"]).bind("urn:x:nation", table(spark, sf_dir, "nation"), ["n_nationkey"])
+    return stale(v, "nation", ["n_nationkey"])
+
+
+@query("jk_dangling", "SELECT n_nationkey, 'dangling_jk' AS reason FROM nation")
+def jk_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index is no primary key and the other way round."""
+    nation = schema("nation", join_keys=[{"schema_id": "urn:x:region", "members": ["n_regionkey"]}])
+    v = Validator(load(schema("region", primary_key=["r_regionkey"]), nation)).bind("urn:x:region", table(spark, sf_dir, "region"), ["r_regionkey"])
+    return v.bind("urn:x:nation", table(spark, sf_dir, "nation"), ["n_nationkey"]).dangling("urn:x:nation").select("n_nationkey", "reason")
+
+
+@query("stream_structural", "SELECT event_id, 'enum' AS keyword FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')")
+def stream_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword check as a stream over the same files, to a Parquet sink."""
+    import uuid
+
+    from veridoc.operators.keys import shared_folder
+    from veridoc.streaming.validate import structural
+
+    source = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events*.parquet")
+    v = Validator(load(schema("doc", **prop("event_type", enum=["view", "click", "purchase"]))))
+    found = structural(v, "urn:x:doc", stream, ["event_id"]).select("event_id", "keyword")
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    found.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{out}/rows")

@@ -157,6 +157,11 @@ class Codec:
         """Ids of a whole text as unsigned 32-bit integers."""
         return np.frombuffer(self.segments.encode(text), "<u4")
 
+    def forget(self) -> None:
+        """Frees the memos, as workers outlive the task that filled them."""
+        self.segments.clear()
+        self.pieces.clear()
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 
@@ -277,6 +282,7 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", t
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), flat)
                 sums = [hashlib.sha256(c.decimals(i)).hexdigest() for i in ids]
                 yield pa.RecordBatch.from_arrays([piece.column(0), lists.cast(shape.field(1).type), pa.array(sizes), pa.array(sums), pa.array(back)], schema=shape)
+        c.forget()
 
     ddl = f"`{key}` {kind}, ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     shape = arrow_schema(df.sparkSession, ddl)

@@ -58,7 +58,7 @@ COMMON = 32
 #: Most nodes of a group, and most queries that one task opens a group for.
 GROUP, QUERIES = 256, 2048
 #: Shingles that a task gathers before it packs them.
-PACK = 2_000_000
+PACK = 1_000_000
 #: Rows of a route or id table that may be a broadcast: some 50 bytes each.
 BROADCAST_ROWS = 500_000
 #: Keys alone that may be a broadcast: 16 MB.

@@ -42,7 +42,7 @@ LEAST, MOST = 10, 512
 #: Bytes of a run of repeated chunks that is removed: some 17 English words.
 MIN_RUN = 100
 #: Bytes of text that a task gathers before it packs their chunks.
-PACK = 24_000_000
+PACK = 6_000_000
 
 _GEAR = np.random.RandomState(20240602).randint(0, 1 << 16, 256).astype(np.uint16)
 
@@ -152,6 +152,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         bucket = (cols[0] >> np.uint64(64 - bits)).astype(np.int32)
         kept, rest = [c[first] for c in cols], [c[~first] for c in cols]
         for known, part, b in ((0, kept, bucket[first]), (1, rest, bucket[~first])):
+            if not len(b):
+                continue
             at = np.flatnonzero(np.diff(b, prepend=-1))
             ends = np.append(at[1:], len(b))
             blobs = [pa.array([c[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()) for c in part]
@@ -226,8 +228,8 @@ def remove(text: str, places: set[int], min_run: int = MIN_RUN) -> tuple[str, in
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", min_run: int = MIN_RUN) -> DataFrame:
     """Rows of ``df`` with all their columns: repeated runs are removed from
     the text, a length column, if there is one, follows, and ``n_removed``
-    counts the code points that went."""
-    spark = df.sparkSession
+    counts the code points that went; a column of that name is replaced."""
+    spark, df = df.sparkSession, df.drop("n_removed")
     docs = narrow(df, key, text).select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL")
     found = repeats(docs).groupBy("id", "mark").agg(F.flatten(F.collect_list("places")).alias("places"))
     found = found.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("places").alias("__places"))

@@ -4,7 +4,8 @@ A member path is a chain of steps ``a``, ``a[]`` or ``a[n]`` joined by dots;
 "." or "" is the value itself. A list on the way is flattened by one level; a
 missing member gives no value. A key is the cartesian product of its members'
 values, each tuple as compact JSON array text, so 1 and 1.0 are equal, 1 and
-"1" are not, and null equals null.
+"1" are not, and null equals null. Keys longer than ``LONG`` characters are
+known by their SHA-256, so that no shuffle moves whole texts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 
 from veridoc.functions.values import Missing, Row, TypedValue, Value, VariantValue
 
+LONG = 128
+
 _STEP = re.compile(r"^(?P<name>.*?)(?:\[(?P<at>[0-9]*)\])?$", re.S)
 
 
@@ -129,20 +132,25 @@ def member_values(v: Value, path: str) -> Values:
     return got
 
 
+def short_key(text: Column) -> Column:
+    return F.when(F.length(text) > LONG, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+
+
 def key_texts(v: Value, members: list[str] | None) -> Column:
     """All keys of a value as array<string>; None is the whole value."""
+    none = F.array().cast("array<string>")
     if members is None:
-        return F.when(v.exists, F.array(F.concat(F.lit("["), v.canonical(), F.lit("]")))).otherwise(F.array().cast("array<string>"))
+        return F.when(v.exists, F.array(short_key(F.concat(F.lit("["), v.canonical(), F.lit("]"))))).otherwise(none)
     values = [member_values(v, m) for m in members]
     singles = [x.single() for x in values]
     if all(s is not None for s in singles):
         # A null member makes the text null: no key.
         text = F.concat(F.lit("["), *_joined(singles), F.lit("]"))
-        return F.when(text.isNotNull(), F.array(text)).otherwise(F.array().cast("array<string>"))
+        return F.when(text.isNotNull(), F.array(short_key(text))).otherwise(none)
     tuples = values[0].texts()
     for more in values[1:]:
         tuples = F.flatten(F.transform(tuples, _with_each(more)))
-    return F.transform(tuples, lambda t: F.concat(F.lit("["), t, F.lit("]")))
+    return F.transform(tuples, lambda t: short_key(F.concat(F.lit("["), t, F.lit("]"))))
 
 
 def _with_each(more: Values):

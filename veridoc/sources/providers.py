@@ -12,10 +12,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Callable
 from urllib.parse import urljoin, urlsplit
 
+from veridoc.functions.paths import LONG
 from veridoc.functions.values import literal_text
 
 Fetch = Callable[[str, str], str]
@@ -24,7 +26,8 @@ Fetch = Callable[[str, str], str]
 def key_text(value) -> str:
     """The key of one provided value, or of a tuple of them."""
     parts = value if isinstance(value, (list, tuple)) else [value]
-    return "[" + ",".join(literal_text(p) for p in parts) + "]"
+    text = "[" + ",".join(literal_text(p) for p in parts) + "]"
+    return text if len(text) <= LONG else "sha256:" + hashlib.sha256(text.encode()).hexdigest()
 
 
 def remote_address(base: str, uri: str) -> str:

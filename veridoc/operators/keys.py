@@ -2,8 +2,8 @@
 
 A document is accepted if it is structurally valid, repeats no key within
 itself and shares no key with an earlier accepted document; a rejected one
-frees all its keys. Where a document has one key at most, that is one window.
-Otherwise rounds accept every undecided document that comes first for all its
+frees all its keys. Where a document has one key at most, the first place of
+each key decides. Otherwise rounds accept every undecided document that comes first for all its
 keys and reject those that share a key with one just accepted; only documents
 with a contested key take part, and each round is cut by a checkpoint in the
 shared folder.
@@ -93,11 +93,17 @@ def _tagged(i: int, prefix: Column):
 
 
 def first_come(df: DataFrame, root: Value, d: KeyDef, compiler: Compiler, order: Column) -> DataFrame:
-    """``df`` with ``__key`` and ``__n``, the rank of each document among
-    those with its key; for declarations with one key at most."""
+    """``df`` with ``__key`` and ``__late``, whether an earlier document has
+    the key; for declarations with one key at most.
+
+    Only contested keys are joined back. Their first place is a partial
+    minimum and the join can be split, so a key that a third of all documents
+    share weighs on no single task, as it would in a window."""
     key = F.get(extract(root, d, compiler), F.lit(0))
     keyed = df.withColumn("__key", key).withColumn("__ord", order)
-    return keyed.withColumn("__n", F.when(F.col("__key").isNotNull(), F.row_number().over(Window.partitionBy("__key").orderBy("__ord")))).drop("__ord")
+    firsts = keyed.filter(F.col("__key").isNotNull()).groupBy("__key").agg(F.min("__ord").alias("__first"), F.count("*").alias("__c"))
+    contested = firsts.filter("__c > 1").select("__key", "__first")
+    return keyed.join(contested, "__key", "left").withColumn("__late", F.coalesce(F.col("__ord") > F.col("__first"), no())).drop("__ord", "__first")
 
 
 def greedy(keys: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -41,7 +41,8 @@ class Bound:
 
     @property
     def ord(self) -> Column:
-        return F.struct(*[F.col(f"`{c}`") for c in self.order])
+        cols = [F.col(f"`{c}`") for c in self.order]
+        return cols[0] if len(cols) == 1 else F.struct(*cols)
 
 
 class Validator:
@@ -59,7 +60,7 @@ class Validator:
     def bind(self, uri: str, df: DataFrame, ids: list[str], order: list[str] | None = None) -> Validator:
         """Binds a table to a schema: each row is a document whose members are
         the columns, null being missing. ``order`` decides which of several
-        documents with a key came first."""
+        documents with a key came first and must tell them apart."""
         self.bound[uri] = Bound(self.schemas.valid[uri], df, ids, order or ids, Row(df.schema))
         return self
 
@@ -160,9 +161,9 @@ class Validator:
             ranked = K.first_come(self.valid(uri), b.root, defs[0], self.compiler(b.schema), b.ord)
             if provided is not None:
                 ranked = ranked.join(F.broadcast(provided.select(F.col("key").alias("__key"), F.lit(True).alias("__taken"))), "__key", "left")
-                taken = (F.col("__n") > 1) | F.coalesce("__taken", F.lit(False))
+                taken = F.col("__late") | F.coalesce("__taken", F.lit(False))
             else:
-                taken = F.col("__n") > 1
+                taken = F.col("__late")
             return ranked.filter(taken).select(*b.ids, *self._names(F.lit(0), defs), F.col("__key").alias("key"))
         rows, _, accepted = self._settled(uri)
         found = K.duplicates(rows, accepted)
@@ -187,7 +188,7 @@ class Validator:
             provided = self._provided(uri)
             if provided is not None:
                 ranked = ranked.join(F.broadcast(provided.select(F.col("key").alias("__key"))), "__key", "left_anti")
-            return ranked.filter(F.col("__n").isNull() | (F.col("__n") == 1)).select(*b.df.columns)
+            return ranked.filter(~F.col("__late")).select(*b.df.columns)
         rejected = self._settled(uri)[1].select("doc.*")
         return self.valid(uri).join(rejected, b.ids, "left_anti").select(*b.df.columns)
 

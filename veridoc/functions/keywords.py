@@ -14,9 +14,10 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veridoc.functions.formats import Formats
-from veridoc.functions.values import Missing, TypedValue, Value, VariantValue, literal_text, no, yes
+from veridoc.functions.values import Missing, Row, TypedValue, Value, VariantValue, literal_text, no, yes
 
 ERROR = "struct<keyword:string,pointer:string,path:string>"
 #: Schemas of more keywords than this are left to the Python evaluator, as
@@ -100,7 +101,20 @@ class Compiler:
         if name in self.custom:
             return self.custom[name](value, schema, v)
         out = getattr(self, "_kw_" + name.lstrip("$"))(value, schema, v, base)
-        return None if out is None else F.coalesce(out, yes())
+        if out is None or self._plain(name, v):
+            return out
+        return F.coalesce(out, yes())
+
+    @staticmethod
+    def _plain(name: str, v: Value) -> bool:
+        """Whether a check is null only where the value is missing, which the
+        check of the member around it settles. Such checks stay bare, so that
+        they reach the scan as filters."""
+        if isinstance(v, Row):
+            return name in _NEVER_NULL
+        if not isinstance(v, TypedValue) or v.element:
+            return False
+        return isinstance(v.type, T.NumericType) and name in _NUMERIC or isinstance(v.type, T.StringType) and name in _STRING
 
     # --- nested errors: keywords that pass on the errors of subschemas ----
 
@@ -359,6 +373,10 @@ class Compiler:
 
 
 _NESTED = frozenset({"properties", "allOf", "items", "prefixItems", "additionalItems", "$ref"})
+_NUMERIC = frozenset({"minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"})
+_STRING = frozenset({"minLength", "maxLength", "pattern"})
+#: Never null where the value itself is always there.
+_NEVER_NULL = frozenset({"properties", "required", "type", "allOf"})
 _PYTHON_ONLY = frozenset({"$recursiveRef", "$dynamicRef", "unevaluatedProperties", "unevaluatedItems"})
 
 __all__ = ["ERROR", "Compiler", "NotColumnar", "literal_text"]

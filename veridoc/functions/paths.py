@@ -136,17 +136,31 @@ def short_key(text: Column) -> Column:
     return F.when(F.length(text) > LONG, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
 
 
-def key_texts(v: Value, members: list[str] | None) -> Column:
-    """All keys of a value as array<string>; None is the whole value."""
-    none = F.array().cast("array<string>")
+def single_key(v: Value, members: list[str] | None) -> Column | None:
+    """The one key of a value, null where there is none; None if a value may
+    have several. A null member makes the text null: no key."""
     if members is None:
-        return F.when(v.exists, F.array(short_key(F.concat(F.lit("["), v.canonical(), F.lit("]"))))).otherwise(none)
+        text = F.when(v.exists, F.concat(F.lit("["), v.canonical(), F.lit("]")))
+        return text if _bounded(v) else short_key(text)
     values = [member_values(v, m) for m in members]
     singles = [x.single() for x in values]
-    if all(s is not None for s in singles):
-        # A null member makes the text null: no key.
-        text = F.concat(F.lit("["), *_joined(singles), F.lit("]"))
-        return F.when(text.isNotNull(), F.array(short_key(text))).otherwise(none)
+    if any(s is None for s in singles):
+        return None
+    text = F.concat(F.lit("["), *_joined(singles), F.lit("]"))
+    return text if len(values) <= 3 and all(_bounded(x.one) for x in values) else short_key(text)
+
+
+def _bounded(v: Value) -> bool:
+    """Whether the text of a value is short by its type."""
+    return isinstance(v, TypedValue) and isinstance(v.type, (T.NumericType, T.BooleanType, T.DateType))
+
+
+def key_texts(v: Value, members: list[str] | None) -> Column:
+    """All keys of a value as array<string>."""
+    one = single_key(v, members)
+    if one is not None:
+        return F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
+    values = [member_values(v, m) for m in members]
     tuples = values[0].texts()
     for more in values[1:]:
         tuples = F.flatten(F.transform(tuples, _with_each(more)))

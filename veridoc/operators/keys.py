@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.keywords import Compiler, NotColumnar, every
-from veridoc.functions.paths import key_texts, located
+from veridoc.functions.paths import key_texts, located, single_key
 from veridoc.functions.values import Value, no
 from veridoc.plans.catalog import KeyDef, RefDef
 
@@ -66,14 +66,24 @@ def extract(root: Value, d: KeyDef | RefDef, compiler: Compiler) -> Column:
     return F.when(every(outer), out).otherwise(F.array().cast("array<string>")) if outer else out
 
 
-def has_one_key(root: Value, d: KeyDef) -> bool:
-    """Whether a document has one key of this declaration at most."""
+def extract_one(root: Value, d: KeyDef | RefDef, compiler: Compiler) -> Column | None:
+    """The one key of a declaration, null where there is none; None if a
+    document may have several."""
     there = located(root, d.location)
     if there.many is not None:
-        return False
-    from veridoc.functions.paths import member_values
+        return None
+    one = single_key(there.one, None if d.members is None else list(d.members))
+    if one is None or not d.guards:
+        return one
+    return F.get(extract(root, d, compiler), F.lit(0))
 
-    return d.members is None or all(member_values(there.one, m).single() is not None for m in d.members)
+
+def keys_of(df: DataFrame, root: Value, d: KeyDef | RefDef, compiler: Compiler, *keep: Column) -> DataFrame:
+    """(keep..., __key): one row for each distinct key of each document."""
+    one = extract_one(root, d, compiler)
+    if one is not None:
+        return df.select(*keep, one.alias("__key")).filter(F.col("__key").isNotNull())
+    return df.select(*keep, F.explode(F.array_distinct(extract(root, d, compiler))).alias("__key"))
 
 
 def key_rows(df: DataFrame, root: Value, defs: list[KeyDef], compiler: Compiler, ids: list[str], order: Column) -> DataFrame:
@@ -99,7 +109,7 @@ def first_come(df: DataFrame, root: Value, d: KeyDef, compiler: Compiler, order:
     Only contested keys are joined back. Their first place is a partial
     minimum and the join can be split, so a key that a third of all documents
     share weighs on no single task, as it would in a window."""
-    key = F.get(extract(root, d, compiler), F.lit(0))
+    key = extract_one(root, d, compiler)
     keyed = df.withColumn("__key", key).withColumn("__ord", order)
     firsts = keyed.filter(F.col("__key").isNotNull()).groupBy("__key").agg(F.min("__ord").alias("__first"), F.count("*").alias("__c"))
     contested = firsts.filter("__c > 1").select("__key", "__first")

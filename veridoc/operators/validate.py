@@ -80,6 +80,14 @@ class Validator:
         except NotColumnar:
             return F.size(self._python_errors(b)) == 0
 
+    def _suspect(self, b: Bound) -> Column:
+        """Rows that may have an error. It repeats nothing that is judged
+        later; it lets the scan skip what is valid."""
+        try:
+            return ~self.compiler(b.schema).ok(b.schema.body, b.root, b.schema.uri)
+        except NotColumnar:
+            return F.lit(True)
+
     def _errors(self, b: Bound) -> Column:
         try:
             return self.compiler(b.schema).errors(b.schema.body, b.root, F.lit(""), "", b.schema.uri)
@@ -102,7 +110,7 @@ class Validator:
     def structural(self, uri: str) -> DataFrame:
         """ids, reason, keyword, pointer, path of every violated keyword."""
         b = self.bound[uri]
-        rows = b.df.select(*b.ids, F.explode(self._errors(b)).alias("e"))
+        rows = b.df.filter(self._suspect(b)).select(*b.ids, F.explode(self._errors(b)).alias("e"))
         return rows.select(*b.ids, F.lit("schema_error").alias("reason"), "e.keyword", "e.pointer", "e.path")
 
     def valid(self, uri: str) -> DataFrame:
@@ -117,7 +125,8 @@ class Validator:
 
     def _single(self, uri: str) -> bool:
         defs = self._enforced(uri)
-        return len(defs) == 1 and not defs[0].scoped and K.has_one_key(self.bound[uri].root, defs[0])
+        b = self.bound[uri]
+        return len(defs) == 1 and not defs[0].scoped and K.extract_one(b.root, defs[0], self.compiler(b.schema)) is not None
 
     def _providers(self, uri: str) -> list[tuple[str, str]]:
         return provider_keys(self.config, uri)
@@ -247,20 +256,17 @@ class Validator:
         those of all valid documents: the first of each key is accepted."""
         df = self.valid(b.schema.uri) if self._single(b.schema.uri) and self._enforced(b.schema.uri)[0] is k else self.survivors(b.schema.uri)
         doc = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in b.ids])).alias("__doc")] if k.scoped else []
-        keys = df.select(F.explode(K.extract(b.root, k, self.compiler(b.schema))).alias("__key"), *doc)
+        keys = K.keys_of(df, b.root, k, self.compiler(b.schema), *doc)
         if k.kind == "primary_key" and not k.scoped:
             extra = [(key,) for _, key in self._providers(k.owner)]
             if extra:
-                keys = keys.union(df.sparkSession.createDataFrame(extra, "__key string"))
+                keys = keys.select("__key").union(df.sparkSession.createDataFrame(extra, "__key string"))
         return keys
 
     def _refs(self, uri: str, r: RefDef) -> DataFrame:
         """Distinct (ids, key) of a reference in the surviving documents."""
         b = self.bound[uri]
-        found = K.extract(b.root, r, self.compiler(b.schema))
-        single = K.has_one_key(b.root, r)
-        rows = self.survivors(uri).select(*b.ids, F.explode(found if single else F.array_distinct(found)).alias("__key"))
-        return rows
+        return K.keys_of(self.survivors(uri), b.root, r, self.compiler(b.schema), *[F.col(f"`{c}`") for c in b.ids])
 
     def _has_keys(self, r: RefDef) -> bool:
         """Whether the target has any key at all: a look for one row, which

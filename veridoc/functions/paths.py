@@ -108,14 +108,22 @@ class Values:
         if self.many is None:
             if isinstance(self.one, Missing):
                 return F.array().cast("array<string>")
-            return F.when(self.one.exists, F.array(self.one.canonical())).otherwise(F.array().cast("array<string>"))
-        return F.coalesce(F.transform(self.many, lambda x: self.of(x).canonical()), F.array().cast("array<string>"))
+            return F.when(self.one.exists, F.array(key_text(self.one))).otherwise(F.array().cast("array<string>"))
+        return F.coalesce(F.transform(self.many, lambda x: key_text(self.of(x))), F.array().cast("array<string>"))
 
     def single(self) -> Column | None:
         """The one text, null where missing, if there is never more than one."""
         if self.many is not None:
             return None
-        return F.lit(None).cast("string") if isinstance(self.one, Missing) else self.one.canonical()
+        return F.lit(None).cast("string") if isinstance(self.one, Missing) else key_text(self.one)
+
+
+def key_text(v: Value) -> Column:
+    """Canonical text of a member of a key; of a long string its digest."""
+    if isinstance(v, VariantValue) or isinstance(v, TypedValue) and isinstance(v.type, T.StringType):
+        s = v.string()
+        return F.when(F.length(s) > LONG, F.concat(F.lit('"sha256:'), F.sha2(s, 256), F.lit('"'))).otherwise(v.canonical())
+    return v.canonical()
 
 
 def _col(v: Value) -> Column:
@@ -140,7 +148,7 @@ def single_key(v: Value, members: list[str] | None) -> Column | None:
     """The one key of a value, null where there is none; None if a value may
     have several. A null member makes the text null: no key."""
     if members is None:
-        text = F.when(v.exists, F.concat(F.lit("["), v.canonical(), F.lit("]")))
+        text = F.when(v.exists, F.concat(F.lit("["), key_text(v), F.lit("]")))
         return text if _bounded(v) else short_key(text)
     values = [member_values(v, m) for m in members]
     singles = [x.single() for x in values]

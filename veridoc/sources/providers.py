@@ -26,10 +26,15 @@ Fetch = Callable[[str, str], str]
 def key_text(value) -> str:
     """The key of one provided value, or of a tuple of them."""
     parts = value if isinstance(value, (list, tuple)) else [value]
-    text = "[" + ",".join(literal_text(p) for p in parts) + "]"
+    text = "[" + ",".join(_part(p) for p in parts) + "]"
     return text if len(text) <= LONG else "sha256:" + hashlib.sha256(text.encode()).hexdigest()
 
 
+def _part(value) -> str:
+    long = isinstance(value, str) and len(value) > LONG
+    return f'"sha256:{hashlib.sha256(value.encode()).hexdigest()}"' if long else literal_text(value)
+
+
 def remote_address(base: str, uri: str) -> str:
     return urljoin(base, urlsplit(uri).path.rstrip("/").rsplit("/", 1)[-1] + "/")
 

@@ -56,7 +56,7 @@ MIN_DF = 3
 #: Shingles in so many documents are common.
 COMMON = 32
 #: Most nodes of a group, and most queries that one task opens a group for.
-GROUP, QUERIES = 256, 2048
+GROUP, QUERIES = 256, 256
 #: Shingles that a task gathers before it packs them.
 PACK = 1_000_000
 #: Rows of a route or id table that may be a broadcast: some 50 bytes each.

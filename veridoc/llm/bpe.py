@@ -85,7 +85,8 @@ class Codec:
     #: many, a memo starts anew.
     MEMO = 500_000
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, memo: int = MEMO):
+        self.most = memo
         with open(ranks_path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
@@ -104,7 +105,7 @@ class Codec:
                 if (a := get(key[:i])) is not None and (b := get(key[i:])) is not None:
                     self.pairs[a << 32 | b] = rank
         self.decimal = [str(i) for i in range(len(self.token))]
-        self.segments = Segments(self._learn, self.MEMO)
+        self.segments = Segments(self._learn, memo)
         self.pieces: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -149,7 +150,7 @@ class Codec:
                 raw = self.encode_piece(piece.encode("utf-8", "replace"))
                 ids = known[piece] = pack(f"<{len(raw)}I", *raw)
             out += ids
-        if len(known) > self.MEMO:
+        if len(known) > self.most:
             known.clear()
         return out
 
@@ -218,9 +219,9 @@ def _with_runs(parts: list[str]) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def codec(ranks_path: str, pattern: str) -> Codec:
+def codec(ranks_path: str, pattern: str, memo: int = Codec.MEMO) -> Codec:
     """One codec per Python worker."""
-    return Codec(ranks_path, pattern)
+    return Codec(ranks_path, pattern, memo)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,12 +267,13 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id"
     return map_batches(narrow(df, key, text), run, f"`{key}` {kind}, {DIGESTS}")
 
 
-def encoded(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As ``round_trip``, with the ids themselves as ``ids array<int>``."""
+def encoded(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", memo: int = 200_000) -> DataFrame:
+    """As ``round_trip``, with the ids themselves as ``ids array<int>``; its
+    memo is smaller, as it runs where other stages have filled the memory."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
+        c = codec(ranks_path, pattern, memo)
         for rb in batches:
             for at in range(0, rb.num_rows, 1024):
                 piece = rb.slice(at, 1024)

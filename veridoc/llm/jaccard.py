@@ -436,7 +436,9 @@ def join(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
     integer column. component_id is the smallest key reachable by links."""
     docs = narrow(df, key, text).select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = written(signatures(docs, words, percent))
-    reps = rows.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"))
+    # Cut, so that joins with it have plain exchanges on both sides and a large
+    # group of equal sets can be split.
+    reps = cut(rows.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node")))
     nodes = rows.join(reps.withColumnRenamed("node", "id"), ["digest", "id"], "left_semi").select(F.col("id").alias("node"), "n", "digest", "low", "prefix").dropDuplicates(["node", "digest"])
     nodes = written(_grouped(nodes))
     cand = cut(candidates(nodes, percent))

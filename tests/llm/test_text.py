@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -77,6 +78,38 @@ def test_library_encoder():
         assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+ADDED = "<|endoftext|>"
+
+
+def test_added_tokens(spark):
+    """The literal of an added token in a text is that token, as the library
+    has it by default."""
+    fresh = tokenizers.Tokenizer.from_file(LIBRARY)
+    e = tokenfile.encoder(LIBRARY, PATTERN)
+    rng = random.Random(5)
+    given = ["end of one<|endoftext|>start of next", ADDED, ADDED * 3, f" {ADDED} \n{ADDED}", "<|endoftext|", f"<|{ADDED}|>", f"a  {ADDED}  b"]
+    given += ["".join(rng.choice([ADDED, ADDED[:5], " ", "  ", "\n", "it's", "é漢", "one", " two", "12"]) for _ in range(rng.randint(0, 12))) for _ in range(1000)]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in given]
+    assert 50256 in want[0] and [np.frombuffer(e.encode(t), "<u4").tolist() for t in given] == want
+    start = 0
+    for r, ids in zip(tokenfile.round_trip(frame(spark, given[:40]), LIBRARY, PATTERN, end_id=2).orderBy("doc_id").collect(), want[:40], strict=True):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()))
+        start += r.n_tokens
+
+
+def test_added_tokens_of_other_kinds(tmp_path):
+    """Tokens that begin alike, that take the space beside them, or that are
+    whole words only."""
+    plain, wide = (tokenizers.Tokenizer.from_file(LIBRARY) for _ in range(2))
+    plain.add_special_tokens(["<a>", "<a><b>", "<b>"])
+    wide.add_tokens([tokenizers.AddedToken("<x>", lstrip=True, rstrip=True), tokenizers.AddedToken("word", single_word=True)])
+    for name, t in (("plain", plain), ("wide", wide)):
+        t.save(f"{tmp_path}/{name}.json")
+        e = tokenfile.encoder(f"{tmp_path}/{name}.json", PATTERN)
+        for text in ("one <a><b> two<b><a>", "<a><a><b><b>", "one  <x>  two", "a word in words, word", "none", ""):
+            assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, tmp_path, reference):
     df = frame(spark)
     got = tokenfile.round_trip(df, LIBRARY, PATTERN, end_id=2).orderBy("doc_id").collect()

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -54,8 +55,11 @@ class LibraryEncoder:
 
     ``pattern`` is the split pattern of the tokenizer file, so that the
     library's model encodes each pre-token as it would in its text. It is
-    given those that are not in a bounded memo. A file whose steps before the
-    model are not plain byte-level ones is left to the library text by text.
+    given those that are not in a bounded memo. Texts are split at the file's
+    added tokens first, which have ids of their own, also in a text. A file
+    whose steps before the model are not plain byte-level ones is left to the
+    library text by text, as are texts with an added token that takes more
+    than its own literal.
     """
 
     MEMO = 600_000
@@ -65,12 +69,16 @@ class LibraryEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         before = self.tokenizer.pre_tokenizer
         self.plain = self.tokenizer.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel) and not before.add_prefix_space
         self.tokenize = self.tokenizer.model.tokenize
         self.split = regex.compile(pattern).findall
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        self.literal = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        # The longest of those that begin in one place, as in the library.
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         letters = [x for x, _ in (before.pre_tokenize_str(chr(b))[0] for b in range(128))] if self.plain else []
         # Bytes from 128 up stand for themselves or for letters after U+00FF,
         # in the order of the bytes that have no visible character.
@@ -106,7 +114,11 @@ class LibraryEncoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if not self.plain:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return self.segments.encode(text)
+        if not any(map(text.__contains__, self.added)):
+            return self.segments.encode(text)
+        if not self.literal:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(self.added[x] if i % 2 else self.segments.encode(x) for i, x in enumerate(self.at_added(text)))
 
 
 @lru_cache(maxsize=2)

@@ -136,6 +136,30 @@ def test_substring_shift():
             t.encode()[:e].decode()
 
 
+def test_substring_periodic(spark):
+    """Stretches of a word or a short line over and over, at any shift."""
+    rng = random.Random(15)
+    units = ["data ", "x ", "lorem ", "buy now ", "click here to win\n", "all rights reserved by the owner of this page\n", "漢字 ", "ABCDEFGHIJ"]
+    units += [sentence(rng, k) + " " for k in (1, 1, 1, 1, 1, 1, 2, 2, 3, 5, 9)]
+    rows, n = [], 900
+    for unit in units:
+        for _ in range(3):
+            rows.append(sentence(rng, rng.randrange(20, 60)) + " " + (unit * n)[: n + rng.randrange(9)] + " " + sentence(rng, 30))
+    # A long stretch without places between words, at any shift.
+    blob = "".join(rng.choice("0123456789abcdef") for _ in range(4000))
+    rows += [sentence(rng, rng.randrange(20, 60)) + " " + "z" * k + blob + " " + sentence(rng, 30) for k in (0, 7, 300)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in substring.dedup(df).collect()}
+    seen, left = set(), 0
+    for i in range(3 * len(units)):
+        windows = {rows[i][k : k + 300] for k in range(len(rows[i]) - 299)}
+        left += any(got[i][k : k + 300] in seen for k in range(len(got[i]) - 299))
+        seen |= windows
+    assert left == 0
+    for i in (len(rows) - 2, len(rows) - 1):
+        assert blob[1000:3000] not in got[i] and len(rows[i]) - len(got[i]) > 3400
+
+
 def test_substring_odd_rows(spark):
     same = sentence(random.Random(9), 80)
     df = spark.createDataFrame([(1, same), (1, same), (2, same), (3, None), (4, ""), (None, same), (5, "short"), (6, "short")], "doc_id long, text string")

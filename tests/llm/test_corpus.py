@@ -99,6 +99,21 @@ def test_jaccard_odd_rows(spark):
     assert sorted((str(r.doc_id) for r in kept.collect())) == ["1", "2", "3", "None", "None"]
 
 
+def test_keep_one_by_text(spark):
+    """Only texts that link go, whatever rows their keys have beside them."""
+    rng = random.Random(16)
+    a, b, c, d = (sentence(rng, 30) for _ in range(4))
+    rows = [(3, a), (7, a), (7, b), (5, c), (5, d), (5, d), (9, c.upper()), (7, None), (7, None), (8, None), (None, a), (None, a), (1, "alone here")]
+    many = [sentence(rng, 20) for _ in range(300)]
+    rows += [(11, t) for t in many] + [(12, many[0]), (2, many[1])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, source string, count int")
+    got = jaccard.keep_one(df)
+    assert got.columns == df.columns
+    want = [(3, a), (7, b), (5, c), (5, d), (7, None), (8, None), (None, a), (None, a), (1, "alone here"), (2, many[1])] + [(11, t) for t in many if t != many[1]]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_substring_passages(spark):
     rng = random.Random(7)
     rows, planted, clean = [], [], []

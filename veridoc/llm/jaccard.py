@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import Words, arrow_schema, cut, mix64, narrow, space_words, written
@@ -459,22 +459,34 @@ def join(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
 
 
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df``, all columns kept: of each group of linked documents the
-    one with the smallest key stays; of several rows with one key, the one
-    whose text comes first. Documents that link with nothing, and rows without
-    a key, stay.
+    """Rows of ``df``, all columns kept: of each group of linked texts the one
+    with the smallest key stays, of several of that key the one whose text
+    comes first; of rows that are equal in key and text one stays. Texts that
+    link with nothing stay, also where their key has other rows, and so do
+    rows without a key. Here a null text equals null texts alone.
 
     Only keys that go are joined, as a broadcast while they are few, so texts
-    are not shuffled for it."""
+    are not shuffled for it, unless keys repeat."""
+    keyed = df.filter(F.col(f"`{key}`").isNotNull())
+    again = cut(keyed.groupBy(key).count().filter("count > 1").select(key))
+    if again.isEmpty():
+        return _unlinked(df, words, percent, key, text)
+    # Each text of a repeated key is a document of its own, known by its place
+    # in order of key and text. Written, as a second sort may number otherwise.
+    few, same = _few(again), F.sha2(F.col(f"`{text}`"), 256)
+    several = keyed.join(few, key, "left_semi").withColumn("__same", same).dropDuplicates([key, "__same"])
+    rows = keyed.join(few, key, "left_anti").select(*df.columns).union(several.select(*df.columns))
+    placed = written(rows.orderBy(key, text).withColumn("__place", F.monotonically_increasing_id()))
+    kept = _unlinked(placed, words, percent, "__place", text)
+    return kept.select(*df.columns).union(df.filter(F.col(f"`{key}`").isNull()))
+
+
+def _unlinked(df: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """Rows of ``df`` but those that link to one with a smaller key; no key
+    has several rows."""
     found = cut(join(df, words, percent, key, text).select(key, "component_id"))
     gone = found.filter(F.col(f"`{key}`") != F.col("component_id")).select(key).distinct()
-    kept = df.join(_few(gone), key, "left_anti")
-    again = cut(found.filter(F.col(f"`{key}`").isNotNull()).groupBy(key).count().filter("count > 1").select(key))
-    if again.isEmpty():
-        return kept.select(*df.columns)
-    first = Window.partitionBy(key).orderBy(text)
-    one = kept.join(_few(again), key, "left_semi").withColumn("__row", F.row_number().over(first)).filter("__row = 1")
-    return kept.join(_few(again), key, "left_anti").select(*df.columns).union(one.select(*df.columns))
+    return df.join(_few(gone), key, "left_anti").select(*df.columns)
 
 
 def _few(keys: DataFrame) -> DataFrame:

@@ -87,6 +87,22 @@ def test_consensus(spark):
     assert html.extract(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_split_article(spark):
+    """An article in containers of different classes keeps all of them."""
+    lead, body, more = "lead " * 60, "body " * 100, "more " * 40
+    beside = "<div class=sidebar><p>" + "junk " * 90 + "</p></div>"
+    two = f"<body><div class=content><div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div></div>{beside}</body>"
+    deep = f"<body><div class=content><div class=lead>{lead}</div><div class=wrap><div class=body>{body}</div></div><section>{more}</section></div>{beside}</body>"
+    alike = f"<body><div class=wrap><div class=part>{lead}</div><div class=part>{body}</div></div><div class=end>end</div>{beside}</body>"
+    links = f"<body><div class=body>{body}</div><div class=list><a href=/>{more}</a></div></body>"
+    want = {1: lead + body, 2: lead + body + more, 3: lead + body, 4: body}
+    for i, source in enumerate((two, deep, alike, links), 1):
+        assert html.Page(source).text(None).split() == want[i].split(), i
+    rows = [(i, "https://two.org/a", two) for i in (1, 11, 12)] + [(2, "https://deep.org/", deep), (3, "https://alike.org/", alike), (4, "https://links.org/", links)]
+    got = {r.page_id: r.text.split() for r in html.extract(frame(spark, rows)).collect()}
+    assert all(got[i] == want[i].split() for i in want) and got[11] == got[12] == got[1]
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 

@@ -2,7 +2,8 @@
 
 Each page is parsed into its block elements; its containers are scored by the
 text of the blocks in them that is neither boilerplate nor inside links, and
-the page votes for the generalised tag-class path of its best one. Votes are
+the page votes for the generalised tag-class path of its best one, or of one
+around it where text beside the best is a sizable share. Votes are
 counted per host in Spark, by partial sums, so a host with a third of all
 pages costs no task more than a row from each other. Then every page is
 extracted anew: by its host's winning path where it leads to text, else by
@@ -54,6 +55,10 @@ CLOSES = {
 }
 CONTAINERS = frozenset("article main section div td body center blockquote".split())
 
+#: Share of a container's text, outside boilerplate and links, that must not be
+#: lost to a better container in it.
+SHARE = 0.1
+
 #: Elements that never hold main text, and words in class or id that mark such.
 DROPPED = frozenset("head script style noscript template svg math nav footer aside form button select textarea iframe object embed canvas audio video map dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -173,8 +178,9 @@ class Page:
 
         Text counts in full for the nearest container around its block and by
         half for each one further out; an article or main element has all its
-        text in full."""
-        score = [0.0] * len(self.tag)
+        text in full. If that is neither and elements of its path lack SHARE
+        of the text of a container around it, that container is taken."""
+        score, held = [0.0] * len(self.tag), [0] * len(self.tag)
         around: dict[int, list[int]] = {}
         for at, text, linked in self.pieces:
             if text is None or linked or self.dropped[at]:
@@ -182,6 +188,7 @@ class Page:
             size = len(text.strip())
             if not size:
                 continue
+            held[at] += size
             chain = around.get(at)
             if chain is None:
                 chain, i = [], at
@@ -197,7 +204,19 @@ class Page:
         if not any(score):
             return "", 0.0
         top = max(range(len(score)), key=lambda i: (score[i], -i))
-        return self.path[top], score[top]
+        if self.tag[top] in ("article", "main"):
+            return self.path[top], score[top]
+        by_path: dict[str, int] = {}
+        for i in range(len(held) - 1, 0, -1):
+            held[self.parent[i]] += held[i]
+            by_path[self.path[i]] = by_path.get(self.path[i], 0) + held[i]
+        path, i = self.path[top], self.parent[top]
+        while i > 0:
+            whole = by_path[self.path[i]]
+            if self.tag[i] in CONTAINERS and whole - by_path[path] >= SHARE * whole:
+                path = self.path[i]
+            i = self.parent[i]
+        return path, score[top]
 
     def text_at(self, path: str) -> str:
         """Main text in the elements of a path, in page order."""

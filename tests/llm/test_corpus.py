@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from veridoc.llm import components, decontaminate, jaccard, substring, toxicity
 from veridoc.llm.common import space_words
@@ -183,6 +185,104 @@ def test_substring_odd_rows(spark):
     assert substring.dedup(df.limit(0)).count() == 0
 
 
+def brute_ends(data):
+    """Boundaries by the rules as stated, place by place."""
+    n, table = len(data), substring._GEAR.tolist()
+    h = [sum(table[data[i - k]] << k for k in range(min(16, i + 1))) % 65536 for i in range(n)]
+    between = lambda i: data[i] in b"\t\n\x0b\x0c\r " or data[i] >= 0xE0
+    character = lambda i: data[i] & 0xC0 != 0x80
+    places = [i for i in range(1, n) if between(i)] if n > substring.LEAST else []
+
+    def least(at, near):
+        return [i for k, i in enumerate(at) if h[i - 1] == min(h[j - 1] for j in at[max(0, k - near) : k + near + 1])]
+
+    cuts = {i for i in places if h[i - 1] < 65536 // substring.ODDS} | set(least(places, substring.NEAR))
+    bounds = [0, *sorted(cuts), n]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if b - a > substring.MOST and n > substring.LEAST:
+            cuts |= set(least([i for i in range(a + 1, b) if character(i)], substring.NEAR_CHARACTERS))
+    ends, last = [], 0
+    for i in [*sorted(cuts), n] if n > substring.LEAST else []:
+        while i - last > substring.MOST:
+            last = min((k for k in range(last + substring.LEAST, last + substring.MOST + 1) if character(k)), key=lambda k: (h[k - 1], k))
+            ends.append(last)
+        if i - last >= substring.LEAST and i < n:
+            ends.append(i)
+            last = i
+    return [*ends, n] if n and ends[-1:] != [n] else ends
+
+
+def brute_dedup(rows, min_run=substring.MIN_RUN):
+    """(text, removed code points) of each row, with chunks compared as bytes."""
+    chunks, first = {}, {}
+    for i, t in rows:
+        data = (t or "").encode()
+        ends = brute_ends(data)
+        own = [data[a:b].strip() for a, b in zip([0, *ends], ends, strict=False)]
+        chunks[i, t] = (ends, list(zip([None, *own], own, strict=False)))
+        for k, c in enumerate(chunks[i, t][1]):
+            if i is not None:
+                first[c] = min(first.get(c, (i, zlib.crc32(data), k)), (i, zlib.crc32(data), k))
+    out = []
+    for i, t in rows:
+        ends, pairs = chunks[i, t]
+        data = (t or "").encode()
+        again = [i is not None and first[c] != (i, zlib.crc32(data), k) for k, c in enumerate(pairs)]
+        gone = [x or y for x, y in zip(again, [*again[1:], False], strict=False)]
+        spans, a = [], 0
+        for b, x in zip(ends, gone, strict=True):
+            if x and spans and spans[-1][1] == a:
+                spans[-1][1] = b
+            elif x:
+                spans.append([a, b])
+            a = b
+        spans = [(a, b) for a, b in spans if b - a >= min_run or b - a == len(data)]
+        left = data
+        for a, b in reversed(spans):
+            left = left[:a] + left[b:]
+        left = left.decode()
+        left = left.lstrip() if spans and spans[0][0] == 0 else left
+        out.append((i, t if t is None else left, len(t or "") - len(left)))
+    return out
+
+
+@pytest.mark.parametrize("seed,meet", [(21, None), (22, 50), (23, 7)])
+def test_substring_brute_force(spark, monkeypatch, seed, meet):
+    """Also where batches and owners hold little, so that all is met in turns."""
+    if meet:
+        for name, value in (("PACK", 3000), ("MEET", meet), ("PIECE", 5)):
+            monkeypatch.setattr(substring, name, value)
+    rng = random.Random(seed)
+    passages = [sentence(rng, rng.choice((8, 20, 45, 90))) for _ in range(8)] + ["漢字仮名" * 60, "ab " * 200, "é" * 700]
+    rows = [(None, passages[0]), (None, passages[0]), (900, None), (901, ""), (902, " ")]
+    for i in range(60):
+        t = " ".join(x for _ in range(rng.randrange(1, 4)) for x in (sentence(rng, rng.randrange(0, 40)), rng.choice(passages)))
+        rows += [(i // 2 * 7 % 30, t)] * rng.choice((1, 1, 1, 3))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text, r.n_removed) for r in substring.dedup(df.selectExpr("*", "1 AS id", "2 AS mark", "3 AS places")).collect()]
+    assert sorted(got, key=str) == sorted(brute_dedup(rows), key=str)
+
+
+def test_substring_hot_chunk(spark, monkeypatch):
+    """A line that all documents share adds next to nothing to its owner: by
+    bytes, no bucket has much more than the others."""
+    rng = random.Random(24)
+    line = "this very line stands in each and every one of the documents here"
+    rows = [(i, f"{sentence(rng, 30)}\n{line}\n{sentence(rng, 20)}\n{line}") for i in range(3000)]
+    seen = []
+    deal = substring._deal
+    monkeypatch.setattr(substring, "PACK", 40_000)
+    monkeypatch.setattr(substring, "PIECE", 200)
+    monkeypatch.setattr(substring, "_deal", lambda packed: (seen.append(packed), deal(packed))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = df.selectExpr("doc_id AS id", "text")
+    marks = {(r.id, k) for r in substring.repeats(docs).collect() for k in r.places}
+    assert len(marks) > 2 * len(rows)
+    sizes = sorted(r.s for r in seen[0].groupBy("bucket").agg(F.sum(F.length("digest") + F.length("id") + F.length("mark") + F.length("place")).alias("s")).collect())
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 

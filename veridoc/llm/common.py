@@ -25,10 +25,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. A private one is made only where the session has none (local
-    tests)."""
+    the session. A private one is made only where a local session has none, as
+    in tests; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="veridoc-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -96,6 +98,18 @@ def texts(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, changed where ``df`` has a column of that name already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns never reach an operator."""
     return df.select(*[F.col(f"`{n}`") for n in names])

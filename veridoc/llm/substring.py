@@ -12,15 +12,19 @@ all occurrences but the first, in order of (document, place), are repeats, and
 repeat both chunks. Runs of repeated chunks of at least ``min_run`` bytes are
 removed.
 
-Only one row for each distinct digest of a task's batch is shuffled, packed by
-digest range; other occurrences in the batch are repeats whatever stands
-elsewhere. A chunk that a third of all documents share thus costs its owner
-one row a batch.
+The owner of a digest range gets one occurrence of each distinct digest of a
+task's batch, packed; all others of the batch are repeats whatever stands
+elsewhere, so they are dealt evenly, without their digests. An owner keeps one
+occurrence of a digest and passes on what is beaten, batch by batch: a chunk
+that a third of all documents share weighs on it by one row a batch, and on its
+memory by one.
 
 Defined results: a null text stays null and has no chunks; rows of equal id
 and text are one document, and keep or lose the same spans; rows without an
 id are left as they are and repeat nothing; texts shorter than ``min_run``
-bytes stay whole unless they repeat as a whole.
+bytes stay whole unless they repeat as a whole; a very long text costs time in
+proportion and some 60 bytes for each of its chunks; an empty table gives an
+empty result; columns may have any names.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import arrow_schema, mix64, narrow
-from veridoc.llm.jaccard import _by_bucket, _deal, _range_bits
+from veridoc.llm.common import arrow_schema, cut, free_names, mix64, narrow
+from veridoc.llm.jaccard import _deal, _range_bits
 
 #: One in so many places between words is a boundary: chunks of some 4 words.
 ODDS = 3
@@ -49,6 +53,10 @@ NEAR, NEAR_CHARACTERS = 12, 32
 MIN_RUN = 100
 #: Bytes of text that a task gathers before it packs their chunks.
 PACK = 6_000_000
+#: Occurrences that the owner of a digest range gathers before it compares them.
+MEET = 1_000_000
+#: Occurrences in a row that has no owner, and how far apart such rows go.
+PIECE, _STRIDE = 20_000, 7919
 
 _GEAR = np.random.RandomState(20240602).randint(0, 1 << 16, 256).astype(np.uint16)
 
@@ -173,51 +181,70 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def _packed(held: list) -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        cols, first = _ordered(cols)
-        bucket = (cols[0] >> np.uint64(64 - bits)).astype(np.int32)
-        kept, rest = [c[first] for c in cols], [c[~first] for c in cols]
-        for known, part, b in ((0, kept, bucket[first]), (1, rest, bucket[~first])):
-            if not len(b):
-                continue
-            at = np.flatnonzero(np.diff(b, prepend=-1))
-            ends = np.append(at[1:], len(b))
-            blobs = [pa.array([c[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()) for c in part]
-            yield pa.RecordBatch.from_arrays([pa.array(b[at]), *blobs, pa.array(np.full(len(at), known, np.int32))], schema=shape)
+        cols, first, beaten = _ordered(cols)
+        kept, rest = [c[first] for c in cols], [c[beaten] for c in cols]
+        bucket = (kept[0] >> np.uint64(64 - bits)).astype(np.int32)
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(at[1:], len(bucket))
+        blobs = [pa.array([c[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()) for c in kept]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), *blobs, pa.array(np.zeros(len(at), np.int32))], schema=shape)
+        # In any bucket, as nothing is to be met there: pieces follow one another.
+        at = range(0, len(rest[0]), PIECE)
+        start = int(kept[0][0] ^ np.uint64(len(bucket))) % (1 << bits)
+        blobs = [pa.array([c[i : i + PIECE].tobytes() for i in at], pa.binary()) for c in rest[1:]]
+        anywhere = pa.array([(start + k * _STRIDE) % (1 << bits) for k in range(len(at))], pa.int32())
+        yield pa.RecordBatch.from_arrays([anywhere, pa.array([b""] * len(at), pa.binary()), *blobs, pa.array(np.ones(len(at), np.int32))], schema=shape)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in _by_bucket(batches, 5):
-            cols = [[], []]
-            for *parts, known in zip(*blobs, strict=True):
-                cols[known].append([np.frombuffer(p, t) for p, t in zip(parts, (np.uint64, np.int64, np.uint32, np.int32), strict=True)])
-            out = [[np.concatenate(c) for c in zip(*part, strict=True)] for part in cols if part]
-            if cols[0]:
-                ordered, first = _ordered(out[0])
-                out[0] = [c[~first] for c in ordered]
-            merged = [np.concatenate(c)[:] for c in zip(*out, strict=True)]
-            yield from _by_document(merged[1], merged[2], merged[3])
+        now, held, size, most = None, [], 0, MEET
+        for rb in batches:
+            for bucket, digest, *parts, known in zip(*(rb.column(k).to_pylist() for k in range(6)), strict=True):
+                cols = [np.frombuffer(p, t) for p, t in zip(parts, (np.int64, np.uint32, np.int32), strict=True)]
+                if known:
+                    yield from _by_document(*cols)
+                    continue
+                if bucket != now or size >= most:
+                    held, beaten = _settle(held)
+                    yield from _by_document(*beaten)
+                    now, held, size = bucket, held if bucket == now else [], 0
+                    # At least as many again before the next comparison.
+                    most = max(MEET, len(held[0][0]) if held else 0)
+                held.append([np.frombuffer(digest, np.uint64), *cols])
+                size += len(cols[0])
+        yield from _by_document(*_settle(held)[1])
+
+    def _settle(held: list) -> tuple[list, list]:
+        """One occurrence of each digest, and the beaten ones."""
+        if not held:
+            return [], [np.empty(0, t) for t in (np.int64, np.uint32, np.int32)]
+        cols, first, beaten = _ordered([np.concatenate(c) for c in zip(*held, strict=True)])
+        return [[c[first] for c in cols]], [c[beaten] for c in cols[1:]]
 
     def _by_document(x: np.ndarray, mark: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(x):
             return
-        order = np.lexsort((mark, x))
+        order = np.lexsort((place, mark, x))
         x, mark, place = x[order], mark[order].astype(np.int64), place[order]
-        at = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (mark[1:] != mark[:-1])))
+        new = np.append(True, (x[1:] != x[:-1]) | (mark[1:] != mark[:-1]))
+        one = new | np.append(True, place[1:] != place[:-1])
+        x, mark, place, new = x[one], mark[one], place[one], new[one]
+        at = np.flatnonzero(new)
         lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(x)).astype(np.int32)), pa.array(place))
         yield pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array(mark[at]), lists.cast(found.field(2).type)], schema=found)
 
     return _deal(docs.mapInArrow(pack, ddl)).mapInArrow(meet, FOUND)
 
 
-def _ordered(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Occurrences in order of (digest, id, mark, place), and which of them
-    are the first of their digest. The same place of the same document,
-    should its row be repeated, is the first too."""
+def _ordered(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Occurrences in order of (digest, id, mark, place), which of them are
+    the first of their digest, and which are beaten by that. The same place of
+    the same document, should its row be repeated, is neither."""
     order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
     cols = [c[order] for c in cols]
     start = np.append(True, cols[0][1:] != cols[0][:-1])
     leader = np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
     same = (cols[1] == cols[1][leader]) & (cols[2] == cols[2][leader]) & (cols[3] == cols[3][leader])
-    return cols, start | same
+    return cols, start, ~same
 
 
 def runs(ends: list[int], places: set[int], min_run: int) -> list[tuple[int, int]]:
@@ -256,10 +283,13 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str =
     counts the code points that went; a column of that name is replaced."""
     spark, df = df.sparkSession, df.drop("n_removed")
     docs = narrow(df, key, text).select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL")
-    found = repeats(docs).groupBy("id", "mark").agg(F.flatten(F.collect_list("places")).alias("places"))
-    found = found.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("places").alias("__places"))
+    # Sets, as many rows of equal id and text give equal lists. Cut, so that the
+    # join has plain exchanges on both sides and a hot key can be split.
+    found = cut(repeats(docs).groupBy("id", "mark").agg(F.flatten(F.collect_set("places")).alias("places")))
+    i, m, p = free_names(df, "id", "mark", "places")
+    found = found.select(F.col("id").alias(i), F.col("mark").alias(m), F.col("places").alias(p))
     mark = F.crc32(F.encode(F.col(f"`{text}`"), "utf-8"))
-    rows = df.join(found, (F.col(f"`{key}`").cast("bigint") == F.col("__id")) & (mark == F.col("__mark")), "left").drop("__id", "__mark")
+    rows = df.join(found, (F.col(f"`{key}`").cast("bigint") == F.col(i)) & (mark == F.col(m)), "left").drop(i, m)
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "n_removed bigint"])
     shape, at = arrow_schema(spark, ddl), df.columns.index(text)
     sized = df.columns.index(n_chars) if n_chars in df.columns else None

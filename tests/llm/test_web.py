@@ -1,7 +1,10 @@
 """WARC, HTML and URL operators."""
 
-import hashlib
 import base64
+import hashlib
+import random
+import time
+import tracemalloc
 import zlib
 
 import pytest
@@ -103,6 +106,69 @@ def test_split_article(spark):
     assert all(got[i] == want[i].split() for i in want) and got[11] == got[12] == got[1]
 
 
+def drawn_page(rng):
+    """A page drawn as a tree, and the text that its article holds: what is
+    written and what is wanted come from the same tree, not from a parser."""
+    words = lambda n: " ".join(rng.choice(["one", "two &amp; half", "thr&eacute;e", "fo  ur", "five\n", "漢字", "a &lt; b"]) for _ in range(n))
+    plain = lambda t: " ".join(t.replace("&amp;", "&").replace("&eacute;", "é").replace("&lt;", "<").split())
+    inline = lambda t: rng.choice(["{}", "<b>{}</b>", "<em class=x>{}</em>", "<a href='/q?a=1&b=2'>{}</a>", "<span>{}</span>"]).format(t)
+    junk = lambda: rng.choice(
+        ["<nav><ul><li>menu<li>more</ul></nav>", "<script>if (a < b) document.write('<p>no</p>')</script>", "<style>p > a {}</style>", "<aside><p>beside it</p></aside>", "<div class='ad-box'>buy <p>this</p></div>",
+         "<form><p>name <input name=x> <button>send</button></form>", "<!-- no <p>text</p> -->", "<div role=banner>top</div>", "<ul class=comments><li>said one<li>said two</ul>", "<div id=cookie-notice>we use cookies</div>"]
+    )
+
+    def block(depth):
+        kind = rng.randrange(6) if depth < 4 else 0
+        if kind < 2:
+            t, u = words(rng.randrange(1, 9)), words(3)
+            name = rng.choice(["p", "h2", "blockquote", "pre"])
+            return f"<{name}>{inline(t)} {u}</{name}>", plain(t + " " + u)
+        if kind == 2:
+            items = [words(3) for _ in range(rng.randrange(1, 4))]
+            return "<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>", plain(" ".join(items))
+        if kind == 3:
+            cells = [[words(2) for _ in range(2)] for _ in range(2)]
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in cells) + "</table>", plain(" ".join(c for r in cells for c in r))
+        if kind == 4:
+            return junk(), ""
+        inner = [block(depth + 1) for _ in range(rng.randrange(1, 4))]
+        return f"<div class='{rng.choice(['part', 'col-2 text', 'row'])}'>" + "".join(a for a, _ in inner) + "</div>", " ".join(b for _, b in inner if b)
+
+    blocks = [block(0) for _ in range(rng.randrange(3, 9))] + [("<p>The article's own last line of text.</p>", "The article's own last line of text.")]
+    around = [junk() for _ in range(6)]
+    source = f"<!doctype html><html><head><title>t</title></head><body>{''.join(around[:3])}<article class='post-{rng.randrange(99)}'>" + "".join(a for a, _ in blocks) + f"</article>{''.join(around[3:])}<footer>end</footer></body></html>"
+    return source, " ".join(b for _, b in blocks if b)
+
+
+def test_html_brute_force(spark):
+    rng = random.Random(31)
+    drawn = [drawn_page(rng) for _ in range(300)]
+    rows = [(i, f"https://h{i % 7}.org/{i}", s) for i, (s, _) in enumerate(drawn)]
+    rows += [(300, "https://h0.org/", drawn[0][0])] * 2 + [(None, "https://h0.org/", drawn[1][0]), (301, None, None)]
+    want = [t for _, t in drawn] + [drawn[0][1]] * 2 + [drawn[1][1], ""]
+    df = frame(spark, rows).selectExpr("*", "1 AS host", "2 AS path", "3 AS __of")
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in html.extract(df).collect()]
+    assert sorted(got, key=str) == sorted(((i, u, t, len(t)) for (i, u, _), t in zip(rows, want, strict=True)), key=str)
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<a " * 350_000, ""), ("<div>x" * 100_000, "x " * 100_000), ("<div class='a b'>" * 100_000 + "<p>text", "text"), ("<ul>" + "<div>" * 50_000 + "<li>y</li>" * 50_000, "y " * 50_000),
+        ("<p a=\"<a b='" * 100_000, ""), ("<p " + "n" * 1_000_000 + ">t", "t"), ("<script>" + "</script " * 100_000, ""), ("<p " + " " * 1_000_000 + ">t", "t"), ("<!--" * 200_000, ""), ("<p class='" + "c " * 400_000 + "'>t</p>", "t"),
+    ],
+)
+def test_long_markup(source, text):
+    """A megabyte of hostile markup takes seconds and no memory to speak of."""
+    tracemalloc.start()
+    start = time.process_time()
+    page = html.Page(source)
+    found = page.text(page.best()[0])
+    spent, peak = time.process_time() - start, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == text.strip() and spent < 30 and peak < 200_000_000
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 

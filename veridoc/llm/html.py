@@ -14,8 +14,13 @@ a broadcast while they are few, else joined.
 
 Defined results: a null or empty html, or a page without text outside
 boilerplate, has the empty text; a null URL counts as the empty host;
-markup that a cut-off page ends in is dropped; unclosed elements end where
-their parents do.
+markup that a cut-off page ends in is dropped, and a tag that never ends goes
+up to the next "<"; unclosed elements end where their parents do; repeated rows
+vote and are extracted one by one, of paths with equal votes the one with more
+text wins, then the last in order; an empty table gives an empty result; extra
+columns are not read. Time and memory are in proportion to a page's length,
+whatever its tags and however deep they nest; a page whose unending tags would
+cost more (``BROKEN`` times its length) ends there.
 """
 
 from __future__ import annotations
@@ -70,97 +75,144 @@ MARKS = frozenset(
 #: As MARKS, unless inside an article.
 HEADER_MARKS = frozenset({"header", "site-header", "page-header"})
 
-_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?>[^'\">]+|\"[^\"]*\"|'[^']*')*+)>|!--(.*?)(?:-->|--!>|$)|[!?/][^>]*(?:>|$))", re.S)
-_CUT_OFF = re.compile(r"<[a-zA-Z/!?][^<>]*$")
-_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?/])")
+_COMMENT_END = re.compile(r"--!?>")
+#: Up to the end of a tag or the start of a quoted value.
+_IN_TAG = re.compile(r"[^'\">]*")
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?+""")
+#: Work on tags that do not end, in lengths of the page, after which it ends.
+BROKEN = 8
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*", re.I)
 _DIGITS = re.compile(r"\d+")
 
 
+class _Tags:
+    """Where the tags of a source end."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.last_quote = {q: source.rfind(q) for q in "'\""}
+        self.left = BROKEN * len(source) + 10_000
+
+    def end(self, pos: int) -> int:
+        """Where the tag whose name ends at ``pos`` has its ">"; -1 if it has
+        none. A quote counts where a value begins."""
+        source, i = self.source, pos
+        while i <= self.last:
+            i = _IN_TAG.match(source, i).end()
+            c = source[i : i + 1]
+            if c == ">":
+                return i
+            if not c:
+                break
+            if source[pos:i].rstrip()[-1:] == "=" if i - pos < 256 else source[i - 256 : i].rstrip()[-1:] == "=":
+                if i >= self.last_quote[c]:
+                    break
+                i = source.find(c, i + 1)
+            i += 1
+        self.left -= i - pos + 1
+        return -1
+
+
 class Page:
     """Block elements of a page and the text in them.
 
-    Elements are in page order: ``tag``, generalised ``path``, ``parent`` and
-    ``dropped``. ``pieces`` are (element, text, inside a link); a text of None
-    is a break.
+    Elements are in page order: ``tag``, ``path``, ``parent`` and ``dropped``;
+    a path is a number, of the path of the parent and a generalised step.
+    ``pieces`` are (element, text, inside a link); a text of None is a break.
     """
 
     def __init__(self, source: str):
-        self.tag, self.path, self.parent, self.dropped = [""], [""], [-1], [False]
+        self.tag, self.path, self.parent, self.dropped, self.within = [""], [0], [-1], [False], [False]
+        self.steps: dict[tuple[int, str], int] = {}
         self.pieces: list[tuple[int, str | None, bool]] = []
-        stack, links, pos, n = [0], 0, 0, len(source)
-        add = self.pieces.append
+        #: Open elements, and where in that stack those of each tag are.
+        self.stack: list[int] = [0]
+        self.open: dict[str, list[int]] = {"": [0]}
+        stack, links, pos, n = self.stack, 0, 0, len(source)
+        add, tags = self.pieces.append, _Tags(source)
         while pos < n:
             m = _TAG.search(source, pos)
             end = m.start() if m else n
             if end > pos:
-                text = source[pos:end]
-                if m is None:
-                    text = _CUT_OFF.sub("", text)
-                if text:
-                    add((stack[-1], text, links > 0))
+                add((stack[-1], source[pos:end], links > 0))
             if m is None:
                 break
-            pos = m.end()
             name = m[2]
             if name is None:
+                close = _COMMENT_END.search(source, m.end()) if m[3] else None
+                pos = close.end() if close else n if m[3] else (source.find(">", m.end()) + 1 or n)
                 continue
+            at = tags.end(m.end())
+            if at < 0:
+                if tags.left < 0:
+                    break
+                pos = source.find("<", m.end())
+                if pos < 0:
+                    break
+                continue
+            inside, pos = source[m.end() : at], at + 1
             name = name.lower()
             if m[1]:
                 if name == "a":
                     links = max(0, links - 1)
                 elif name not in INLINE:
                     add((stack[-1], None, False))
-                    if name in [self.tag[i] for i in stack]:
-                        while self.tag[stack.pop()] != name:
-                            pass
+                    if self.open.get(name):
+                        self._close(self.open[name][-1])
                         links = 0 if name in ("p", "li", "div", "nav", "article") else links
                 continue
             if name == "a":
                 links += 1
                 continue
             if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, pos)
-                pos = close.end() if close else n
+                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, pos)
+                pos = (source.find(">", close.end()) + 1 or n) if close else n
                 continue
-            attributes = _attributes(m[3]) if m[3] else {}
             if name in INLINE or name in VOID:
                 if name in ("br", "hr"):
                     add((stack[-1], None, False))
                 continue
-            self._end_implied(stack, name)
+            self._end_implied(name)
             add((stack[-1], None, False))
-            self._open(stack, name, attributes)
-            if m[3].endswith("/") and name in ("svg", "math"):
-                stack.pop()
-
-    def _end_implied(self, stack: list[int], name: str) -> None:
-        tag = self.tag
-        if name in ENDS_P and tag[stack[-1]] == "p":
-            stack.pop()
+            self._push(name, _attributes(inside) if inside else {})
+            if inside.endswith("/") and name in ("svg", "math"):
+                self._close(len(stack) - 1)
+
+    def _close(self, depth: int) -> None:
+        """Closes the element at a depth of the stack and all in it."""
+        while len(self.stack) > depth:
+            self.open[self.tag[self.stack.pop()]].pop()
+
+    def _deepest(self, tags: frozenset | set) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def _end_implied(self, name: str) -> None:
+        if name in ENDS_P and self.tag[self.stack[-1]] == "p":
+            self._close(len(self.stack) - 1)
         if name in CLOSES:
             closed, parents = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] in parents:
-                    break
-                if tag[stack[k]] in closed:
-                    del stack[k:]
-                    break
-
-    def _open(self, stack: list[int], name: str, attributes: dict[str, str]) -> None:
-        up = stack[-1]
-        classes = sorted({_DIGITS.sub("N", c) for c in attributes.get("class", "").lower().split()})
-        path = f"{self.path[up]}/{name}" + "".join(f".{c}" for c in classes)
+            around = self._deepest(parents)
+            inner = [d for t in closed for d in self.open.get(t, ())[-1:] if d > around]
+            if inner:
+                self._close(max(inner))
+
+    def _push(self, name: str, attributes: dict[str, str]) -> None:
+        up = self.stack[-1]
+        classes = sorted({_DIGITS.sub("N", c) for c in attributes.get("class", "").lower().replace("/", "%2f").split()})
+        step = name.replace("/", "%2f") + "".join(f".{c}" for c in classes)
         self.tag.append(name)
-        self.path.append(path)
+        self.path.append(self.steps.setdefault((self.path[up], step), len(self.steps) + 1))
         self.parent.append(up)
-        self.dropped.append(self.dropped[up] or self._boilerplate(stack, name, attributes))
-        stack.append(len(self.tag) - 1)
+        self.dropped.append(self.dropped[up] or self._boilerplate(self.within[up], name, attributes))
+        self.within.append(self.within[up] or name in ("article", "main"))
+        self.open.setdefault(name, []).append(len(self.stack))
+        self.stack.append(len(self.tag) - 1)
 
-    def _boilerplate(self, stack: list[int], name: str, attributes: dict[str, str]) -> bool:
+    @staticmethod
+    def _boilerplate(inside: bool, name: str, attributes: dict[str, str]) -> bool:
         if name in DROPPED:
             return True
-        inside = any(self.tag[i] in ("article", "main") for i in stack)
         if name == "header" and not inside:
             return True
         if not attributes or name in ("html", "body", "article", "main"):
@@ -178,48 +230,60 @@ class Page:
 
         Text counts in full for the nearest container around its block and by
         half for each one further out; an article or main element has all its
-        text in full. If that is neither and elements of its path lack SHARE
-        of the text of a container around it, that container is taken."""
-        score, held = [0.0] * len(self.tag), [0] * len(self.tag)
-        around: dict[int, list[int]] = {}
+        text, by one and a half. If the best is neither and elements of its
+        path lack SHARE of the text of a container around it, that container
+        is taken."""
+        size = len(self.tag)
+        held, score = [0] * size, [0.0] * size
         for at, text, linked in self.pieces:
-            if text is None or linked or self.dropped[at]:
-                continue
-            size = len(text.strip())
-            if not size:
-                continue
-            held[at] += size
-            chain = around.get(at)
-            if chain is None:
-                chain, i = [], at
-                while i > 0:
-                    if self.tag[i] in CONTAINERS:
-                        chain.append(i)
-                    i = self.parent[i]
-                around[at] = chain
-            weight = 1.0
-            for i in chain:
-                score[i] += size * (1.5 if self.tag[i] in ("article", "main") else weight)
-                weight /= 2
-        if not any(score):
+            if text is not None and not linked and not self.dropped[at]:
+                held[at] += len(text.strip())
+        by_path: dict[int, int] = {}
+        flow = [float(h) for h in held]
+        for i in range(size - 1, 0, -1):
+            up, out = self.parent[i], flow[i]
+            held[up] += held[i]
+            by_path[self.path[i]] = by_path.get(self.path[i], 0) + held[i]
+            if self.tag[i] in CONTAINERS:
+                score[i] = 1.5 * held[i] if self.tag[i] in ("article", "main") else out
+                out /= 2
+            flow[up] += out
+        top = max(range(size), key=lambda i: (score[i], -i))
+        if not score[top]:
             return "", 0.0
-        top = max(range(len(score)), key=lambda i: (score[i], -i))
         if self.tag[top] in ("article", "main"):
-            return self.path[top], score[top]
-        by_path: dict[str, int] = {}
-        for i in range(len(held) - 1, 0, -1):
-            held[self.parent[i]] += held[i]
-            by_path[self.path[i]] = by_path.get(self.path[i], 0) + held[i]
+            return self._name(self.path[top]), score[top]
         path, i = self.path[top], self.parent[top]
         while i > 0:
             whole = by_path[self.path[i]]
             if self.tag[i] in CONTAINERS and whole - by_path[path] >= SHARE * whole:
                 path = self.path[i]
             i = self.parent[i]
-        return path, score[top]
+        return self._name(path), score[top]
+
+    def _name(self, path: int) -> str:
+        """Text of a path: "/" before each step."""
+        up = {number: step for step, number in self.steps.items()}
+        out = []
+        while path:
+            path, step = up[path]
+            out.append(step)
+        return "".join("/" + step for step in reversed(out))
+
+    def _number(self, name: str) -> int:
+        """The path of that text; -1 if the page has none."""
+        path = 0
+        for step in name.split("/")[1:]:
+            path = self.steps.get((path, step), -1)
+            if path < 0:
+                break
+        return path
 
-    def text_at(self, path: str) -> str:
+    def text_at(self, name: str) -> str:
         """Main text in the elements of a path, in page order."""
+        path = self._number(name)
+        if path < 0:
+            return ""
         inside = [False] * len(self.tag)
         for i in range(1, len(inside)):
             inside[i] = inside[self.parent[i]] or self.path[i] == path

@@ -11,9 +11,10 @@ Payloads are deduplicated: of records with equal payloads of at least
 are revisits without a payload whose headers carry its length, digest and the
 record that they refer to.
 
-Tasks write their part under a temporary name and rename it when whole, so a
-task that runs again replaces its own output. A task holds one record and one
-stream buffer.
+Each attempt of a task writes a file of its own name, and only the rows of
+attempts that ended well, kept by a checkpoint, say which files count: a task
+that runs again, or twice at once, never touches a file that a reader may have
+open. A task holds one record and one stream buffer.
 
 Defined results: a null html is an empty payload; a null URL gives a record
 without a target; control characters in a URL are percent-encoded; rows of
@@ -87,14 +88,13 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (pafs.LocalFileSystem(), uri)
 
 
-class _Whole:
-    """A file that gets its name when it is whole."""
+class _Sink:
+    """A file that is written from end to end."""
 
     def __init__(self, uri: str):
         self.fs, self.path = _open(uri)
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
-        self.trial = f"{self.path}.{uuid.uuid4().hex}"
-        self.sink = self.fs.open_output_stream(self.trial)
+        self.sink = self.fs.open_output_stream(self.path, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:
@@ -103,9 +103,6 @@ class _Whole:
 
     def close(self) -> None:
         self.sink.close()
-        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
-            self.fs.delete_file(self.path)
-        self.fs.move(self.trial, self.path)
 
 
 def _headers(block: bytes) -> dict[bytes, bytes]:
@@ -148,7 +145,7 @@ def inflate(file, buffer: int = BUFFER) -> Iterator[bytes]:
 def normalise(source: str, target: str) -> int:
     """Rewrites one archive with a gzip member a record and writes its index,
     lines of (offset, length); returns the number of records."""
-    out, index, n = _Whole(target), _Whole(target + ".idx"), 0
+    out, index, n = _Sink(target), _Sink(target + ".idx"), 0
     fs, path = _open(source)
     with fs.open_input_file(path) as f:
         for rec in read_records(inflate(f)):
@@ -194,17 +191,18 @@ def write(pages: DataFrame, out: str, *, least: int = 0, key: str = "page_id", u
     shape = arrow_schema(pages.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sink, z, part = None, None, TaskContext.get().partitionId()
+        sink, z, source, part = None, None, "", TaskContext.get().partitionId()
         for rb in batches:
             for x, u, h, first in zip(*(rb.column(k).to_pylist() for k in range(4)), strict=True):
                 if sink is None:
-                    sink, z = _Whole(f"{out}/part-{part:05d}.warc.gz"), zlib.compressobj(1, zlib.DEFLATED, 31)
+                    source = f"{out}/part-{part:05d}-{uuid.uuid4().hex}.warc.gz"
+                    sink, z = _Sink(source), zlib.compressobj(1, zlib.DEFLATED, 31)
                 payload = h.encode("utf-8", "replace")
                 sink.write(z.compress(record(x, u, payload, sha1_base32(payload), first, first is not None and x != first)))
         if sink is not None:
             sink.write(z.flush())
             sink.close()
-            yield pa.RecordBatch.from_pydict({"source": [f"{out}/part-{part:05d}.warc.gz"]}, schema=shape)
+            yield pa.RecordBatch.from_pydict({"source": [source]}, schema=shape)
 
     return cut(decisions(pages, least, key, url, html).mapInArrow(run, ddl))
 
@@ -217,7 +215,7 @@ def normalised(sources: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for source in rb.column(0).to_pylist():
-                target = source.removesuffix(".warc.gz") + ".members.warc.gz"
+                target = f"{source.removesuffix('.warc.gz')}-{uuid.uuid4().hex}.members.warc.gz"
                 yield pa.RecordBatch.from_pydict({"target": [target], "n_records": [normalise(source, target)]}, schema=shape)
 
     return cut(sources.mapInArrow(run, ddl))

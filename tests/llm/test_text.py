@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -70,12 +71,32 @@ def test_bpe_frames(spark, reference):
     assert bpe.round_trip(df.limit(0), RANKS, PATTERN).count() == 0
 
 
+def test_memory_is_bounded(codec):
+    """Texts without spaces are not kept, and what is kept is counted."""
+    own = bpe.Codec(RANKS, PATTERN, memo=300_000)
+    library = tokenfile.LibraryEncoder(LIBRARY, PATTERN)
+    library.pieces.most = library.segments.most = 300_000
+    rng = random.Random(6)
+    sizes = []
+    for k in range(1500):
+        t = "".join(rng.choice("漢字仮名交文abc") for _ in range(1500)) if k % 3 else " ".join(f"{rng.random():.9f}" for _ in range(80))
+        own.encode(t)
+        library.encode(t)
+        for memo in (own.pieces, own.segments, library.pieces, library.segments):
+            assert all(len(x) <= memo.LONG for x in memo) if k % 300 == 0 else True
+            sizes.append(sum(sys.getsizeof(x) + sys.getsizeof(y) for x, y in memo.items()) if k % 50 == 0 else memo.bytes)
+    assert max(sizes) < 330_000
+    long = "漢x" * 200_000
+    assert codec.decode(codec.encode(long)) == long.encode()
+    assert codec.decode(codec.encode("\n " * 300_000)) == b"\n " * 300_000
+
+
 def test_library_encoder():
-    e = tokenfile.encoder(LIBRARY, PATTERN)
+    e, fresh = tokenfile.encoder(LIBRARY, PATTERN), tokenizers.Tokenizer.from_file(LIBRARY)
     rng = random.Random(2)
     for _ in range(3000):
         t = "".join(rng.choice(" \n\t\x1c\xa0　'sdt aAbé漢😀0²_.!<|endoftext|>") for _ in range(rng.randint(0, 20)))
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
 
 
 ADDED = "<|endoftext|>"

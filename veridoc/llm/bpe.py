@@ -10,7 +10,10 @@ Texts are independent, so encoding is one scan without a shuffle.
 
 Defined results: a null text is the empty text and has no ids; repeated rows
 give repeated results; an unpaired surrogate is replaced as UTF-8 decoding
-with "replace" does.
+with "replace" does; an empty table gives an empty result; extra columns are
+not read. A very long text, also one without any space, takes time in
+proportion (its longest pre-token a logarithm more) and some 100 bytes for each
+byte of its longest pre-token; what a worker remembers has a bound in bytes.
 """
 
 from __future__ import annotations
@@ -81,12 +84,11 @@ class MinimalPerfectHash:
 class Codec:
     """Encoder and decoder over one file of ranks (base64 token, rank a line)."""
 
-    #: Segments, and pre-tokens, whose ids are remembered per worker; at so
-    #: many, a memo starts anew.
-    MEMO = 500_000
+    #: Bytes of the memo of segments, and of that of pre-tokens, in a worker,
+    #: as ``Memo`` estimates them; at so many, a memo starts anew.
+    MEMO = 80_000_000
 
     def __init__(self, ranks_path: str, pattern: str, memo: int = MEMO):
-        self.most = memo
         with open(ranks_path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
@@ -106,7 +108,7 @@ class Codec:
                     self.pairs[a << 32 | b] = rank
         self.decimal = [str(i) for i in range(len(self.token))]
         self.segments = Segments(self._learn, memo)
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Memo(memo)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token outside the vocabulary, by merges of least rank
@@ -142,17 +144,16 @@ class Codec:
         return [self.slot_rank[slot]] if slot >= 0 else self.merge(piece)
 
     def _learn(self, segment: str) -> bytes:
-        known = self.pieces
-        out = b""
-        for piece in self.pattern.findall(segment):
+        known, out = self.pieces, []
+        for m in self.pattern.finditer(segment):
+            piece = m[0]
             ids = known.get(piece)
             if ids is None:
                 raw = self.encode_piece(piece.encode("utf-8", "replace"))
-                ids = known[piece] = pack(f"<{len(raw)}I", *raw)
-            out += ids
-        if len(known) > self.most:
-            known.clear()
-        return out
+                ids = pack(f"<{len(raw)}I", *raw)
+                known.keep(piece, ids)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as unsigned 32-bit integers."""
@@ -171,8 +172,35 @@ class Codec:
         return " ".join(map(self.decimal.__getitem__, ids.tolist())).encode()
 
 
-class Segments(dict):
-    """Joined ids of texts from a bounded memo of their segments.
+class Memo(dict):
+    """Ids of short texts, in at most so many bytes.
+
+    Texts over ``LONG`` characters are not kept: they seldom come again, and
+    scripts without spaces, encoded data or minified code would fill the memo
+    with them."""
+
+    LONG = 64
+    #: Bytes of an entry beside its characters and ids: slot and two objects.
+    ENTRY = 200
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.bytes = most, 0
+
+    def keep(self, text: str, ids: bytes) -> None:
+        if len(text) <= self.LONG:
+            if self.bytes > self.most:
+                self.clear()
+            self[text] = ids
+            self.bytes += self.ENTRY + 2 * len(text) + len(ids)
+
+    def clear(self) -> None:
+        super().clear()
+        self.bytes = 0
+
+
+class Segments(Memo):
+    """Joined ids of texts from a memo of their segments.
 
     A segment begins before a space that follows a non-space. The split
     pattern of byte-level vocabularies lets a pre-token hold a space only as
@@ -183,11 +211,12 @@ class Segments(dict):
     """
 
     def __init__(self, learn: Callable[[str], bytes], most: int):
-        super().__init__()
-        self.learn, self.most = learn, most
+        super().__init__(most)
+        self.learn = learn
 
     def __missing__(self, part: str) -> bytes:
-        ids = self[part] = self.learn(" " + part)
+        ids = self.learn(" " + part)
+        self.keep(part, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -196,8 +225,6 @@ class Segments(dict):
         parts = text.split(" ")
         if _SPACE_RUN.search(text):
             parts = _with_runs(parts)
-        if len(self) > self.most:
-            self.clear()
         head = self.learn(parts[0]) if parts[0] else b""
         return head + b"".join(map(self.__getitem__, parts[1:]))
 
@@ -209,13 +236,14 @@ _SPACE_RUN = re.compile(r"\s ")
 def _with_runs(parts: list[str]) -> list[str]:
     """Parts of a split at single spaces, with longer runs of white space kept
     in one segment (a space after white space is no boundary)."""
-    out = [parts[0]]
+    out, run = [], [parts[0]]
     for p in parts[1:]:
-        if not out[-1] or out[-1][-1].isspace():
-            out[-1] += " " + p
+        if not run[-1] or run[-1][-1].isspace():
+            run.append(p)
         else:
-            out.append(p)
-    return out
+            out.append(" ".join(run))
+            run = [p]
+    return [*out, " ".join(run)]
 
 
 @lru_cache(maxsize=2)
@@ -267,7 +295,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id"
     return map_batches(narrow(df, key, text), run, f"`{key}` {kind}, {DIGESTS}")
 
 
-def encoded(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", memo: int = 200_000) -> DataFrame:
+def encoded(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", memo: int = Codec.MEMO // 4) -> DataFrame:
     """As ``round_trip``, with the ids themselves as ``ids array<int>``; its
     memo is smaller, as it runs where other stages have filled the memory."""
     kind = df.schema[key].dataType.simpleString()

@@ -62,6 +62,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def sweep(spark: SparkSession, folder: str, prefix: str, keep: list[str]) -> None:
+    """Removes files in ``folder`` that begin with ``prefix`` but with no path
+    in ``keep``: those of attempts of tasks that did not count."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = {k.rsplit("/", 1)[-1] for k in keep}
+    for status in fs.listStatus(path) if fs.exists(path) else ():
+        name = status.getPath().getName()
+        if name.startswith(prefix) and name.split(".")[0] not in names:
+            fs.delete(status.getPath(), True)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Row-parallel Arrow map. ``fn`` turns a batch into a dict of columns in
     the order of ``schema``."""

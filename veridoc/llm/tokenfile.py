@@ -14,13 +14,15 @@ offset, n_tokens) of the part's documents. Ids take two bytes where the
 vocabulary fits them.
 
 The one shuffle deals texts by range of (key, hash of text): a hot key is
-split, and parts are balanced. Files are written under a temporary name and
-renamed when whole, under a name that only depends on the part, so a task
-that runs again replaces its own output.
+split, and parts are balanced. Each attempt of a task writes files of its own
+name, and the manifest, made of the rows of attempts that ended well, says
+which count; what others left is removed. So a task that runs again, or twice
+at once, never touches a file that a reader may have open.
 
 Defined results: a null text is empty and gives only the end id; null keys
-come first; rows of one key are ordered by the hash of their text; an empty
-table gives no files and no rows.
+come first; rows of one key are ordered by the hash of their text, equal rows
+stay; an empty table gives no files and no rows; extra columns are not read; a
+very long text takes time in proportion and a task's memory grows with its ids.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm.bpe import Segments
-from veridoc.llm.common import _remove, arrow_schema, narrow, shared_dir, texts
+from veridoc.llm.bpe import Memo, Segments
+from veridoc.llm.common import _remove, arrow_schema, narrow, shared_dir, sweep, texts
 
 SEQ_LEN = 2048
 #: Sequences in a batch.
@@ -55,14 +57,14 @@ class LibraryEncoder:
 
     ``pattern`` is the split pattern of the tokenizer file, so that the
     library's model encodes each pre-token as it would in its text. It is
-    given those that are not in a bounded memo. Texts are split at the file's
+    given those that are not in a memo of bounded bytes. Texts are split at the file's
     added tokens first, which have ids of their own, also in a text. A file
     whose steps before the model are not plain byte-level ones is left to the
     library text by text, as are texts with an added token that takes more
     than its own literal.
     """
 
-    MEMO = 600_000
+    MEMO = 100_000_000
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,7 +75,7 @@ class LibraryEncoder:
         before = self.tokenizer.pre_tokenizer
         self.plain = self.tokenizer.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel) and not before.add_prefix_space
         self.tokenize = self.tokenizer.model.tokenize
-        self.split = regex.compile(pattern).findall
+        self.split = regex.compile(pattern).finditer
         added = self.tokenizer.get_added_tokens_decoder()
         self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
         self.literal = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
@@ -83,7 +85,7 @@ class LibraryEncoder:
         # Bytes from 128 up stand for themselves or for letters after U+00FF,
         # in the order of the bytes that have no visible character.
         self.letter = dict(enumerate(letters)) | self._high_letters(letters)
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Memo(self.MEMO)
         self.segments = Segments(self._learn, self.MEMO)
 
     @staticmethod
@@ -98,17 +100,16 @@ class LibraryEncoder:
         return out
 
     def _learn(self, segment: str) -> bytes:
-        known = self.pieces
-        out = b""
-        for piece in self.split(segment):
+        known, out = self.pieces, []
+        for m in self.split(segment):
+            piece = m[0]
             ids = known.get(piece)
             if ids is None:
                 byte_text = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letter)
-                ids = known[piece] = array("I", [t.id for t in self.tokenize(byte_text)]).tobytes()
-            out += ids
-        if len(known) > self.MEMO:
-            known.clear()
-        return out
+                ids = array("I", [t.id for t in self.tokenize(byte_text)]).tobytes()
+                known.keep(piece, ids)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -140,11 +141,10 @@ class PartWriter:
     def __init__(self, base: str, kind: pa.DataType, key_type: pa.DataType, seq_len: int, batch: int):
         self.fs, self.path = _open(base)
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
-        self.trial = uuid.uuid4().hex
         self.kind, self.seq_len, self.batch = kind, seq_len, batch
         self.schema = sequence_schema(kind, seq_len)
         self.docs_schema = pa.schema([("key", key_type), ("offset", pa.int64()), ("n_tokens", pa.int64())])
-        self.sinks = {end: self.fs.open_output_stream(f"{self.path}.{self.trial}{end}") for end in (".arrow", ".docs.arrow")}
+        self.sinks = {end: self.fs.open_output_stream(self.path + end) for end in (".arrow", ".docs.arrow")}
         self.seqs = pa.ipc.new_stream(self.sinks[".arrow"], self.schema)
         self.docs = pa.ipc.new_stream(self.sinks[".docs.arrow"], self.docs_schema)
         self.full = batch * seq_len
@@ -187,11 +187,8 @@ class PartWriter:
         self._flush(True)
         self.seqs.close()
         self.docs.close()
-        for end, sink in self.sinks.items():
+        for sink in self.sinks.values():
             sink.close()
-            if self.fs.get_file_info(self.path + end).type != pafs.FileType.NotFound:
-                self.fs.delete_file(self.path + end)
-            self.fs.move(f"{self.path}.{self.trial}{end}", self.path + end)
 
 
 def write(df: DataFrame, tokenizer_path: str, pattern: str, out: str, *, end_id: int, key: str = "doc_id", text: str = "text", parts: int | None = None, seq_len: int = SEQ_LEN, batch: int = BATCH) -> DataFrame:
@@ -205,27 +202,29 @@ def write(df: DataFrame, tokenizer_path: str, pattern: str, out: str, *, end_id:
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     key_type = arrow_schema(spark, f"k {df.schema[key].dataType.simpleString()}").field(0).type
     manifest = "part int, path string, n_docs bigint, n_tokens bigint"
-    shape = arrow_schema(spark, manifest)
+    shape, one = arrow_schema(spark, manifest), uuid.uuid4().hex[:8]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, part = None, TaskContext.get().partitionId()
+        writer, base, part = None, "", TaskContext.get().partitionId()
         for rb in batches:
             if not rb.num_rows:
                 continue
             enc = encoder(tokenizer_path, pattern)
             kind = pa.uint16() if max(enc.vocab_size, end_id + 1) <= 1 << 16 else pa.uint32()
             if writer is None:
-                writer = PartWriter(f"{out}/part-{part:05d}", kind, key_type, seq_len, batch)
+                base = f"{out}/part-{one}-{part:05d}-{uuid.uuid4().hex}"
+                writer = PartWriter(base, kind, key_type, seq_len, batch)
             end, wide = np.array([end_id], "<u4").tobytes(), kind.to_pandas_dtype()
             for at in range(0, rb.num_rows, 256):
                 piece = rb.slice(at, 256)
                 writer.add(piece.column(0), [np.frombuffer(enc.encode(x) + end, "<u4").astype(wide) for x in texts(piece.column(1))])
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{out}/part-{part:05d}"], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]}, schema=shape)
+            yield pa.RecordBatch.from_pydict({"part": [part], "path": [base], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]}, schema=shape)
 
     # One row a file: grows with the number of parts, not with their rows.
     files = sorted(rows.mapInArrow(run, manifest).collect())
+    sweep(spark, out, f"part-{one}-", [f.path for f in files])
     starts = np.cumsum([0] + [f.n_tokens for f in files])
     whole = [(f.part, f.path, f.n_docs, f.n_tokens, int(s)) for f, s in zip(files, starts, strict=False)]
     return spark.createDataFrame(whole, f"{manifest}, start bigint")

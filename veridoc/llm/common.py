@@ -183,7 +183,11 @@ class Words:
         if self.n < size or size < 1:
             return np.empty(0, np.uint64)
         a, b = self.starts[: self.n - size + 1], self.ends[size - 1 :]
-        return mix64((self._sums[b] - self._sums[a]) * self._down[a])
+        return self.span_hashes(a, b - a)
+
+    def span_hashes(self, a: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """64-bit hash of the bytes from each of ``a`` on."""
+        return mix64((self._sums[a + size] - self._sums[a]) * self._down[a])
 
     def run_bytes(self, first: int, size: int) -> bytes:
         return self.joined[self.starts[first] : self.ends[first + size - 1]]

@@ -83,13 +83,53 @@ def test_jaccard_join(spark, seed, words, percent):
     assert got == brute_join(rows, words, percent)
 
 
-def test_jaccard_small_groups(spark, monkeypatch):
-    """Split groups and shared queries give the same components."""
-    monkeypatch.setattr(jaccard, "GROUP", 3)
-    monkeypatch.setattr(jaccard, "QUERIES", 2)
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(jaccard, "COMMON", 4)
-    rows = near_corpus(5)
+@pytest.mark.parametrize("group,reps,heavy", [(3, 1, 3), (5, 8, 6), (3, 2, 1000)])
+def test_jaccard_small_groups(spark, monkeypatch, group, reps, heavy):
+    """Split groups, levels, shared queries and shingles that are left out of
+    the postings give the same components."""
+    for name, value in (("GROUP", group), ("QUERIES", 2), ("BROADCAST_ROWS", 0), ("COMMON", 4), ("REPS", reps), ("HEAVY", heavy)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_corpus(group + reps)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, 4, 85).collect()} == brute_join(rows, 4, 85)
+
+
+def family(rng, n, changes):
+    """Near copies of one text: each has other words in some places."""
+    base = [rng.choice(VOCABULARY) + str(k % 7) for k in range(150)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.randrange(changes)):
+            copy[rng.randrange(len(copy))] = f"{rng.choice(VOCABULARY)}{i}"
+        out.append((i, " ".join(copy)))
+    return out
+
+
+def test_jaccard_family_is_linear(spark, monkeypatch):
+    """Seats of a family of linked near copies grow with the family, not with
+    its square, and so do candidates; a few of its members link with none."""
+    counts = []
+    for n in (1000, 4000):
+        rng = random.Random(41)
+        rows = family(rng, n, 3) + [(100_000 + i, t) for i, t in family(random.Random(41), n // 100, 12)]
+        seats, cands = [], []
+        seated, candidates = jaccard.seated, jaccard.candidates
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, "seated", lambda d, routes, w, seats=seats, f=seated: (seats.append(routes.agg(F.sum(F.size("seats"))).first()[0] or 0), f(d, routes, w))[1])
+            m.setattr(jaccard, "candidates", lambda *a, cands=cands, f=candidates: (cands.append(f(*a)), cands[0])[1])
+            got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+            counts.append((sum(seats), cands[0].count()))
+        assert sum(v == 0 for v in got.values()) > 0.99 * n
+        assert counts[-1][0] < 4 * n and counts[-1][1] < 2 * n
+
+
+@pytest.mark.parametrize("changes", [7, 14])
+def test_jaccard_family(spark, monkeypatch, changes):
+    """A family of which many members are not linked to each other."""
+    monkeypatch.setattr(jaccard, "GROUP", 16)
+    monkeypatch.setattr(jaccard, "HEAVY", 50)
+    rows = family(random.Random(changes), 260, changes)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, 4, 85).collect()} == brute_join(rows, 4, 85)
 

@@ -15,17 +15,26 @@ equal sets collapse into one node first.
    reaches a common shingle, as the many near copies of one text do, are
    grouped by that shingle instead. Groups over ``GROUP`` nodes are split
    evenly by digest.
-4. *Matrix.* Postings of prefix shingles, again packed by hash range, give
-   for each query the groups whose members share a prefix shingle and fit in
-   size (the larger set queries the smaller one's group).
-5. *Opening.* Members of a group and its queries meet in one task. The
+4. *Forests.* Each group is compared within. Then ``REPS`` nodes of each
+   component of a large family stand for it in a next level, grouped anew by
+   another min-hash, and so on while groups are split: levels shrink, so this
+   is linear in the size of a family. Nodes that these levels connect share a
+   label, the smallest id among them.
+5. *Matrix.* Postings of prefix shingles, again packed by hash range, give
+   for each query the groups whose members share a prefix shingle, fit in
+   size (the larger set queries the smaller one's group) and have another
+   label. Groups that were split are dealt anew by label for that, so that
+   what the levels left over stands apart. Shingles of many nodes that all have
+   one label are left out of the postings.
+6. *Opening.* Members of a group and its queries meet in one task. The
    group's shingle union is the matrix row: a query that shares less than
    percent of its own set with the union cannot link to any member and is
-   skipped; otherwise members are compared exactly. Groups with many queries
-   are opened in several tasks, each with a share of the queries. Pairs that
-   the task already knows to be connected are not compared, so a group gives
-   at most as many edges as it has nodes and queries.
-6. *Components.* Distributed star contraction of the edges.
+   skipped; otherwise members of other labels are compared exactly. Groups with
+   many queries are opened in several tasks, each with a share of the queries.
+   So every pair that shares a prefix shingle and fits in size is either
+   compared or known to be connected: no link is lost.
+7. *Components.* Distributed star contraction of the edges, of the levels
+   first, then of labels.
 
 Shingles are 64-bit hashes; a pair's intersection is wrong with a chance of
 about |A| * |B| / 2**64.
@@ -33,17 +42,21 @@ about |A| * |B| / 2**64.
 Defined results: a null or empty text, or one without words, has an empty
 set and links with nothing; rows without an id link with nothing and have no
 component unless a row with an id has the same set; rows that share an id
-count as one document in links.
+count as one document in links; repeated rows have equal results; a very long
+text takes time and memory in proportion; an empty table gives an empty result;
+extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import Words, arrow_schema, cut, mix64, narrow, space_words, written
@@ -57,6 +70,10 @@ MIN_DF = 3
 COMMON = 32
 #: Most nodes of a group, and most queries that one task opens a group for.
 GROUP, QUERIES = 256, 256
+#: Nodes that stand for a component of a group in the next level.
+REPS = 8
+#: Shingles in so many documents are left out of the postings if they can be.
+HEAVY = 1000
 #: Shingles that a task gathers before it packs them.
 PACK = 1_000_000
 #: Rows of a route or id table that may be a broadcast: some 50 bytes each.
@@ -189,13 +206,12 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[list[
         yield held
 
 
-SIGNATURE = "id bigint, n bigint, digest binary, low bigint, prefix binary"
+SIGNATURE = "id bigint, mark bigint, n bigint, digest binary, low bigint, common boolean, prefix binary"
 
 
-def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, n, digest, low, prefix) of each row of (id, text)."""
-    hot, often = frequent(docs, words)
-    order = docs.sparkSession.sparkContext.broadcast((hot, often))
+def signatures(docs: DataFrame, words: int, percent: int, order: Broadcast) -> DataFrame:
+    """(id, mark, n, digest, low, common, prefix) of each row of (id, text,
+    mark)."""
     shape = arrow_schema(docs.sparkSession, SIGNATURE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,12 +220,12 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             rows = []
             for s in sets:
                 if not len(s):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 prefix, common = _rarest(s, known, df, probe_length(len(s), percent))
                 low = s[0] if common is None else common
-                rows.append((len(s), hashlib.md5(s.tobytes()).digest(), int(low.astype(np.int64)), prefix.tobytes()))
-            cols = [piece.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(shape)[1:], strict=True))]
+                rows.append((len(s), hashlib.md5(s.tobytes()).digest(), int(low.astype(np.int64)), common is not None, prefix.tobytes()))
+            cols = [piece.column(0), piece.column(2), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(shape)[2:], strict=True))]
             yield pa.RecordBatch.from_arrays(cols, schema=shape)
 
     return docs.mapInArrow(run, SIGNATURE)
@@ -231,20 +247,77 @@ def _rarest(s: np.ndarray, known: np.ndarray, df: np.ndarray, n: int) -> tuple[n
 
 
 def _grouped(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (node, n, digest, low, prefix) with their group, and whether
-    it has other members."""
-    sizes = nodes.groupBy("low").agg(F.min("node").alias("first"), F.count("*").alias("size"))
-    rows = nodes.join(sizes, "low")
-    blocks = F.ceil(F.col("size") / GROUP)
-    block = F.when(F.col("size") > GROUP, F.pmod(F.xxhash64("digest"), blocks)).otherwise(F.lit(0))
-    return rows.select("node", "n", "prefix", F.xxhash64("first", block).alias("group"), (F.col("size") > 1).alias("shared"))
-
-
-def candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (node, group) that must be compared: some member of the other
-    group is not larger, fits in size and shares a prefix shingle."""
+    """``nodes`` with their group, whether it has other members, and whether
+    it was split. The sizes are cut, so that the join can be split where many
+    nodes share ``low``."""
+    sizes = cut(nodes.groupBy("low").agg(F.count("*").alias("size")).filter("size > 1"))
+    rows = nodes.join(sizes, "low", "left")
+    split = F.coalesce(F.col("size") > GROUP, F.lit(False))
+    block = F.when(split, F.pmod(F.xxhash64("digest"), F.ceil(F.col("size") / GROUP))).otherwise(F.lit(0))
+    return rows.select(*nodes.columns, _within(F.xxhash64("low", block)).alias("grp"), F.col("size").isNotNull().alias("shared"), split.alias("split"))
+
+
+def _within(group: Column) -> Column:
+    """Odd groups have had all their members compared with each other."""
+    return group.bitwiseOR(F.lit(1).cast("bigint"))
+
+
+def _between(group: Column) -> Column:
+    return group.bitwiseAND(F.lit(-2).cast("bigint"))
+
+
+def _regrouped(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with label, split groups dealt anew: large labels by
+    themselves, small ones together, whole."""
+    if nodes.filter("split").isEmpty():
+        return nodes
+    counts = cut(nodes.filter("split").groupBy("low", "label").agg(F.count("*").alias("size")))
+    rest = counts.filter(F.col("size") <= GROUP).groupBy("low").agg(F.ceil(F.sum("size") / GROUP).alias("blocks"))
+    dealt = cut(counts.join(rest, "low", "left").withColumn("of_label", F.col("size") > GROUP).select("low", "label", "of_label", F.when(F.col("of_label"), F.ceil(F.col("size") / GROUP)).otherwise(F.col("blocks")).alias("blocks"), F.lit(True).alias("split")))
+    rows = nodes.join(dealt, ["low", "label", "split"], "left")
+    of_label = F.xxhash64("low", "label", F.pmod(F.xxhash64("digest"), "blocks"))
+    of_rest = F.xxhash64("low", F.lit("rest"), F.pmod(F.xxhash64("label"), "blocks"))
+    return rows.withColumn("grp", F.when(F.col("of_label"), _between(of_label)).when(~F.col("of_label"), _between(of_rest)).otherwise(F.col("grp"))).select(*nodes.columns)
+
+
+def _settled(nodes: DataFrame, order: Broadcast) -> np.ndarray:
+    """High halves of the heavy shingles whose nodes all have one label: a
+    minimum and a maximum for each, in tasks first. At most ``HOT``."""
+    high, often = order.value
+    heavy = high[often >= HEAVY]
+    if not len(heavy):
+        return heavy
+    shared = nodes.sparkSession.sparkContext.broadcast(heavy)
+    ddl = "k int, least bigint, most bigint"
+    shape = arrow_schema(nodes.sparkSession, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, top = shared.value, np.iinfo(np.int64).max
+        least, most = np.full(len(known), top), np.full(len(known), -top)
+        for rb in batches:
+            prefixes = rb.column(1).to_pylist()
+            h = (np.frombuffer(b"".join(prefixes), np.uint64) >> np.uint64(32)).astype(np.uint32)
+            label = np.repeat(rb.column(0).to_numpy(), [len(p) // 8 for p in prefixes])
+            at = np.searchsorted(known, h)
+            at[at == len(known)] = 0
+            there = known[at] == h
+            np.minimum.at(least, at[there], label[there])
+            np.maximum.at(most, at[there], label[there])
+        seen = np.flatnonzero(least < top)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(least[seen]), pa.array(most[seen])], schema=shape)
+
+    spans = nodes.select("label", "prefix").mapInArrow(run, ddl).groupBy("k").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    alone = spans.filter("least = most").select("k").toArrow().column(0).to_numpy()
+    return heavy[np.sort(alone)]
+
+
+def candidates(nodes: DataFrame, percent: int, settled: np.ndarray) -> DataFrame:
+    """Distinct (key, grp) that must be compared: some member of the group has
+    another label, is not larger, fits in size and shares a prefix shingle."""
     bits, spark = _range_bits(nodes), nodes.sparkSession
-    shape = arrow_schema(spark, "bucket int, shingle binary, node binary, grp binary, n binary")
+    kinds = (np.uint32, np.int64, np.int64, np.int64, np.int32)
+    ddl = "bucket int, shingle binary, key binary, grp binary, label binary, n binary"
+    shape, skipped = arrow_schema(spark, ddl), spark.sparkContext.broadcast(settled)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -252,44 +325,47 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
                 yield _packed(rb.slice(at, 4096))
 
     def _packed(rb: pa.RecordBatch) -> pa.RecordBatch:
-        prefixes = rb.column(2).to_pylist()
+        prefixes = rb.column(4).to_pylist()
         size = np.array([len(p) // 8 for p in prefixes], np.int64)
         shingle = np.frombuffer(b"".join(prefixes), np.uint64)
-        n = rb.column(1).to_numpy()
+        n = rb.column(3).to_numpy()
         # Negative sizes mark shingles of the probe prefix beyond the index prefix.
         place = np.arange(len(shingle)) - np.repeat(np.cumsum(size) - size, size)
         index = np.array([index_length(int(x), percent) for x in n], np.int64)
         signed = np.where(place < np.repeat(index, size), np.repeat(n, size), -np.repeat(n, size)).astype(np.int32)
         order = np.argsort(shingle, kind="stable")
-        columns = [shingle[order], np.repeat(rb.column(0).to_numpy(), size)[order], np.repeat(rb.column(3).to_numpy(), size)[order], signed[order]]
-        bucket = (columns[0] >> np.uint64(64 - bits)).astype(np.int32)
+        if len(skipped.value):
+            order = order[~np.isin((shingle[order] >> np.uint64(32)).astype(np.uint32), skipped.value)]
+        bucket = (shingle[order] >> np.uint64(64 - bits)).astype(np.int32)
+        # Within a bucket 32 bits tell shingles apart; a clash costs a comparison.
+        columns = [((shingle[order] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), *(np.repeat(rb.column(k).to_numpy(), size)[order] for k in range(3)), signed[order]]
         at = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = np.append(at[1:], len(bucket))
         blobs = [pa.array([c[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()) for c in columns]
         return pa.RecordBatch.from_arrays([pa.array(bucket[at]), *blobs], schema=shape)
 
-    found = arrow_schema(spark, "node bigint, grps array<bigint>")
+    found = arrow_schema(spark, "key bigint, grps array<bigint>")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in _by_bucket(batches, 4):
-            shingle, node, group, signed = (np.frombuffer(b"".join(b), t) for b, t in zip(blobs, (np.uint64, np.int64, np.int64, np.int32), strict=True))
-            order = np.argsort(shingle, kind="stable")
-            shingle, node, group, signed = shingle[order], node[order], group[order], signed[order]
+        for blobs in _by_bucket(batches, 5):
+            columns = [np.frombuffer(b"".join(b), t) for b, t in zip(blobs, kinds, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            shingle, key, group, label, signed = (c[order] for c in columns)
             starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
             ends = np.append(starts[1:], len(shingle))
-            # Runs of one shingle that hold more than one group.
-            several = np.maximum.reduceat(group, starts) != np.minimum.reduceat(group, starts)
-            out_node, out_group, held = [], [], 0
+            # Runs of one shingle that hold more than one label.
+            several = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)
+            out_key, out_group, held = [], [], 0
             for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
-                for x, g in _run_pairs(node[a:b], group[a:b], signed[a:b], percent):
-                    out_node.append(x)
+                for x, g in _run_pairs(key[a:b], group[a:b], label[a:b], signed[a:b], percent):
+                    out_key.append(x)
                     out_group.append(g)
                     held += len(x)
                     if held > 1_000_000:
-                        yield _distinct(out_node, out_group)
-                        out_node, out_group, held = [], [], 0
+                        yield _distinct(out_key, out_group)
+                        out_key, out_group, held = [], [], 0
             if held:
-                yield _distinct(out_node, out_group)
+                yield _distinct(out_key, out_group)
 
     def _distinct(a: list, b: list) -> pa.RecordBatch:
         """One row a query, with the groups that it meets in this range."""
@@ -298,163 +374,255 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(pairs)).astype(np.int32)), pa.array(pairs[:, 1]))
         return pa.RecordBatch.from_arrays([pa.array(pairs[at, 0]), lists.cast(found.field(1).type)], schema=found)
 
-    packed = nodes.select("node", "n", "prefix", "group").mapInArrow(pack, "bucket int, shingle binary, node binary, grp binary, n binary")
-    met = _deal(packed).mapInArrow(meet, "node bigint, grps array<bigint>")
-    return met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("grps"))).alias("grps")).select("node", F.explode("grps").alias("grp"))
+    packed = nodes.select("key", "grp", "label", "n", "prefix").mapInArrow(pack, ddl)
+    met = _deal(packed).mapInArrow(meet, "key bigint, grps array<bigint>")
+    return met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("grps"))).alias("grps")).select("key", F.explode("grps").alias("grp"))
 
 
-def _run_pairs(node: np.ndarray, group: np.ndarray, signed: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries and groups that meet at one shingle. A group's sizes are sorted,
-    so whether it has a member of fitting size is one binary search a query."""
-    n = np.abs(signed)
-    low = needed(n.astype(np.int64), percent)
+def _run_pairs(key: np.ndarray, group: np.ndarray, label: np.ndarray, signed: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Queries and groups that meet at one shingle. Sizes of a group's members
+    of one label are sorted, so whether one of them fits is one binary search
+    a query of another label."""
+    n = np.abs(signed).astype(np.int64)
+    low = needed(n, percent)
+    by_label = np.argsort(label, kind="stable")
+    in_order = label[by_label]
     indexed = np.flatnonzero(signed > 0)
-    order = indexed[np.lexsort((n[indexed], group[indexed]))]
-    g = group[order]
-    if not len(g):
-        return
-    starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-    for a, b in zip(starts.tolist(), np.append(starts[1:], len(g)).tolist(), strict=True):
-        sizes = n[order[a:b]]
-        least = np.searchsorted(sizes, low)
-        fits = (least < len(sizes)) & (group != g[a])
-        fits[fits] = sizes[least[fits]] <= n[fits]
-        if fits.any():
-            x = node[fits]
-            yield x, np.full(len(x), g[a], np.int64)
-
-
-def _forest(size: int):
-    parent = list(range(size))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    return parent, find
+    order = indexed[np.lexsort((n[indexed], label[indexed], group[indexed]))]
+    for a, b in _stretches(group[order]):
+        members = order[a:b]
+        own, parts = group[members[0]], list(_stretches(label[members]))
+        # Labels one by one, but of many only the largest: the rest together.
+        first = max(parts, key=lambda p: p[1] - p[0])
+        few = parts if len(parts) <= 4 else [first]
+        several = [] if few is parts else [np.concatenate([members[: first[0]], members[first[1] :]])]
+        for c, d in few:
+            x = label[members[c]]
+            i, j = np.searchsorted(in_order, x), np.searchsorted(in_order, x, "right")
+            yield from _fitting(np.concatenate([by_label[:i], by_label[j:]]), n[members[c:d]], own, key, group, n, low)
+        for part in several:
+            yield from _fitting(by_label, np.sort(n[part]), own, key, group, n, low)
+
+
+def _stretches(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    if len(values):
+        at = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        yield from zip(at.tolist(), [*at[1:].tolist(), len(values)], strict=True)
+
+
+def _fitting(asked: np.ndarray, sizes: np.ndarray, own: int, key: np.ndarray, group: np.ndarray, n: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of some queries those for which one of the sorted sizes fits."""
+    if own & 1:
+        asked = asked[group[asked] != own]
+    least = np.searchsorted(sizes, low[asked])
+    fits = least < len(sizes)
+    fits[fits] = sizes[least[fits]] <= n[asked][fits]
+    if fits.any():
+        x = key[asked[fits]]
+        yield x, np.full(len(x), own, np.int64)
 
 
 class Group:
     """One group's members, and its row of the token-group matrix."""
 
-    def __init__(self, nodes: list[int], sets: list[np.ndarray], percent: int):
-        self.nodes, self.percent = nodes, percent
+    def __init__(self, labels: list[int], sets: list[np.ndarray], percent: int):
+        self.labels, self.percent = labels, percent
         self.union = np.unique(np.concatenate(sets))
         self.rows = [np.searchsorted(self.union, s) for s in sets]
         self.mark = np.zeros(len(self.union), np.uint8)
-        self.parent, self.find = _forest(len(nodes))
 
-    def _compare(self, row: np.ndarray, n: int, below: int) -> Iterator[int]:
-        """Members before ``below`` whose set links to the marked one."""
+    def _linked(self, row: np.ndarray, n: int, known: set[int], label, below: int) -> set[int]:
+        """Labels, by ``label`` of a member, of members before ``below`` whose
+        set links to ``row``; members of known ones are not compared."""
         self.mark[row] = 1
-        seen: set[int] = set()
+        found: set[int] = set()
         for j in range(below):
-            m = len(self.rows[j])
-            root = self.find(j)
-            if root in seen or m * 100 < self.percent * n or n * 100 < self.percent * m:
+            m, x = len(self.rows[j]), label(j)
+            if x in known or x in found or m * 100 < self.percent * n or n * 100 < self.percent * m:
                 continue
             if links(n, m, int(self.mark[self.rows[j]].sum()), self.percent):
-                seen.add(root)
-                yield j
+                found.add(x)
         self.mark[row] = 0
+        return found
+
+    def forest(self) -> list[int]:
+        """The smallest label that each member is connected with in the group."""
+        index = {x: k for k, x in enumerate(sorted(set(self.labels)))}
+        names, parent = list(index), list(range(len(index)))
 
-    def inner(self) -> Iterator[tuple[int, int]]:
-        """Edges that connect whatever members are linked with each other."""
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        own = [index[x] for x in self.labels]
         for i, row in enumerate(self.rows):
-            for j in list(self._compare(row, len(row), i)):
-                if (a := self.find(i)) != (b := self.find(j)):
-                    self.parent[a] = b
-                    yield self.nodes[i], self.nodes[j]
+            for root in self._linked(row, len(row), {find(own[i])}, lambda j: find(own[j]), i):
+                a, b = find(own[i]), find(root)
+                parent[max(a, b)] = min(a, b)
+        return [names[find(k)] for k in own]
 
-    def query(self, node: int, s: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Edges of a query to one member of each inner component it links to."""
+    def query(self, label: int, s: np.ndarray) -> set[int]:
+        """Labels of members that a query of another label links to."""
         at = np.searchsorted(self.union, s)
         at[at == len(self.union)] = 0
         row = at[self.union[at] == s]
         if len(row) < needed(len(s), self.percent):
-            return  # the bound: no member can share enough
-        for j in self._compare(row, len(s), len(self.nodes)):
-            yield node, self.nodes[j]
+            return set()  # the bound: no member can share enough
+        return self._linked(row, len(s), {label}, self.labels.__getitem__, len(self.labels))
 
 
-def opened(docs: DataFrame, routes: DataFrame, words: int, percent: int, small: bool) -> DataFrame:
-    """(a, b) edges. ``routes`` (id, seats array<struct<grp, salt, query>>)
-    tells which tasks need a document's set."""
-    spark = docs.sparkSession
-    routes = F.broadcast(routes) if small else routes
-    rows = docs.join(routes, "id").select("id", "text", F.col("seats.grp").alias("g"), F.col("seats.salt").alias("s"), F.col("seats.query").alias("q"))
-    ddl = "grp bigint, salt bigint, query int, id bigint, shingles binary"
-    shape, edge = arrow_schema(spark, ddl), arrow_schema(spark, "a bigint, b bigint")
+SEAT = "grp bigint, salt bigint, query int, label bigint, again boolean"
+
+
+def seated(docs: DataFrame, routes: DataFrame, words: int) -> DataFrame:
+    """(seat..., shingles) for each seat of ``routes`` (id, mark, seats),
+    which tells where a document's set is needed; a task sends each once."""
+    small = (routes.agg(F.sum(F.size("seats"))).first()[0] or 0) <= BROADCAST_ROWS
+    rows = docs.join(F.broadcast(routes) if small else routes, ["id", "mark"])
+    names = [x.split()[0] for x in SEAT.split(", ")]
+    rows = rows.select("id", "text", "mark", *[F.col(f"seats.{x}").alias(x) for x in names])
+    ddl = f"{SEAT}, shingles binary"
+    shape = arrow_schema(docs.sparkSession, ddl)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple] = set()
         for piece, sets in _sets(batches, words):
             out = []
-            for x, s, g, salt, q in zip(piece.column(0).to_pylist(), sets, *(piece.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                raw = s.tobytes()
-                out += [(a, b, c, x, raw) for a, b, c in zip(g, salt, q, strict=True)]
+            for x, mark, s, *seats in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), sets, *(piece.column(3 + k).to_pylist() for k in range(len(names))), strict=True):
+                if (x, mark) not in sent:
+                    sent.add((x, mark))
+                    raw = s.tobytes()
+                    out += [(*seat, raw) for seat in zip(*seats, strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), shape, strict=True)], schema=shape)
 
-    def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets, group, out = None, [], [], None, []
+    return rows.mapInArrow(send, ddl)
+
+
+def _seat(grp: Column | str, label: str, again: Column | str | None = None, salt: Column | None = None, query: int = 0) -> Column:
+    return F.struct(F.col(grp).alias("grp") if isinstance(grp, str) else grp.alias("grp"), (salt if salt is not None else F.lit(0)).cast("bigint").alias("salt"), F.lit(query).alias("query"), F.col(label).alias("label"), (F.lit(False) if again is None else F.col(again) if isinstance(again, str) else again).alias("again"))
+
+
+def levels(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) edges of labels that the forests of all levels connect."""
+    spark = docs.sparkSession
+    members = nodes.filter("shared").select(F.col("node").alias("id"), "mark", F.array(_seat("grp", "node", "common")).alias("seats"))
+    rows = seated(docs, cut(members.groupBy("id", "mark").agg(F.flatten(F.collect_list("seats")).alias("seats"))), words)
+    edges, before = [], None
+    for level in range(64):
+        out = written(_forests(rows, percent, level))
+        edges.append(out.filter("low IS NULL").select("a", "b"))
+        active = out.filter("low IS NOT NULL").select(F.col("a").alias("label"), "low", "shingles")
+        sizes = cut(active.groupBy("low").agg(F.count("*").alias("size")).filter("size > 1"))
+        n = sizes.agg(F.sum("size")).first()[0] or 0
+        # Without progress what is left is for the postings.
+        if not n or before is not None and 2 * n > before:
+            break
+        before = n
+        split = F.col("size") > GROUP
+        block = F.when(split, F.pmod(F.xxhash64("shingles"), F.ceil(F.col("size") / GROUP))).otherwise(F.lit(0))
+        rows = active.join(sizes, "low").select(F.xxhash64("low", block).alias("grp"), F.lit(0).cast("bigint").alias("salt"), F.lit(0).alias("query"), "label", split.alias("again"), "shingles")
+    return reduce(DataFrame.union, edges, spark.createDataFrame([], "a bigint, b bigint"))
+
+
+def _forests(rows: DataFrame, percent: int, level: int) -> DataFrame:
+    """(a, b) edges of each group, and rows (a, null, low, shingles) of those
+    that stand for their component in the next level."""
+    ddl = "a bigint, b bigint, low bigint, shingles binary"
+    shape, seed = arrow_schema(rows.sparkSession, ddl), mix64(np.array([level + 1], np.uint64))[0]
+
+    def settle(labels: list[int], raw: list[bytes], again: bool) -> list[tuple]:
+        sets = [np.frombuffer(x, np.uint64) for x in raw]
+        roots, out, stand = Group(labels, sets, percent).forest(), [], {}
+        for x, root, s, whole in zip(labels, roots, sets, raw, strict=True):
+            if x != root:
+                out.append((x, root, None, None))
+            if again and stand.setdefault(root, 0) < REPS:
+                stand[root] += 1
+                out.append((root, None, int(mix64(s ^ seed).min().astype(np.int64)), whole))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, labels, raw, again = None, [], [], False
         for rb in batches:
-            for g, salt, query, x, raw in zip(*(rb.column(k).to_pylist() for k in range(5)), strict=True):
-                s = np.frombuffer(raw, np.uint64)
+            out: list[tuple] = []
+            for g, x, more, s in zip(*(rb.column(k).to_pylist() for k in range(4)), strict=True):
+                if g != now:
+                    out += settle(labels, raw, again) if labels else []
+                    now, labels, raw, again = g, [], [], False
+                if not labels or x != labels[-1] or s != raw[-1]:
+                    labels.append(x)
+                    raw.append(s)
+                    again = again or more
+            if out:
+                yield _table(out, shape)
+        if labels and (out := settle(labels, raw, again)):
+            yield _table(out, shape)
+
+    dealt = rows.select("grp", "label", "again", "shingles").repartition(_parts(rows), "grp").sortWithinPartitions("grp", "label")
+    return dealt.mapInArrow(run, ddl)
+
+
+def opened(docs: DataFrame, nodes: DataFrame, cand: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) edges of labels that queries of other groups connect."""
+    queries = cut(cand.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("salts")))
+    # Seats: members in every salt of a group that has queries; queries in one.
+    of_group = nodes.join(queries, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    members = of_group.select("node", "mark", _seat("grp", "label", salt=F.col("salt")).alias("seat"))
+    asked = cand.join(queries, "grp").join(nodes.drop("grp"), "key")
+    asked = asked.select("node", "mark", _seat("grp", "label", salt=F.pmod(F.xxhash64("key"), "salts"), query=1).alias("seat"))
+    routes = members.union(asked).groupBy(F.col("node").alias("id"), "mark").agg(F.collect_list("seat").alias("seats"))
+    shape = arrow_schema(docs.sparkSession, "a bigint, b bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, labels, sets, group = None, [], [], None
+        for rb in batches:
+            out: set[tuple] = set()
+            for g, salt, query, label, raw in zip(*(rb.column(k).to_pylist() for k in range(5)), strict=True):
                 if (g, salt) != now:
-                    if nodes and group is None and now[1] == 0:
-                        out += Group(nodes, sets, percent).inner()
-                    now, nodes, sets, group = (g, salt), [], [], None
+                    now, labels, sets, group = (g, salt), [], [], None
+                s = np.frombuffer(raw, np.uint64)
                 if not query:
-                    nodes.append(x)
+                    labels.append(label)
                     sets.append(s)
-                elif nodes:
-                    if group is None:
-                        group = Group(nodes, sets, percent)
-                        inner = list(group.inner())
-                        out += inner if salt == 0 else []
-                    out += group.query(x, s)
+                elif labels:
+                    group = group or Group(labels, sets, percent)
+                    out |= {(label, x) for x in group.query(label, s)}
             if out:
-                yield _edges(out, edge)
-                out = []
-        if nodes and group is None and now[1] == 0:
-            out += Group(nodes, sets, percent).inner()
-        if out:
-            yield _edges(out, edge)
+                yield _table(list(out), shape)
 
-    sent = rows.mapInArrow(send, ddl).repartition(_parts(docs), "grp", "salt").sortWithinPartitions("grp", "salt", "query", "id")
-    return sent.mapInArrow(open_groups, "a bigint, b bigint")
+    rows = seated(docs, cut(routes), words).drop("again")
+    dealt = rows.repartition(_parts(docs), "grp", "salt").sortWithinPartitions("grp", "salt", "query", "label")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def _edges(pairs: list[tuple[int, int]], shape: pa.Schema) -> pa.RecordBatch:
-    a, b = zip(*pairs, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=shape)
+def _table(rows: list[tuple], shape: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
 
 
 def join(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row of ``df``; the key is an
     integer column. component_id is the smallest key reachable by links."""
-    docs = narrow(df, key, text).select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = written(signatures(docs, words, percent))
+    docs = narrow(df, key, text).select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
+    order = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
+    rows = written(signatures(docs, words, percent, order))
     # Cut, so that joins with it have plain exchanges on both sides and a large
     # group of equal sets can be split.
-    reps = cut(rows.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node")))
-    nodes = rows.join(reps.withColumnRenamed("node", "id"), ["digest", "id"], "left_semi").select(F.col("id").alias("node"), "n", "digest", "low", "prefix").dropDuplicates(["node", "digest"])
-    nodes = written(_grouped(nodes))
-    cand = cut(candidates(nodes, percent))
-    queries = cand.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("salts"))
-    # Seats: members of groups that have queries or other members, in every
-    # salt of the group; queries in one salt each.
-    of_group = nodes.select("node", F.col("group").alias("grp"), "shared").join(queries, "grp", "left").filter(F.col("shared") | F.col("salts").isNotNull())
-    every = F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1).cast("bigint")) - 1)
-    members = of_group.select("node", F.explode(F.transform(every, lambda s: F.struct(F.col("grp").alias("grp"), s.alias("salt"), F.lit(0).alias("query")))).alias("seat"))
-    asked = cand.join(queries, "grp").select("node", F.struct("grp", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.lit(1).alias("query")).alias("seat"))
-    routes = cut(members.union(asked).groupBy(F.col("node").alias("id")).agg(F.collect_list("seat").alias("seats")))
-    small = routes.agg(F.sum(F.size("seats"))).first()[0] or 0
-    edges = opened(docs.filter("id IS NOT NULL"), routes, words, percent, small <= BROADCAST_ROWS)
-    roots = components(edges)
-    whole = rows.select("id", "n", "digest").join(reps, "digest", "left").join(roots, "node", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(F.col("id"))
+    reps = cut(rows.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("rep")).select("digest", F.col("rep.id").alias("node"), F.col("rep.mark").alias("mark")))
+    nodes = rows.withColumnRenamed("id", "node").join(reps, ["digest", "node", "mark"], "left_semi").dropDuplicates(["node", "digest"])
+    nodes = written(_grouped(nodes.withColumn("key", F.xxhash64("node", "mark"))))
+    keyed = docs.filter("id IS NOT NULL")
+    roots = cut(components(levels(keyed, nodes, words, percent)).select("node", F.col("root").alias("label")))
+    few = roots.count() <= BROADCAST_ROWS
+    labelled = nodes.join(F.broadcast(roots) if few else roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = written(_regrouped(labelled if few else cut(labelled)))
+    cand = cut(candidates(nodes, percent, _settled(nodes, order)))
+    last = cut(components(opened(keyed, nodes, cand, words, percent)).select(F.col("node").alias("label"), "root"))
+    of_set = reps.select("digest", "node").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")).join(last, "label", "left")
+    of_set = cut(of_set.select("digest", F.coalesce("root", "label").alias("component")))
+    whole = rows.select("id", "n", "digest").join(of_set, "digest", "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return whole.select(F.col("id").cast(df.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), component.cast(df.schema[key].dataType).alias("component_id"))
 
 

@@ -36,7 +36,9 @@ def roots(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "BROADCAST_ROWS", few)
     rng = random.Random(1)
     for n, m in ((60, 40), (40, 200), (30, 0)):
         edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]

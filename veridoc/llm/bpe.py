@@ -86,7 +86,7 @@ class Codec:
 
     #: Bytes of the memo of segments, and of that of pre-tokens, in a worker,
     #: as ``Memo`` estimates them; at so many, a memo starts anew.
-    MEMO = 80_000_000
+    MEMO = 60_000_000
 
     def __init__(self, ranks_path: str, pattern: str, memo: int = MEMO):
         with open(ranks_path, "rb") as f:
@@ -147,7 +147,7 @@ class Codec:
         known, out = self.pieces, []
         for m in self.pattern.finditer(segment):
             piece = m[0]
-            ids = known.get(piece)
+            ids = known.find(piece)
             if ids is None:
                 raw = self.encode_piece(piece.encode("utf-8", "replace"))
                 ids = pack(f"<{len(raw)}I", *raw)
@@ -173,30 +173,41 @@ class Codec:
 
 
 class Memo(dict):
-    """Ids of short texts, in at most so many bytes.
+    """Ids of short texts, in at most so many bytes, in two generations: what
+    is not used while one fills up is forgotten with it.
 
     Texts over ``LONG`` characters are not kept: they seldom come again, and
     scripts without spaces, encoded data or minified code would fill the memo
     with them."""
 
     LONG = 64
-    #: Bytes of an entry beside its characters and ids: slot and two objects.
-    ENTRY = 200
+    #: Bytes of an entry beside its characters and ids, measured: slot and two
+    #: objects.
+    ENTRY = 110
 
     def __init__(self, most: int):
         super().__init__()
         self.most, self.bytes = most, 0
+        self.old: dict[str, bytes] = {}
 
     def keep(self, text: str, ids: bytes) -> None:
         if len(text) <= self.LONG:
-            if self.bytes > self.most:
+            if self.bytes > self.most // 2:
+                old = self.copy()
                 self.clear()
+                self.old = old
             self[text] = ids
             self.bytes += self.ENTRY + 2 * len(text) + len(ids)
 
+    def find(self, text: str) -> bytes | None:
+        ids = self.get(text)
+        if ids is None and (ids := self.old.get(text)) is not None:
+            self.keep(text, ids)
+        return ids
+
     def clear(self) -> None:
         super().clear()
-        self.bytes = 0
+        self.old, self.bytes = {}, 0
 
 
 class Segments(Memo):
@@ -215,7 +226,9 @@ class Segments(Memo):
         self.learn = learn
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.learn(" " + part)
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.learn(" " + part)
         self.keep(part, ids)
         return ids
 
@@ -295,7 +308,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id"
     return map_batches(narrow(df, key, text), run, f"`{key}` {kind}, {DIGESTS}")
 
 
-def encoded(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", memo: int = Codec.MEMO // 4) -> DataFrame:
+def encoded(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", memo: int = Codec.MEMO // 2) -> DataFrame:
     """As ``round_trip``, with the ids themselves as ``ids array<int>``; its
     memo is smaller, as it runs where other stages have filled the memory."""
     kind = df.schema[key].dataType.simpleString()

@@ -64,7 +64,7 @@ class LibraryEncoder:
     than its own literal.
     """
 
-    MEMO = 100_000_000
+    MEMO = 60_000_000
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -103,7 +103,7 @@ class LibraryEncoder:
         known, out = self.pieces, []
         for m in self.split(segment):
             piece = m[0]
-            ids = known.get(piece)
+            ids = known.find(piece)
             if ids is None:
                 byte_text = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letter)
                 ids = array("I", [t.id for t in self.tokenize(byte_text)]).tobytes()

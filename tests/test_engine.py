@@ -17,6 +17,7 @@ from veridoc.operators.validate import Validator
 from veridoc.plans import graph
 from veridoc.plans.catalog import load
 from veridoc.sources.documents import files, inline
+from veridoc.sources.providers import key_list, opened
 from veridoc.streaming import validate as streaming
 
 D7 = "http://json-schema.org/draft-07/schema#"
@@ -110,14 +111,127 @@ def test_extension(spark):
 
 
 def test_cache(spark, tmp_path):
-    schemas = load({"$schema": D7, "$id": "urn:p", "primary_key": ["k"]}, {"$schema": D7, "$id": "urn:c", "foreign_keys": [{"schema_id": "urn:p", "members": ["k"]}]})
-    v = Validator(schemas, {"cacheDir": str(tmp_path / "keys")})
-    v.bind("urn:p", spark.createDataFrame([(1,)], "k int"), ["k"]).bind("urn:c", spark.createDataFrame([(1,), (2,)], "k int"), ["k"])
-    v.warm_up()
-    v.bind("urn:p", spark.createDataFrame([(2,)], "k int"), ["k"])
-    assert [r.k for r in v.stale("urn:c").collect()] == [2]
-    v.invalidate(spark)
-    assert [r.k for r in v.stale("urn:c").collect()] == [1]
+    """Only key lists of providers are kept: documents are always read anew."""
+    schemas = load({"$schema": D7, "$id": "https://x.org/p", "primary_key": ["k"]}, {"$schema": D7, "$id": "https://x.org/c", "foreign_keys": [{"schema_id": "p", "members": ["k"]}]})
+    lists, asked = {"https://a.org/p/": "5\n6"}, []
+
+    def fetch(address, accept):
+        asked.append(address)
+        return lists[address]
+
+    config = {"cacheDir": str(tmp_path / "keys"), "primary_key": {"provider": "https://a.org/", "accept": "text/plain", "schema_prefix": "https://x.org/", "fetch": fetch}}
+
+    def stale(held, **more):
+        v = Validator(schemas, {**config, **more})
+        v.bind("https://x.org/p", spark.createDataFrame([(x,) for x in held], "k string"), ["k"])
+        v.bind("https://x.org/c", spark.createDataFrame([(x,) for x in "1256"], "k string"), ["k"])
+        v.warm_up()
+        return v, sorted(r.k for r in v.stale("https://x.org/c").collect())
+
+    v, first = stale("1", **{"read-only": True})
+    assert first == ["2"] and not (tmp_path / "keys").exists()
+    assert stale("1")[1] == ["2"] and stale("2")[1] == ["1"] and len(asked) == 2
+    v.bind("https://x.org/p", spark.createDataFrame([("2",)], "k string"), ["k"])
+    assert [r.k for r in v.stale("https://x.org/c").collect()] == ["1"]
+    lists["https://a.org/p/"] = "5"
+    v = stale("1")[0]
+    v.invalidate()
+    assert stale("1")[1] == ["2", "6"]
+
+
+def test_provider_files(spark, tmp_path):
+    """Lists are opened by address by default; one that is not there is empty."""
+    put(tmp_path / "list", "one\ntwo\n")
+    assert key_list({}, opened, f"file://{tmp_path}/list", "text/plain") == ["one", "two"]
+    own = {"provider": "file:///nowhere/", "accept": "text/plain", "schema_prefix": "https://x.org/"}
+    assert Validator(load({"$schema": D7, "$id": "https://x.org/keys", "primary_key": ["k"]}), {"primary_key": own})._providers("https://x.org/keys") == []
+
+
+def test_collision_in_a_run(spark):
+    lists = {"https://a.org/p/": "one\ntwo", "https://b.org/p/": "one"}
+    own = {"provider": ["https://a.org/", "https://b.org/"], "accept": "text/plain", "schema_prefix": "https://x.org/", "fetch": lambda address, accept: lists[address]}
+    s = load({"$schema": D7, "$id": "https://x.org/p", "primary_key": ["k"]})
+    docs = [{"file": n, "errors": [], "json": {"@schema": "https://x.org/p", "k": k}} for n, k in (("a", "two"), ("b", "three"))]
+    found = Documents(Validator(s, {"primary_key": own}), inline(spark, docs)).errors().collect()
+    assert sorted((r.doc_id, r.reason, r.key, r.holder) for r in found) == [("(providers)", "dup_pk", '["one"]', "https://a.org/, https://b.org/"), ("a", "dup_pk", '["two"]', "https://a.org/")]
+    free = Validator(s, {"primary_key": {**own, "allow_provider_duplicates": True}})
+    assert not Documents(free, inline(spark, docs)).errors().collect()
+
+
+def test_holders(spark):
+    """Which accepted document has the key, by one key and by several."""
+    rows = [(1, 5, 5), (2, 5, 6), (3, 6, 5), (4, 6, 6), (5, 7, 7), (6, 7, 9)]
+    df = spark.createDataFrame(rows, "i int, a int, b int")
+    one = Validator(load({"$schema": D7, "$id": "urn:d", "unique": ["a"]})).bind("urn:d", df, ["i"])
+    assert sorted((r.i, r.holder) for r in one.duplicates("urn:d").collect()) == [(2, '{"i":1}'), (4, '{"i":3}'), (6, '{"i":5}')]
+    two = Validator(load({"$schema": D7, "$id": "urn:d", "allOf": [{"unique": ["a"]}, {"unique": ["b"]}]})).bind("urn:d", df, ["i"])
+    assert sorted((r.i, r.key, r.holder) for r in two.duplicates("urn:d").collect()) == [(2, "[5]", '{"i":1}'), (3, "[5]", '{"i":1}'), (6, "[7]", '{"i":5}')]
+
+
+def test_hot_key_is_split(spark):
+    """A third of all rows on one key: the final plan splits the join."""
+    df = spark.range(0, 600_000, 1, 8).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id").cast("int") % 300_000).alias("k"))
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, x in small.items():
+            spark.conf.set(k, x)
+        found = Validator(load({"$schema": D7, "$id": "urn:d", "unique": ["k"]})).bind("urn:d", df, ["id"]).duplicates("urn:d")
+        assert found.count() == 600_000 - df.select("k").distinct().count()
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
+@pytest.mark.parametrize("finish", [0, 40])
+def test_rounds_and_finish(spark, monkeypatch, finish):
+    from veridoc.operators import keys
+
+    monkeypatch.setattr(keys, "FINISH", finish)
+    rng = random.Random(finish)
+    docs = [(i, (rng.choice([None, *range(25)]), rng.choice([None, *range(25)]), True)) for i in range(120)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in docs], "i int, a int, b int")
+    v = Validator(load({"$schema": D7, "$id": "urn:d", "allOf": [{"unique": ["a"]}, {"primary_key": ["b"]}]})).bind("urn:d", df, ["i"])
+    assert {r.i for r in v.survivors("urn:d").collect()} == {i for i, _ in docs} - set(sequential(docs))
+
+
+KEY = {"unique": True}
+
+
+@pytest.mark.parametrize(
+    "body,one,two,keys",
+    [
+        ({"patternProperties": {"^id": KEY}}, {"id1": 1, "x": 9}, {"id2": 1, "x": 9}, ["[1]"]),
+        ({"properties": {"x": {}}, "patternProperties": {"^y": {}}, "additionalProperties": KEY}, {"x": 9, "y": 9, "z": 1}, {"x": 9, "y": 9, "w": 1}, ["[1]"]),
+        ({"properties": {"l": {"items": [{}], "additionalItems": KEY}}}, {"l": [9, 1, 2]}, {"l": [9, 2, 3]}, ["[2]"]),
+        ({"properties": {"l": {"contains": {"type": "string", "unique": True}}}}, {"l": [9, "a"]}, {"l": ["a", 9]}, ['["a"]']),
+        ({"dependencies": {"kind": {"unique": ["id"]}}}, {"kind": 1, "id": 1}, {"kind": 1, "id": 1}, ["[1]"]),
+        ({"dependencies": {"kind": {"unique": ["id"]}}}, {"id": 1}, {"kind": 1, "id": 1}, []),
+        ({"properties": {"m": {"additionalProperties": {"properties": {"id": KEY}}}}}, {"m": {"a": {"id": 1}, "b": {"id": 2}}}, {"m": {"c": {"id": 2}}}, ["[2]"]),
+    ],
+)
+def test_keys_in_every_applicator(spark, body, one, two, keys):
+    s = load({"$schema": D7, "$id": "urn:d", **body})
+    docs = [{"file": n, "errors": [], "json": {"@schema": "urn:d", **j}} for n, j in (("1", one), ("2", two))]
+    # "@schema" is one of the other members too.
+    found = Documents(Validator(s), inline(spark, docs)).errors().filter("key <> '[\"urn:d\"]'").collect()
+    assert [(r.doc_id, r.key) for r in found] == [("2", k) for k in keys]
+    rows = [json.dumps(one), json.dumps(two)]
+    if "patternProperties" in body and "properties" not in body or "dependencies" in body:
+        text = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "n int, j string")
+        typed = text.select("n", F.from_json("j", "id int, id1 int, id2 int, kind int").alias("r")).select("n", "r.*")
+        assert sorted(r.key for r in Validator(s).bind("urn:d", typed, ["n"]).duplicates("urn:d").collect()) == keys
+
+
+def test_named_files_count_once(spark, tmp_path):
+    for name in ("a.json", "deep/b.json", "deep/c.txt", ".hidden.json"):
+        put(tmp_path / name, {"n": name})
+    given = [str(tmp_path / "deep"), str(tmp_path / "a.json"), str(tmp_path), str(tmp_path / "deep/b.json"), str(tmp_path / "deep/c.txt"), f"file://{tmp_path}/"]
+    df = files(spark, *given)
+    assert sorted(os.path.basename(r.file) for r in df.collect()) == ["a.json", "b.json", "c.txt"]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def put(path, value):

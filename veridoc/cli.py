@@ -38,10 +38,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dot-report", help="write the graph of the schemas")
     state = p.add_mutually_exclusive_group()
     state.add_argument("--invalidate", action="store_true")
-    state.add_argument("--read-only", action="store_true")
+    state.add_argument("--read-only", action="store_true", help="leave the cache folder as it is")
     warm = p.add_mutually_exclusive_group()
     warm.add_argument("--warm-up", action="store_true")
-    warm.add_argument("--lazy-load", action="store_true")
+    warm.add_argument("--lazy-load", action="store_true", help="read key lists when they are needed, as without --warm-up")
     p.add_argument("--iter-arrays", action="store_true", help="elements of a top-level array are documents")
     p.add_argument("-V", "--version", action="version", version=VERSION)
     p.add_argument("schemas", help="file or folder")
@@ -62,6 +62,8 @@ def main(argv: list[str] | None = None) -> int:
             config = yaml.safe_load(f) or {}
     if a.cache_dir:
         config["cacheDir"] = a.cache_dir
+    if a.read_only:
+        config["read-only"] = True
 
     from veridoc.plans.catalog import load
     from veridoc.plans.graph import write_dot
@@ -89,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("veridoc").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     validator = Validator(schemas, config)
     if a.invalidate:
-        validator.invalidate(spark)
+        validator.invalidate()
     docs = Documents(validator, files(spark, *a.documents, iter_arrays=a.iter_arrays), a.schema_id_path, guess=a.use_schemas or a.guess_schema)
     if a.warm_up:
         validator.warm_up()
@@ -101,7 +103,7 @@ def main(argv: list[str] | None = None) -> int:
     for row in (bad if a.go_on else bad.limit(1)).toLocalIterator():
         failed += 1
         for e in row.errors:
-            print(f"{row.doc_id}: {e.reason} {e.pointer or ''} {e.path or e.key or ''}".rstrip())
+            print(f"{row.doc_id}: {e.reason} {e.pointer or ''} {e.path or e.key or ''}{f' held by {e.holder}' if e.holder else ''}".rstrip())
     for row in docs.stats().collect() if a.verbose or a.debug else ():
         log.info("%s: %d", row.status, row.n)
     return 2 if failed else 0

@@ -11,12 +11,14 @@ known by their SHA-256, so that no shuffle moves whole texts.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veridoc.functions.keywords import java_regex
 from veridoc.functions.values import Missing, Row, TypedValue, Value, VariantValue
 
 LONG = 128
@@ -85,6 +87,37 @@ class Values:
             return Values(one=Missing())
         return Values(many=F.flatten(F.filter(F.transform(self.many, lambda x: self.of(x).items()), lambda y: y.isNotNull())), of=sample.of_item)
 
+    def named(self, fits: Callable[[Column], Column]) -> Values:
+        """The members of each value whose names fit."""
+        if self.many is None:
+            inside = self.one.members()
+            if inside is not None:
+                return Values(many=F.map_values(F.map_filter(inside, lambda k, _: fits(k))), of=self.one.of_member)
+            names = static_names(self.one)
+            if not names:
+                return Values(one=Missing())
+            each = [F.when(fits(F.lit(n)), as_variant(self.one.get(n))) for n in names]
+            return Values(many=F.array_compact(F.array(*each)), of=VariantValue)
+        sample = self.of(F.lit(None))
+        if sample.members() is None:
+            if not static_names(sample):
+                return Values(one=Missing())
+            inner = F.transform(self.many, lambda x: F.array_compact(F.array(*[F.when(fits(F.lit(n)), as_variant(self.of(x).get(n))) for n in static_names(sample)])))
+            return Values(many=F.flatten(F.filter(inner, lambda y: y.isNotNull())), of=VariantValue)
+        inner = F.transform(self.many, lambda x: F.map_values(F.map_filter(self.of(x).members(), lambda k, _: fits(k))))
+        return Values(many=F.flatten(F.filter(inner, lambda y: y.isNotNull())), of=sample.of_member)
+
+    def rest(self, first: int) -> Values:
+        """The elements, from one on, of each value that is a list."""
+        tail = lambda items: F.slice(items, first + 1, F.greatest(F.size(items), F.lit(1)))
+        if self.many is None:
+            items = self.one.items()
+            return Values(one=Missing()) if items is None else Values(many=tail(items), of=self.one.of_item)
+        sample = self.of(F.lit(None))
+        if sample.items() is None:
+            return Values(one=Missing())
+        return Values(many=F.flatten(F.filter(F.transform(self.many, lambda x: tail(self.of(x).items())), lambda y: y.isNotNull())), of=sample.of_item)
+
     def step(self, step: Step) -> Values:
         if self.many is None:
             got = self.one.get(step.name)
@@ -118,6 +151,21 @@ class Values:
         return F.lit(None).cast("string") if isinstance(self.one, Missing) else key_text(self.one)
 
 
+def static_names(v: Value) -> list[str]:
+    """Names of the members of a value whose type tells them."""
+    kind = v.schema if isinstance(v, Row) else getattr(v, "type", None)
+    return list(kind.names) if isinstance(kind, T.StructType) else []
+
+
+def as_variant(v: Value) -> Column:
+    """A member as VARIANT, null where it is missing."""
+    if isinstance(v, VariantValue):
+        return v.col
+    if isinstance(v.type, (T.ArrayType, T.StructType, T.MapType)):
+        return F.when(v.col.isNotNull(), F.to_variant_object(v.col))
+    return v.col.cast("variant")
+
+
 def key_text(v: Value) -> Column:
     """Canonical text of a member of a key; of a long string its digest."""
     if isinstance(v, VariantValue) or isinstance(v, TypedValue) and isinstance(v.type, T.StringType):
@@ -238,6 +286,16 @@ def rooted(path: str, root_tag: str | None) -> str:
     return "|".join([f'"{root_tag}".{p}' for p in parts] + parts)
 
 
+def _outside(names: tuple[str, ...], patterns: tuple[str, ...]) -> Callable[[Column], Column]:
+    def fits(n: Column) -> Column:
+        out = ~n.isin(*names) if names else F.lit(True)
+        for p in patterns:
+            out = out & ~n.rlike(java_regex(p))
+        return out
+
+    return fits
+
+
 def located(root: Value, location: tuple[tuple[str, object], ...]) -> Values:
     """The values at a place of a schema."""
     got = Values(one=root)
@@ -246,6 +304,12 @@ def located(root: Value, location: tuple[tuple[str, object], ...]) -> Values:
             got = got.member(what)
         elif kind == "items":
             got = got.items()
+        elif kind == "rest":
+            got = got.rest(what)
+        elif kind == "pattern":
+            got = got.named(lambda n, p=what: n.rlike(java_regex(p)))
+        elif kind == "others":
+            got = got.named(_outside(*what))
         else:
             got = Values(one=got.one.item(what)) if got.many is None else got.items()
     return got

@@ -32,7 +32,7 @@ class Documents:
         self.docs = self._routed(docs)
         for uri, entry in validator.schemas.valid.items():
             mine = self.docs.filter(F.col("schema_id") == uri)
-            validator.bound[uri] = Bound(entry, mine, ["doc_id"], ["ord"], VariantValue(F.col("json")), "json")
+            validator.bind_as(Bound(entry, mine, ["doc_id"], ["ord"], VariantValue(F.col("json")), "json"))
 
     def _named(self) -> Column:
         found = [v.string() for v in jsonpath(VariantValue(F.col("json")), self.id_path)]
@@ -68,17 +68,20 @@ class Documents:
     def unrouted(self) -> DataFrame:
         """Errors of documents without a schema of their own."""
         null = F.lit(None).cast("string")
-        plain = self.docs.filter(F.col("reason").isNotNull() & (F.col("reason") != "guess")).select("doc_id", F.col("named").alias("schema_id"), "reason", null.alias("keyword"), null.alias("pointer"), null.alias("path"), null.alias("key"))
+        plain = self.docs.filter(F.col("reason").isNotNull() & (F.col("reason") != "guess")).select("doc_id", F.col("named").alias("schema_id"), "reason", null.alias("keyword"), null.alias("pointer"), null.alias("path"), null.alias("key"), null.alias("holder"))
         if "array" not in self.docs.schema["tries"].dataType.simpleString():
             return plain
         tried = self.docs.filter("reason = 'guess'").select("doc_id", F.explode("tries").alias("t")).select("doc_id", "t.schema_id", F.explode("t.errors").alias("e"))
-        return plain.union(tried.select("doc_id", "schema_id", F.lit("schema_error"), "e.keyword", "e.pointer", "e.path", null))
+        return plain.union(tried.select("doc_id", "schema_id", F.lit("schema_error"), "e.keyword", "e.pointer", "e.path", null, null))
 
     def errors(self) -> DataFrame:
-        """(doc_id, schema_id, reason, keyword, pointer, path, key) of all documents."""
+        """(doc_id, schema_id, reason, keyword, pointer, path, key, holder) of
+        all documents, and of providers that collide."""
         parts = [self.unrouted()]
         for uri in self.v.schemas.valid:
             parts.append(self.v.errors(uri).select("doc_id", F.lit(uri).alias("schema_id"), *DETAIL))
+        if self.v._collide():
+            parts.append(self.v.provider_errors(self.docs.sparkSession))
         return reduce(DataFrame.union, [p.select(*ROW) for p in parts])
 
     def report(self, annotation: str | None = None, errors_only: bool = False, verbose: bool = False) -> DataFrame:

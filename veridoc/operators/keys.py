@@ -6,15 +6,22 @@ frees all its keys. Where a document has one key at most, the first place of
 each key decides. Otherwise rounds accept every undecided document that comes first for all its
 keys and reject those that share a key with one just accepted; only documents
 with a contested key take part, and each round is cut by a checkpoint in the
-shared folder.
+shared folder. What is accepted depends on the order of all documents before,
+so a chain of documents needs a round a link; once at most ``FINISH`` keys are
+undecided, one task decides them in order.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from veridoc.functions.keywords import Compiler, NotColumnar, every
 from veridoc.functions.paths import key_texts, located, single_key
@@ -22,13 +29,21 @@ from veridoc.functions.values import Value, no
 from veridoc.plans.catalog import KeyDef, RefDef
 
 REASONS = {"unique": "dup_unique", "primary_key": "dup_pk"}
+#: Keys that may be a broadcast: some 300 bytes each with what goes with them.
+BROADCAST_KEYS = 100_000
+#: Undecided keys that one task decides: some 200 MB.
+FINISH = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a private folder only where the session names none."""
+    """``spark.checkpoint.dir``; a private folder only where a local session
+    names none, as in tests; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="veridoc-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -102,18 +117,30 @@ def _tagged(i: int, prefix: Column):
     return lambda k: F.struct(F.lit(i).alias("def"), F.concat(prefix, k).alias("key"))
 
 
-def first_come(df: DataFrame, root: Value, d: KeyDef, compiler: Compiler, order: Column) -> DataFrame:
-    """``df`` with ``__key`` and ``__late``, whether an earlier document has
-    the key; for declarations with one key at most.
+def contested(df: DataFrame, root: Value, d: KeyDef, compiler: Compiler, order: Column, ids: list[str]) -> DataFrame:
+    """(__key, __first, __holder) of keys that several documents have, with the
+    place of the first of them and which it is; for declarations with one key
+    at most. First places are partial minima."""
+    keyed = df.select(extract_one(root, d, compiler).alias("__key"), order.alias("o"), F.struct(*[F.col(f"`{c}`") for c in ids]).alias("doc")).filter(F.col("__key").isNotNull())
+    firsts = keyed.groupBy("__key").agg(F.min(F.struct("o", "doc")).alias("f"), F.count("*").alias("c")).filter("c > 1")
+    return few(cut(firsts.select("__key", F.col("f.o").alias("__first"), F.to_json("f.doc").alias("__holder"))))
 
-    Only contested keys are joined back. Their first place is a partial
-    minimum and the join can be split, so a key that a third of all documents
-    share weighs on no single task, as it would in a window."""
-    key = extract_one(root, d, compiler)
-    keyed = df.withColumn("__key", key).withColumn("__ord", order)
-    firsts = keyed.filter(F.col("__key").isNotNull()).groupBy("__key").agg(F.min("__ord").alias("__first"), F.count("*").alias("__c"))
-    contested = firsts.filter("__c > 1").select("__key", "__first")
-    return keyed.join(contested, "__key", "left").withColumn("__late", F.coalesce(F.col("__ord") > F.col("__first"), no())).drop("__ord", "__first")
+
+def few(keys: DataFrame) -> DataFrame:
+    """A broadcast of keys if they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def first_come(df: DataFrame, root: Value, d: KeyDef, compiler: Compiler, order: Column, taken: DataFrame) -> DataFrame:
+    """``df`` with ``__key``, ``__holder`` and ``__late``, whether an earlier
+    document has the key.
+
+    Only contested keys, ``taken``, are joined back. They are cut, so the join
+    has plain exchanges on both sides and adaptive execution can split it: a
+    key that a third of all documents share weighs on no single task, as it
+    would in a window."""
+    keyed = df.withColumn("__key", extract_one(root, d, compiler)).withColumn("__ord", order)
+    return keyed.join(taken, "__key", "left").withColumn("__late", F.coalesce(F.col("__ord") > F.col("__first"), no())).drop("__ord", "__first")
 
 
 def greedy(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,30 +150,68 @@ def greedy(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = keys.groupBy("doc", "ord", "def", "key").agg(F.count("*").alias("n"))
     twice = own.filter("n > 1").select("doc").distinct()
     single = own.join(twice, "doc", "left_anti").select("doc", "ord", "def", "key")
-    contested = single.groupBy("def", "key").agg(F.count("*").alias("n")).filter("n > 1").select("def", "key")
-    disputed = single.join(contested, ["def", "key"], "left_semi")
-    left = cut(disputed)
-    rejected = cut(twice)
-    while not left.isEmpty():
+    shared = cut(single.groupBy("def", "key").agg(F.count("*").alias("n")).filter("n > 1").select("def", "key"))
+    left = cut(single.join(shared, ["def", "key"], "left_semi"))
+    rejected = [cut(twice)]
+    while (n := left.count()) > FINISH:
         firsts = left.groupBy("def", "key").agg(F.min("ord").alias("first"))
         winners = left.join(firsts, ["def", "key"]).groupBy("doc").agg(F.min(F.col("ord") == F.col("first")).alias("won")).filter("won").select("doc")
         taken = left.join(winners, "doc", "left_semi").select("def", "key")
         open_ = left.join(winners, "doc", "left_anti")
-        losers = open_.join(taken, ["def", "key"], "left_semi").select("doc").distinct()
-        losers = cut(losers)
+        losers = cut(open_.join(taken, ["def", "key"], "left_semi").select("doc").distinct())
         left = cut(open_.join(losers, "doc", "left_anti"))
-        rejected = rejected.union(losers)
-    rejected = cut(rejected)
-    return rejected, single.join(rejected, "doc", "left_anti")
+        rejected.append(losers)
+        if len(rejected) == 16:  # a short plan, however many rounds
+            rejected = [cut(_union(rejected))]
+    if n:
+        rejected.append(in_order(left))
+    gone = cut(_union(rejected))
+    return gone, single.join(gone, "doc", "left_anti")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def in_order(left: DataFrame) -> DataFrame:
+    """Documents (doc) of undecided keys that are rejected, by one task that
+    takes them in their order."""
+    shape = left.select("doc").schema
+    arrow = to_arrow_schema(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: set[tuple] = set()
+        doc, place, own = None, None, []
+        for rb in batches:
+            out = []
+            for x, at, d, key in zip(*(rb.column(k).to_pylist() for k in range(4)), strict=True):
+                if own and at != place:
+                    if taken.isdisjoint(own):
+                        taken.update(own)
+                    else:
+                        out.append(doc)
+                    own = []
+                doc, place = x, at
+                own.append((d, key))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, arrow.field(0).type)], schema=arrow)
+        if own and not taken.isdisjoint(own):
+            yield pa.RecordBatch.from_arrays([pa.array([doc], arrow.field(0).type)], schema=arrow)
+
+    return left.select("doc", "ord", "def", "key").coalesce(1).sortWithinPartitions("ord").mapInArrow(run, shape)
 
 
 def duplicates(keys: DataFrame, accepted: DataFrame) -> DataFrame:
-    """(doc, def, key, pos) of occurrences that repeat a key of an earlier
-    accepted document or an earlier place of their own document."""
-    held = accepted.select("def", "key", F.col("ord").alias("held"))
-    other = keys.join(held, ["def", "key"]).filter(F.col("held") < F.col("ord")).select("doc", "def", "key", "pos")
-    again = keys.withColumn("__n", F.row_number().over(Window.partitionBy("doc", "def", "key").orderBy("pos"))).filter("__n > 1").select("doc", "def", "key", "pos")
-    return other.union(again).distinct()
+    """(doc, def, key, pos, holder) of occurrences that repeat a key of an
+    earlier accepted document, the holder, or an earlier place of their own
+    document."""
+    held = accepted.select("def", "key", F.col("ord").alias("held"), F.to_json("doc").alias("holder"))
+    other = keys.join(held, ["def", "key"]).filter(F.col("held") < F.col("ord")).select("doc", "def", "key", "pos", "holder")
+    again = keys.withColumn("__n", F.row_number().over(Window.partitionBy("doc", "def", "key").orderBy("pos"))).filter("__n > 1").select("doc", "def", "key", "pos", F.to_json("doc").alias("holder"))
+    return other.union(again).groupBy("doc", "def", "key", "pos").agg(F.min("holder").alias("holder"))
 
 
 def none_of(df: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ results are DataFrames with the documents' own identifying columns.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,9 +22,11 @@ from veridoc.functions.keywords import ERROR, Compiler, NotColumnar
 from veridoc.functions.values import Row, Value, VariantValue
 from veridoc.operators import keys as K
 from veridoc.plans.catalog import KeyDef, RefDef, Schema, SchemaSet
-from veridoc.sources.providers import provider_keys
+from veridoc.sources.providers import collisions, forget_lists, provider_keys
 
-DETAIL = ("reason", "keyword", "pointer", "path", "key")
+DETAIL = ("reason", "keyword", "pointer", "path", "key", "holder")
+#: The document of errors that no document has.
+PROVIDERS = "(providers)"
 
 
 @dataclass
@@ -50,23 +51,30 @@ class Validator:
     ``veridoc.sources.providers``."""
 
     def __init__(self, schemas: SchemaSet, config: dict | None = None, formats: Formats | None = None, extensions: list[Extension] | None = None, types: dict | None = None):
-        self.schemas, self.config = schemas, config or {}
+        self.schemas, self.config = schemas, {**(config or {}), "lists": {}}
         self.extensions = extensions or []
         self.formats, self.keywords, self.types = formats or Formats(), keywords(self.extensions), types or {}
         self.bound: dict[str, Bound] = {}
         self._greedy: dict[str, tuple] = {}
+        self._contested: dict[str, DataFrame] = {}
         self._some: dict[tuple, bool] = {}
 
     def bind(self, uri: str, df: DataFrame, ids: list[str], order: list[str] | None = None) -> Validator:
         """Binds a table to a schema: each row is a document whose members are
         the columns, null being missing. ``order`` decides which of several
         documents with a key came first and must tell them apart."""
-        self.bound[uri] = Bound(self.schemas.valid[uri], df, ids, order or ids, Row(df.schema))
-        return self
+        return self.bind_as(Bound(self.schemas.valid[uri], df, ids, order or ids, Row(df.schema)))
 
     def bind_json(self, uri: str, df: DataFrame, ids: list[str], order: list[str] | None = None, value: str = "json") -> Validator:
         """Binds documents in a VARIANT column."""
-        self.bound[uri] = Bound(self.schemas.valid[uri], df, ids, order or ids, VariantValue(F.col(f"`{value}`")), value)
+        return self.bind_as(Bound(self.schemas.valid[uri], df, ids, order or ids, VariantValue(F.col(f"`{value}`")), value))
+
+    def bind_as(self, b: Bound) -> Validator:
+        """Binds, and forgets what was found out about documents bound before."""
+        self.bound[b.schema.uri] = b
+        self._greedy.pop(b.schema.uri, None)
+        self._contested.pop(b.schema.uri, None)
+        self._some.clear()
         return self
 
     # --- pass 1 ------------------------------------------------------------
@@ -138,15 +146,19 @@ class Validator:
         return bool(self.config.get("primary_key", {}).get("allow_provider_duplicates"))
 
     def _provided(self, uri: str) -> DataFrame | None:
-        """Provider keys that documents must not repeat, as (def, key)."""
+        """Provider keys that documents must not repeat, as (def, key, source);
+        a broadcast if they are few."""
         defs, rows = self._enforced(uri), []
         for i, d in enumerate(defs):
             if d.kind == "primary_key" and not self._shadow():
                 found = self._providers(d.owner)
                 if found and d.scoped:
                     raise ValueError(f"providers cannot serve the scoped key {d.id}")
-                rows += [(i, key) for _, key in found]
-        return self.bound[uri].df.sparkSession.createDataFrame(rows, "def int, key string").distinct() if rows else None
+                rows += [(i, key, source) for source, key in found]
+        if not rows:
+            return None
+        out = self.bound[uri].df.sparkSession.createDataFrame(rows, "def int, key string, source string").groupBy("def", "key").agg(F.min("source").alias("source"))
+        return F.broadcast(out) if len(rows) <= K.BROADCAST_KEYS else out
 
     def _keys(self, uri: str) -> DataFrame:
         b = self.bound[uri]
@@ -163,25 +175,33 @@ class Validator:
             self._greedy[uri] = (rows, K.cut(rejected.union(barred).distinct()), accepted)
         return self._greedy[uri]
 
+    def _first_come(self, uri: str) -> DataFrame:
+        b, d = self.bound[uri], self._enforced(uri)[0]
+        df, compiler = self.valid(uri), self.compiler(b.schema)
+        if uri not in self._contested:
+            self._contested[uri] = K.contested(df, b.root, d, compiler, b.ord, b.ids)
+        return K.first_come(df, b.root, d, compiler, b.ord, self._contested[uri])
+
     def duplicates(self, uri: str) -> DataFrame:
-        """ids, reason, keyword, pointer and key of keys that are taken."""
+        """ids, reason, keyword, pointer and key of keys that are taken, and
+        the holder: JSON text of the identifying columns of the accepted
+        document that has it, or the provider."""
         b, defs = self.bound[uri], self._enforced(uri)
         if not defs:
-            return b.df.select(*b.ids, *[F.lit(None).cast("string").alias(c) for c in ("reason", "keyword", "pointer", "key")]).filter(F.lit(False))
+            return self._nothing(b, "holder")
         provided = self._provided(uri)
         if self._single(uri):
-            ranked = K.first_come(self.valid(uri), b.root, defs[0], self.compiler(b.schema), b.ord)
+            ranked, holder = self._first_come(uri), F.when(F.col("__late"), F.col("__holder"))
             if provided is not None:
-                ranked = ranked.join(F.broadcast(provided.select(F.col("key").alias("__key"), F.lit(True).alias("__taken"))), "__key", "left")
-                taken = F.col("__late") | F.coalesce("__taken", F.lit(False))
-            else:
-                taken = F.col("__late")
-            return ranked.filter(taken).select(*b.ids, *self._names(F.lit(0), defs), F.col("__key").alias("key"))
+                ranked = ranked.join(provided.select(F.col("key").alias("__key"), F.col("source").alias("__source")), "__key", "left")
+                holder = F.coalesce("__source", holder)
+            return ranked.withColumn("__holder", holder).filter(F.col("__holder").isNotNull()).select(*b.ids, *self._names(F.lit(0), defs), F.col("__key").alias("key"), F.col("__holder").alias("holder"))
         rows, _, accepted = self._settled(uri)
         found = K.duplicates(rows, accepted)
         if provided is not None:
-            found = found.union(rows.join(F.broadcast(provided), ["def", "key"], "left_semi").select("doc", "def", "key", "pos")).distinct()
-        return found.select("doc.*", *self._names(F.col("def"), defs), "key")
+            given = rows.join(provided, ["def", "key"]).select("doc", "def", "key", "pos", F.col("source").alias("holder"))
+            found = found.union(given).groupBy("doc", "def", "key", "pos").agg(F.min("holder").alias("holder"))
+        return found.select("doc.*", *self._names(F.col("def"), defs), "key", "holder")
 
     @staticmethod
     def _names(which: Column, defs: list[KeyDef]) -> list[Column]:
@@ -196,10 +216,9 @@ class Validator:
         if not defs:
             return self.valid(uri)
         if self._single(uri):
-            ranked = K.first_come(self.valid(uri), b.root, defs[0], self.compiler(b.schema), b.ord)
-            provided = self._provided(uri)
+            ranked, provided = self._first_come(uri), self._provided(uri)
             if provided is not None:
-                ranked = ranked.join(F.broadcast(provided.select(F.col("key").alias("__key"))), "__key", "left_anti")
+                ranked = ranked.join(provided.select(F.col("key").alias("__key")), "__key", "left_anti")
             return ranked.filter(~F.col("__late")).select(*b.df.columns)
         rejected = self._settled(uri)[1].select("doc.*")
         return self.valid(uri).join(rejected, b.ids, "left_anti").select(*b.df.columns)
@@ -221,36 +240,16 @@ class Validator:
             out += [(b, k) for k in b.schema.keys if k.owner == r.target and k.kind == r.target_kind and (r.refers_to is None or k.name == r.refers_to)]
         return out
 
-    def _target_keys(self, b: Bound, k: KeyDef) -> DataFrame:
-        """As ``_accepted_keys``, from the cache folder where there is one."""
-        folder = self.config.get("cacheDir")
-        if not folder:
-            return self._accepted_keys(b, k)
-        path = f"{folder.rstrip('/')}/{hashlib.sha1((b.schema.uri + k.id + b.schema.hash).encode()).hexdigest()}"
-        spark = b.df.sparkSession
-        if not self._path(spark, path)[1]:
-            self._accepted_keys(b, k).write.parquet(path)
-        return spark.read.parquet(path)
-
-    @staticmethod
-    def _path(spark: SparkSession, path: str):
-        """A Hadoop path, its file system, and whether a whole table is there."""
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        return fs, fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")), p
-
     def warm_up(self) -> None:
-        """Fills the cache of accepted keys for all references."""
-        for b in self.bound.values():
-            for r in b.schema.refs:
-                for t, k in self.targets(r):
-                    self._target_keys(t, k)
+        """Reads the key lists of all providers, into the cache folder where
+        there is one. Only such lists are cached: what documents hold is always
+        read from the documents."""
+        for owner in {k.owner for e in self.schemas.valid.values() for k in e.keys if k.kind == "primary_key"}:
+            self._providers(owner)
 
-    def invalidate(self, spark: SparkSession) -> None:
-        """Removes the cache of accepted keys."""
-        if self.config.get("cacheDir"):
-            fs, _, p = self._path(spark, self.config["cacheDir"])
-            fs.delete(p, True)
+    def invalidate(self) -> None:
+        """Removes the cached key lists."""
+        forget_lists(self.config)
 
     def _accepted_keys(self, b: Bound, k: KeyDef) -> DataFrame:
         """Accepted keys of one declaration, as (key), or (key, doc) if scoped.
@@ -279,7 +278,7 @@ class Validator:
         tables = self.targets(r)
         at = (r.target, r.kind, *(id(b) for b, _ in tables))
         if at not in self._some:
-            self._some[at] = any(not self._target_keys(t, k).isEmpty() for t, k in tables)
+            self._some[at] = any(not self._accepted_keys(t, k).isEmpty() for t, k in tables)
         return self._some[at]
 
     def stale(self, uri: str) -> DataFrame:
@@ -295,10 +294,11 @@ class Validator:
             if not targets:
                 provided = [(key,) for _, key in self._providers(r.target)] if r.kind == "foreign_keys" else []
                 if provided:
-                    rows = rows.join(F.broadcast(b.df.sparkSession.createDataFrame(provided, "__key string")), "__key", "left_anti")
+                    given = b.df.sparkSession.createDataFrame(provided, "__key string")
+                    rows = rows.join(F.broadcast(given) if len(provided) <= K.BROADCAST_KEYS else given, "__key", "left_anti")
             for t, k in targets:
                 on = ["__key", "__doc"] if k.scoped else ["__key"]
-                rows = rows.join(self._target_keys(t, k), on, "left_anti")
+                rows = rows.join(self._accepted_keys(t, k), on, "left_anti")
             out.append(rows.select(*b.ids, F.lit(r.reasons[0]).alias("reason"), F.lit(r.kind).alias("keyword"), F.lit(r.pointer).alias("pointer"), F.col("__key").alias("key")))
         return reduce(DataFrame.unionByName, out) if out else self._nothing(b)
 
@@ -315,8 +315,18 @@ class Validator:
             out.append(rows.select(*b.ids, F.lit(r.reasons[1]).alias("reason"), F.lit(r.kind).alias("keyword"), F.lit(r.pointer).alias("pointer"), F.lit(None).cast("string").alias("key")))
         return reduce(DataFrame.unionByName, out) if out else self._nothing(b)
 
-    def _nothing(self, b: Bound) -> DataFrame:
-        return b.df.select(*b.ids, *[F.lit(None).cast("string").alias(c) for c in ("reason", "keyword", "pointer", "key")]).filter(F.lit(False))
+    def _nothing(self, b: Bound, *more: str) -> DataFrame:
+        return b.df.select(*b.ids, *[F.lit(None).cast("string").alias(c) for c in ("reason", "keyword", "pointer", "key", *more)]).filter(F.lit(False))
+
+    def provider_errors(self, spark: SparkSession) -> DataFrame:
+        """(schema_id, doc_id, ...) of keys that several providers of a schema
+        give, unless that is allowed; the holder names all of them."""
+        rows = []
+        for uri, entry in self.schemas.valid.items():
+            for k in entry.keys:
+                if k.kind == "primary_key" and k.owner == uri:
+                    rows += [(uri, PROVIDERS, "dup_pk", k.kind, k.pointer, "", key, ", ".join(sources)) for key, sources in collisions(self.config, uri)]
+        return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("schema_id", "doc_id", *DETAIL)))
 
     # --- results ---------------------------------------------------------------
 
@@ -335,6 +345,7 @@ class Validator:
                 missing = {c: F.lit(x.keyword if c == "keyword" else None).cast("string") for c in DETAIL if c not in extra.columns}
                 parts.append(extra.withColumns(missing))
         whole = [p if "path" in p.columns else p.withColumn("path", F.lit("")) for p in parts]
+        whole = [p if "holder" in p.columns else p.withColumn("holder", F.lit(None).cast("string")) for p in whole]
         return reduce(DataFrame.union, [p.select(*b.ids, *DETAIL) for p in whole])
 
     def report(self, uri: str) -> DataFrame:
@@ -351,14 +362,21 @@ class Validator:
         for uri, b in self.bound.items():
             doc = F.to_json(F.struct(*b.ids)) if len(b.ids) > 1 else F.col(f"`{b.ids[0]}`").cast("string")
             parts.append(self.errors(uri).select(F.lit(uri).alias("schema_id"), doc.alias("doc_id"), *DETAIL))
+        if self._collide():
+            parts.append(self.provider_errors(parts[0].sparkSession))
         return reduce(DataFrame.union, parts)
 
+    def _collide(self) -> bool:
+        return any(collisions(self.config, uri) for uri, e in self.schemas.valid.items() if any(k.kind == "primary_key" and k.owner == uri for k in e.keys))
+
     def stats(self) -> DataFrame:
-        """(schema_id, n_docs, n_failed, n_errors)."""
+        """(schema_id, n_docs, n_failed, n_errors): documents are counted, and
+        only those that failed are grouped."""
         parts = []
-        for uri in self.bound:
-            r = self.report(uri)
-            parts.append(r.agg(F.lit(uri).alias("schema_id"), F.count("*").alias("n_docs"), F.count_if(F.col("n_errors") > 0).alias("n_failed"), F.coalesce(F.sum("n_errors"), F.lit(0)).alias("n_errors")))
+        for uri, b in self.bound.items():
+            failed = self.errors(uri).groupBy(*b.ids).count().agg(F.lit(uri).alias("schema_id"), F.count("*").alias("n_failed"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_errors"))
+            n = b.df.agg(F.lit(uri).alias("schema_id"), F.count("*").alias("n_docs"))
+            parts.append(n.join(failed, "schema_id").select("schema_id", "n_docs", "n_failed", "n_errors"))
         return reduce(DataFrame.union, parts)
 
 

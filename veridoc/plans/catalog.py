@@ -28,7 +28,9 @@ class Fault:
 
 
 #: A step of where a declaration is in a document: ("member", name),
-#: ("item", n) or ("items", None).
+#: ("item", n), ("items", None), ("rest", n) for items from n on, ("pattern",
+#: expression) for members of such names, or ("others", (names, expressions))
+#: for all other members.
 Location = tuple[tuple[str, object], ...]
 
 
@@ -285,8 +287,23 @@ class SchemaSet:
         for name, value in (("items", items), ("prefixItems", schema.get("prefixItems"))):
             for i, s in enumerate(value if isinstance(value, list) else ()):
                 yield from go(s, f"{name}/{i}", (*location, ("item", i)))
+        first = len(schema.get("prefixItems") or ()) if draft >= 2020 else 0
         if isinstance(items, dict):
-            yield from go(items, "items", (*location, ("items", None)))
+            yield from go(items, "items", (*location, ("rest", first) if first else ("items", None)))
+        if isinstance(items, list) and draft < 2020:
+            yield from go(schema.get("additionalItems"), "additionalItems", (*location, ("rest", len(items))))
+        patterns = _dict(schema.get("patternProperties"))
+        for k, s in patterns.items():
+            yield from go(s, f"patternProperties/{k}", (*location, ("pattern", k)))
+        known = (tuple(_dict(schema.get("properties"))), tuple(patterns))
+        yield from go(schema.get("additionalProperties"), "additionalProperties", (*location, ("others", known)))
+        if draft >= 6 and isinstance(schema.get("contains"), dict):
+            # Of the elements, those that are what the array has to contain.
+            at = (*location, ("items", None))
+            yield from go(schema["contains"], "contains", at, (*guards, Guard(at, schema["contains"], owner)))
+        for s_name in ("dependentSchemas", "dependencies"):
+            for k, s in _dict(schema.get(s_name)).items():
+                yield from go(s, f"{s_name}/{k}", location, (*guards, Guard(location, {"required": [k]}, owner)))
         for s_name in ("allOf", "extends"):
             value = schema.get(s_name, ())
             for i, s in enumerate(value if isinstance(value, list) else [value]):

@@ -14,13 +14,15 @@ COMBINATORS = ("allOf", "anyOf", "oneOf")
 
 
 def data_path(location: tuple) -> str:
-    """Where in a document: members by name, list elements as []."""
+    """Where in a document: members by name, or by "/expression/", or "*",
+    list elements as []."""
     out = ""
     for kind, what in location:
-        if kind == "member":
-            out += f".{what}" if out else str(what)
+        if kind in ("member", "pattern", "others"):
+            name = {"member": what, "pattern": f"/{what}/", "others": "*"}[kind]
+            out += f".{name}" if out else str(name)
         else:
-            out += "[]" if kind == "items" else f"[{what}]"
+            out += f"[{what}]" if kind == "item" else "[]"
     return out or "."
 
 
@@ -59,6 +61,11 @@ def properties(schema, path: str = "", depth: int = 0) -> dict[str, dict]:
     for name, s in (schema.get("properties") or {}).items():
         own = isinstance(s, dict) and s.get("required") is True
         add(f"{path}.{name}" if path else name, s, own or name in needed)
+    below = f"{path}." if path else ""
+    for pattern, s in (schema.get("patternProperties") or {}).items():
+        add(f"{below}/{pattern}/", s, False)
+    if isinstance(schema.get("propertyNames"), dict) and "pattern" in schema["propertyNames"]:
+        add(f"{below}/{schema['propertyNames']['pattern']}/", schema.get("additionalProperties"), False)
     items = schema.get("items")
     for s in items if isinstance(items, list) else [items] if isinstance(items, dict) else []:
         add(f"{path}[]" if path else "[]", s, False)

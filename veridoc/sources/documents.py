@@ -8,10 +8,12 @@ its parts).
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,23 +61,50 @@ def parsed(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("reason", F.when(F.col("json").isNull(), F.lit("fatal")))
 
 
+#: What a folder gives, of a path below it: the names, and none that Spark's
+#: reader skips.
+_NAMES, _HIDDEN = r"\.json|\.yaml", r"(^|/)[._][^/]*"
+
+
+def _plain(uri: Column) -> Column:
+    """A path with one slash after its scheme, as writers differ in that."""
+    return F.regexp_replace(uri, "^([A-Za-z][A-Za-z0-9+.-]*:)/+", "$1/")
+
+
+def _qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The whole URI of a path, and whether it is a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fs.makeQualified(p)
+    uri = re.sub("^([A-Za-z][A-Za-z0-9+.-]*:)/+", r"\1/", whole.toUri().toString())
+    return uri.rstrip("/"), fs.getFileStatus(whole).isDirectory()
+
+
 def files(spark: SparkSession, *paths: str, iter_arrays: bool = False) -> DataFrame:
     """Document files. In a folder, at any depth, those with ".json" or
     ".yaml" in their name that do not begin with a dot, as Spark's reader
     skips these; a file that is named itself is always taken. Documents are
-    ordered by path. With ``iter_arrays`` each element of a top-level array
-    is a document of its own, "file [i]"."""
+    ordered by path. A file that several paths give counts once: whether an
+    earlier path has it is told by its name, so that no text is shuffled. With
+    ``iter_arrays`` each element of a top-level array is a document of its own,
+    "file [i]"."""
     reader = spark.read.option("recursiveFileLookup", "true")
-    parts = []
+    parts, before = [], []
     for path in paths:
+        uri, folder = _qualified(spark, path)
         whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-        name = F.element_at(F.split("file", "/"), -1)
-        own = path.rstrip("/").rsplit("/", 1)[-1]
-        parts.append(whole.filter((name == own) | name.contains(".json") | name.contains(".yaml")))
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.union(p)
-    docs = parsed(df.distinct())
+        at = _plain(F.col("file"))
+        whole = whole.filter(F.element_at(F.split("file", "/"), -1).rlike(_NAMES)) if folder else whole
+        for other, is_folder in before:
+            if is_folder:
+                below = F.substring(at, len(other) + 2, 1 << 30)
+                had = at.startswith(other + "/") & F.element_at(F.split(at, "/"), -1).rlike(_NAMES) & ~below.rlike(_HIDDEN)
+            else:
+                had = at == other
+            whole = whole.filter(~had)
+        before.append((uri, folder))
+        parts.append(whole)
+    docs = parsed(reduce(DataFrame.union, parts))
     if iter_arrays:
         docs = shredded(docs)
     else:

@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.functions.values import Row
 from veridoc.operators.keys import extract
 from veridoc.operators.validate import Bound, Validator
 
@@ -45,8 +44,7 @@ def check_references(validator: Validator, uri: str, ids: list[str], sink: Calla
     references included. Targets must be bound as tables."""
 
     def batch(df: DataFrame, number: int) -> None:
-        validator.bound[uri] = Bound(validator.schemas.valid[uri], df, ids, ids, Row(df.schema))
-        validator._greedy.pop(uri, None)
+        validator.bind(uri, df, ids)
         sink(validator.errors(uri), number)
 
     return batch

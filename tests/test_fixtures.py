@@ -10,54 +10,56 @@ from veridoc.plans.catalog import load
 from veridoc.sources.documents import inline
 
 D7 = "http://json-schema.org/draft-07/schema#"
-S = {"type": "string"}
+TEXT = {"type": "string"}
+#: A museum's records: exhibits with a shelf mark and a tag, and loans of them.
+BASE = "https://museum.test/"
 
 
-def schema(uri, properties, required, **more):
-    return {"$schema": D7, "$id": f"https://x.org/{uri}", "type": "object", "additionalProperties": False, "required": ["@schema", *required], "properties": {"@schema": {"const": f"https://x.org/{uri}"}, **properties}, **more}
+def schema(uri, properties, required=("mark",), **more):
+    return {"$schema": D7, "$id": BASE + uri, "type": "object", "additionalProperties": False, "required": ["@schema", *required], "properties": {"@schema": {"const": BASE + uri}, **properties}, **more}
 
 
 def doc(name, uri, **values):
-    return {"file": name, "errors": [], "json": {"@schema": f"https://x.org/{uri}", **values}}
+    return {"file": name, "errors": [], "json": {"@schema": BASE + uri, **values}}
 
 
-UNIQUE = schema("unique", {"local_id": {**S, "unique": True}}, ["local_id"])
-COMPOUND = schema("compound", {"local_id": S, "other_id": S}, ["local_id"], unique=["local_id", "other_id"])
-MULTIPLE = schema("multiple", {"local_id": {**S, "unique": True}, "other_id": {**S, "unique": True}}, ["local_id"])
-NAMED = schema("named", {"local_id": {**S, "unique": {"name": "local_id", "members": True}}, "other_id": {**S, "unique": {"name": "other_id", "members": True}}}, ["local_id"])
-ANONYMOUS = schema("anonymous", {"local_id": {**S, "unique": {"members": True}}, "other_id": {**S, "unique": {"members": True}}}, ["local_id"])
-REPEATED = schema("named", NAMED["properties"], ["local_id"], unique={"name": "other_id", "members": ["local_id", "other_id"]})
-REPEATED["properties"] = {k: v for k, v in NAMED["properties"].items()}
-PK = schema("pk", {"local_id": S, "other_id": S}, ["local_id"], primary_key=["local_id", "other_id"])
-SIMPLE_PK = schema("simple_pk", {"local_id": S, "desc": S}, ["local_id"], primary_key=["local_id"])
-NAMED_PK = schema(
-    "named_pk",
-    {"local_id": S, "other_id": S, "ejemplo": {"type": "object", "properties": {"local_id_2": S, "other_id_2": S}, "primary_key": {"name": "2pk", "members": ["local_id_2", "other_id_2"]}}},
-    ["local_id", "ejemplo"],
-    primary_key={"name": "pk", "members": ["local_id", "other_id"]},
-)
+def own(rule):
+    return {"mark": {**TEXT, "unique": rule("mark")}, "tag": {**TEXT, "unique": rule("tag")}}
 
 
-def fk_schema(uri, target, members, second, **more):
-    part = {"type": "object", "properties": {"ref_local_id": S, second: S}, "foreign_keys": [{"schema_id": f"https://x.org/{target}", "members": members, **more}]}
-    return schema(uri, {"something": part}, ["something"])
+PLAIN = {"mark": TEXT, "tag": TEXT}
+MARKED = schema("marked", {"mark": {**TEXT, "unique": True}})
+PAIRED = schema("paired", PLAIN, unique=["mark", "tag"])
+BOTH = schema("both", own(lambda _: True))
+NAMED = schema("both", own(lambda n: {"name": n, "members": True}))
+UNNAMED = schema("both", own(lambda _: {"members": True}))
+#: The name of the third key is taken: it counts without one.
+THRICE = schema("both", own(lambda n: {"name": n, "members": True}), unique={"name": "tag", "members": ["mark", "tag"]})
+EXHIBIT = schema("exhibit", PLAIN, primary_key=["mark", "tag"])
+SHELF = schema("shelf", {"mark": TEXT, "note": TEXT}, primary_key=["mark"])
+CASE = schema("case", {**PLAIN, "lock": {"type": "object", "properties": {"maker": TEXT, "serial": TEXT}, "primary_key": {"name": "by_lock", "members": ["maker", "serial"]}}}, ("mark", "lock"), primary_key={"name": "by_mark", "members": ["mark", "tag"]})
 
 
-FK = fk_schema("fk", "pk", ["ref_local_id", "ref_other_id"], "ref_other_id")
-SIMPLE_FK = fk_schema("simple_fk", "simple_pk", ["ref_local_id"], "somedesc")
-FK_NAMED = fk_schema("fk_named", "named_pk", ["ref_local_id", "ref_other_id"], "ref_other_id", refers_to="pk")
+def lending(uri, target, members, **more):
+    """A schema whose documents name a document of another in ``lent``."""
+    lent = {"type": "object", "properties": {"of": TEXT, "as": TEXT}, "foreign_keys": [{"schema_id": BASE + target, "members": members, **more}]}
+    return schema(uri, {"lent": lent}, ["lent"])
 
-GOOD = [("uno", "diez"), ("dos", "veinte"), ("tres", "treinta")]
-BAD = [("cinco", "uno", "cincuenta"), ("cuatro", "dos", "veinte"), ("dos", "dosdos", "veinte"), ("tres", "tres", "treinta"), ("trestres", "tres", "treinta"), ("uno", "uno", "diez")]
-REFS = [("ref_dos_bad_2", "2", "veinte"), ("ref_dos_bad_20", "dos", "20"), ("ref_siete", "siete", "setenta"), ("ref_tres", "tres", "treinta"), ("ref_uno", "uno", "diez")]
 
+LOAN, SHELF_LOAN, CASE_LOAN = lending("loan", "exhibit", ["of", "as"]), lending("shelf_loan", "shelf", ["of"]), lending("case_loan", "case", ["of", "as"], refers_to="by_mark")
 
-def pairs(uri, rows, first="local_id", second="other_id"):
-    return [doc(n, uri, **{first: a, second: b}) for n, a, b in rows]
+#: In order: b repeats the tag of a, c the mark of a, d repeats no accepted
+#: pair though it repeats the withdrawn b and c, e repeats a whole, f is new.
+PAIRS = {"a": ("vase", "red"), "b": ("bowl", "red"), "c": ("vase", "blue"), "d": ("bowl", "blue"), "e": ("vase", "red"), "f": ("lamp", "grey")}
+WANTED = {"hit": ("vase", "red"), "wrong_mark": ("v", "red"), "wrong_tag": ("vase", "r"), "nothing": ("coin", "gold"), "hit_too": ("lamp", "grey")}
 
 
-def refs(uri, second, rows=REFS):
-    return [doc(n, uri, something={"ref_local_id": a, second: b}) for n, a, b in rows]
+def exhibits(uri, names=PAIRS, second="tag", **more):
+    return [doc(n, uri, mark=PAIRS[n][0], **{second: PAIRS[n][1]}, **{k: f(n) for k, f in more.items()}) for n in names]
+
+
+def loans(uri, wanted=WANTED):
+    return [doc(n, uri, lent={"of": a, "as": b}) for n, (a, b) in wanted.items()]
 
 
 def failures(spark, schemas, docs, config=None):
@@ -66,34 +68,38 @@ def failures(spark, schemas, docs, config=None):
     return dict(Counter((r.doc_id, r.reason) for r in found))
 
 
-SIMPLE_BAD = [("cinco", "uno"), ("cuatro", "dos"), ("dos", "dos"), ("tres", "tres"), ("uno", "uno")]
-MULTI_BAD = {("dos", "dup_unique"): 1, ("uno", "dup_unique"): 1, ("trestres", "dup_unique"): 2}
-NAMED_DOCS = [doc(n, "named_pk", local_id=a, other_id=b, ejemplo={"local_id_2": c, "other_id_2": d}) for (n, a, b), (c, d) in zip(BAD, [("1", "50"), ("2", "20"), ("2 2", "20"), ("3", "30"), ("3", "30"), ("1", "10")], strict=True)]
-INLINE_PAIRS = {"primary_key": {"inline_provider": {"https://x.org/pk": [["uno", "diez"], ["dos", "veinte"], ["tres", "treinta"]]}}}
-INLINE_ONES = {"primary_key": {"inline_provider": {"https://x.org/simple_pk": ["uno", "dos", "tres"]}}}
+def failed(reason, **counts):
+    return {(n, reason): k for n, k in counts.items()}
+
+
+#: d has both its values from withdrawn documents, so it is accepted; e repeats
+#: both of a's.
+TWO_KEYS = failed("dup_unique", b=1, c=1, e=2)
+GIVEN = {"primary_key": {"inline_provider": {BASE + "exhibit": [["vase", "red"], ["lamp", "grey"]], BASE + "shelf": ["vase", "lamp"]}}}
+LOCKS = {"lock": lambda n: {"maker": "x" if n in "be" else n, "serial": "1"}}
 
 CASES = {
-    "unique good": ([UNIQUE], [doc(a, "unique", local_id=a) for a, _ in GOOD], {}, None),
-    "unique bad": ([UNIQUE], [doc(n, "unique", local_id=a) for n, a in SIMPLE_BAD], {("dos", "dup_unique"): 1, ("uno", "dup_unique"): 1}, None),
-    "compound bad": ([COMPOUND], pairs("compound", BAD), {("trestres", "dup_unique"): 1}, None),
-    "multiple bad": ([MULTIPLE], pairs("multiple", BAD), MULTI_BAD, None),
-    "named bad": ([NAMED], pairs("named", BAD), MULTI_BAD, None),
-    "anonymous bad": ([ANONYMOUS], pairs("anonymous", BAD), MULTI_BAD, None),
-    "repeated name bad": ([REPEATED], pairs("named", BAD), {**MULTI_BAD, ("trestres", "dup_unique"): 3}, None),
-    "pk bad": ([PK], pairs("pk", BAD), {("trestres", "dup_pk"): 1}, None),
-    "fk good": ([PK, FK], pairs("pk", [(a, a, b) for a, b in GOOD]) + refs("fk", "ref_other_id", REFS[3:]), {}, None),
-    "fk bad": ([PK, FK], pairs("pk", BAD) + refs("fk", "ref_other_id"), {("trestres", "dup_pk"): 1, ("ref_dos_bad_2", "stale_fk"): 1, ("ref_dos_bad_20", "stale_fk"): 1, ("ref_siete", "stale_fk"): 1}, None),
-    "simple fk bad": ([SIMPLE_PK, SIMPLE_FK], pairs("simple_pk", BAD, second="desc") + refs("simple_fk", "somedesc"), {("trestres", "dup_pk"): 1, ("uno", "dup_pk"): 1, ("ref_dos_bad_2", "stale_fk"): 1, ("ref_siete", "stale_fk"): 1}, None),
-    "forget": (
-        [SIMPLE_PK, SIMPLE_FK],
-        [doc(a, "simple_pk", local_id=a, desc=b) for a, b in GOOD] + [doc("cuatro", "simple_pk", local_id="cuatro", desc=40)] + refs("simple_fk", "somedesc", [("ref_uno", "uno", "-"), ("ref_tres", "tres", "-"), ("ref_cuatro", "cuatro", "-")]),
-        {("cuatro", "schema_error"): 1, ("ref_cuatro", "stale_fk"): 1},
+    "all different": ([MARKED], [doc(n, "marked", mark=n) for n in "abc"], {}, None),
+    "a value twice": ([MARKED], [doc(n, "marked", mark=PAIRS[n][0]) for n in PAIRS], failed("dup_unique", c=1, d=1, e=1), None),
+    "a pair twice": ([PAIRED], exhibits("paired"), failed("dup_unique", e=1), None),
+    "two keys": ([BOTH], exhibits("both"), TWO_KEYS, None),
+    "two named keys": ([NAMED], exhibits("both"), TWO_KEYS, None),
+    "two keys without names": ([UNNAMED], exhibits("both"), TWO_KEYS, None),
+    "a name twice": ([THRICE], exhibits("both"), {**TWO_KEYS, ("e", "dup_unique"): 3}, None),
+    "a primary key twice": ([EXHIBIT], exhibits("exhibit"), failed("dup_pk", e=1), None),
+    "references that hit": ([EXHIBIT, LOAN], exhibits("exhibit", "af") + loans("loan", {k: WANTED[k] for k in ("hit", "hit_too")}), {}, None),
+    "stale references": ([EXHIBIT, LOAN], exhibits("exhibit") + loans("loan"), failed("dup_pk", e=1) | failed("stale_fk", wrong_mark=1, wrong_tag=1, nothing=1), None),
+    "one member": ([SHELF, SHELF_LOAN], exhibits("shelf", second="note") + loans("shelf_loan"), failed("dup_pk", c=1, d=1, e=1) | failed("stale_fk", wrong_mark=1, nothing=1), None),
+    "withdrawal": (
+        [SHELF, SHELF_LOAN],
+        exhibits("shelf", "af", second="note") + [doc("g", "shelf", mark="coin", note=7)] + loans("shelf_loan"),
+        failed("schema_error", g=1) | failed("stale_fk", wrong_mark=1, nothing=1),
         None,
     ),
-    "fk to named": ([NAMED_PK, FK_NAMED], NAMED_DOCS + refs("fk_named", "ref_other_id", [*REFS[:2], ("ref_siete", "1", "50"), *REFS[3:]]), {("trestres", "dup_pk"): 2, ("ref_dos_bad_2", "stale_fk"): 1, ("ref_dos_bad_20", "stale_fk"): 1, ("ref_siete", "stale_fk"): 1}, None),
-    "inline pairs": ([PK, FK], refs("fk", "ref_other_id"), {("ref_dos_bad_2", "stale_fk"): 1, ("ref_dos_bad_20", "stale_fk"): 1, ("ref_siete", "stale_fk"): 1}, INLINE_PAIRS),
-    "inline ones": ([SIMPLE_PK, SIMPLE_FK], refs("simple_fk", "somedesc"), {("ref_dos_bad_2", "stale_fk"): 1, ("ref_siete", "stale_fk"): 1}, INLINE_ONES),
-    "dangling": ([PK, FK], refs("fk", "ref_other_id", REFS[:1]), {("ref_dos_bad_2", "dangling_fk"): 1}, None),
+    "a key by its name": ([CASE, CASE_LOAN], exhibits("case", **LOCKS) + loans("case_loan", WANTED | {"by_lock": ("x", "1")}), failed("dup_pk", e=2) | failed("stale_fk", wrong_mark=1, wrong_tag=1, nothing=1, by_lock=1), None),
+    "provided pairs": ([EXHIBIT, LOAN], loans("loan"), failed("stale_fk", wrong_mark=1, wrong_tag=1, nothing=1), GIVEN),
+    "provided values": ([SHELF, SHELF_LOAN], loans("shelf_loan"), failed("stale_fk", wrong_mark=1, nothing=1), GIVEN),
+    "dangling": ([EXHIBIT, LOAN], loans("loan", {"hit": WANTED["hit"]}), failed("dangling_fk", hit=1), None),
 }
 
 
@@ -104,20 +110,20 @@ def test_case(spark, name):
 
 
 def test_wrong_declarations():
-    wrong = schema("unique", {"local_id": {**S, "unique": 18}, "local_id_2": {**S, "unique": ["a", 42, "c"]}}, ["local_id"])
+    wrong = schema("wrong", {"mark": {**TEXT, "unique": "mark"}, "tag": {**TEXT, "unique": ["mark", None]}})
     found = load(wrong)
     assert [f.reason for f in found.entries[0].faults] == ["schema_error", "schema_error"] and not found.valid
 
 
 def test_schema_faults():
-    s = load(UNIQUE, UNIQUE, {"type": "object"}, {"$schema": "http://nowhere/"}, {"errors": []}, fk_schema("a", "missing", ["x"], "y"))
+    s = load(MARKED, MARKED, {"type": "object"}, {"$schema": "http://nowhere/"}, {"errors": []}, lending("a", "missing", ["of"]))
     assert [[f.reason for f in e.faults] for e in s.entries] == [[], ["dup_id"], ["no_schema"], ["schema_unknown"], ["unexpected"], ["fk_no_schema"]]
     assert load({"$schema": D7}, config={"validate-no-id": False}).entries[0].faults[0].reason == "no_id"
 
 
 def test_routing(spark):
-    v = Validator(load(UNIQUE, COMPOUND))
-    docs = [doc("a", "unique", local_id="1"), doc("b", "nowhere"), {"file": "c", "errors": [], "json": {"local_id": "x"}}, {"file": "d", "json": 1}, {"file": "e", "errors": [], "json": {"_schema": "https://x.org/unique"}}]
+    v = Validator(load(MARKED, PAIRED))
+    docs = [doc("a", "marked", mark="1"), doc("b", "nowhere"), {"file": "c", "errors": [], "json": {"mark": "x"}}, {"file": "d", "json": 1}, {"file": "e", "errors": [], "json": {"_schema": BASE + "marked"}}]
     got = {(r.doc_id, r.reason) for r in Documents(v, inline(spark, docs)).errors().collect()}
     assert got == {("b", "schema_unknown"), ("c", "no_id"), ("d", "ignored"), ("e", "schema_error")}
     free = load({"$schema": D7, "$id": "urn:a", "required": ["p"]}, {"$schema": D7, "$id": "urn:b", "required": ["q"]})

@@ -324,6 +324,16 @@ D4 = "http://json-schema.org/draft-04/schema#"
 D2020 = "https://json-schema.org/draft/2020-12/schema"
 
 literal("kw_formats", {"properties": {"d": {"format": "date-time"}, "e": {"format": "email"}, "i": {"format": "ipv6"}, "u": {"format": "uuid"}, "p": {"format": "json-pointer"}, "h": {"format": "hostname"}}}, [('{"d": "2024-02-29T10:00:00Z"}', True), ('{"d": "2023-02-29T10:00:00Z"}', False), ('{"e": "a@b"}', True), ('{"e": "a"}', False), ('{"i": "::1"}', True), ('{"i": "1::2::3"}', False), ('{"u": "123e4567-e89b-12d3-a456-426614174000"}', True), ('{"u": "1"}', False), ('{"p": "/a~1b"}', True), ('{"p": "a"}', False), ('{"h": "a.b-c"}', True), ('{"h": "-a"}', False), ('{"d": 1}', True)])
+literal(
+    "kw_formats_more",
+    {"properties": {n: {"format": n} for n in ("time", "duration", "idn-email", "idn-hostname", "ipv4", "uri-reference", "iri", "iri-reference", "uri-template", "relative-json-pointer", "color", "date")}},
+    [
+        ('{"time": "23:59:59Z"}', True), ('{"time": "25:00:00Z"}', False), ('{"duration": "P1DT2H"}', True), ('{"duration": "1 day"}', False), ('{"idn-email": "é@ü.org"}', True), ('{"idn-email": "nobody"}', False),
+        ('{"idn-hostname": "bücher.example"}', True), ('{"idn-hostname": "a b"}', False), ('{"ipv4": "10.0.0.255"}', True), ('{"ipv4": "10.0.0.256"}', False), ('{"uri-reference": "../x?y#z"}', True), ('{"uri-reference": "a b"}', False),
+        ('{"iri": "http://é.org/ü"}', True), ('{"iri": "no scheme"}', False), ('{"iri-reference": "/é"}', True), ('{"iri-reference": "<x>"}', False), ('{"uri-template": "/a{/b}{?c,d*}"}', True), ('{"uri-template": "/{a"}', False),
+        ('{"relative-json-pointer": "1/a"}', True), ('{"relative-json-pointer": "/a"}', False), ('{"color": "#12aBc9"}', True), ('{"color": "#12"}', False), ('{"date": "2024-02-29"}', True), ('{"date": "2023-02-29"}', False),
+    ],
+)
 literal("kw_format_regex", {"items": {"format": "regex"}}, [('["a+", 1]', True), ('["a("]', False)])
 literal("kw_pattern_properties", {"patternProperties": {"^x": {"type": "integer"}}}, [('{"x1": 1, "y": "a"}', True), ('{"x1": "a"}', False), ("[]", True)])
 literal("kw_min_properties", {"minProperties": 1}, [('{"a": 1}', True), ("{}", False), ("[]", True)])
@@ -476,6 +486,116 @@ def jk_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Validator(load(schema("region", primary_key=["r_regionkey"]), nation)).bind("urn:x:region", table(spark, sf_dir, "region"), ["r_regionkey"])
     return v.bind("urn:x:nation", table(spark, sf_dir, "nation"), ["n_nationkey"]).dangling("urn:x:nation").select("n_nationkey", "reason")
 
+# --- member paths and further declarations ---------------------------------------------
+
+
+def indexed(name: str, source, ids: list[str], members: list[str], sql: str) -> None:
+    """A query for the keys that member paths give: key, n_docs."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = source(spark, sf_dir) if callable(source) else table(spark, sf_dir, source)
+        return Validator(load(schema("doc", index=members))).bind("urn:x:doc", df, ids).postings("urn:x:doc").select("key", "n_docs")
+
+    query(name, sql)(run)
+
+
+def _keyed(expression: str, source: str) -> str:
+    return f"SELECT key, count(DISTINCT id) AS n_docs FROM (SELECT o_orderkey AS id, {expression} AS key FROM {source}) WHERE key IS NOT NULL GROUP BY 1"
+
+
+_LINES = "(SELECT l_orderkey AS o_orderkey, * FROM lineitem)"
+_BY_LINE = "(SELECT o_orderkey, list(i ORDER BY i.l_linenumber, i.l_partkey, i.l_suppkey, i.l_quantity, i.l_returnflag) AS items FROM (SELECT l_orderkey AS o_orderkey, struct_pack(l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS i FROM lineitem) GROUP BY 1)"
+
+
+def sorted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_items(spark, sf_dir).withColumn("items", F.sort_array("items"))
+
+
+indexed("key_list_step", order_items, ["o_orderkey"], ["items[].l_partkey"], _keyed("concat('[', l_partkey, ']')", _LINES))
+indexed("key_item_step", sorted_items, ["o_orderkey"], ["items[1].l_partkey"], _keyed("CASE WHEN len(items) > 1 THEN concat('[', items[2].l_partkey, ']') END", _BY_LINE))
+indexed("key_product", order_items, ["o_orderkey"], ["items.l_returnflag", "items.l_linenumber"], _keyed("concat('[\"', a.l_returnflag, '\",', b.l_linenumber, ']')", "lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey, (SELECT 1), (SELECT 1)").replace("o_orderkey AS id", "a.l_orderkey AS id").replace(", (SELECT 1), (SELECT 1)", ""))
+indexed("key_part", lambda spark, sf_dir: table(spark, sf_dir, "nation").select("n_nationkey", F.struct(F.col("n_regionkey").alias("r"), F.when(F.col("n_nationkey") % 2 == 0, "even").alias("p")).alias("at")), ["n_nationkey"], ["at"], "SELECT CASE n_nationkey % 2 WHEN 0 THEN concat('[{\"p\":\"even\",\"r\":', n_regionkey, '}]') ELSE concat('[{\"p\":null,\"r\":', n_regionkey, '}]') END AS key, count(*) AS n_docs FROM nation GROUP BY 1")
+indexed("key_null_member", lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", F.array(F.when(F.col("user_id") % 3 > 0, F.col("user_id") % 10)).alias("u")), ["event_id"], ["u"], "SELECT CASE WHEN user_id % 3 > 0 THEN concat('[', user_id % 10, ']') ELSE '[null]' END AS key, count(*) AS n_docs FROM events GROUP BY 1")
+
+
+@query("key_itself", "SELECT concat('[', r_regionkey, ']') AS key, count(*) AS n_docs FROM region GROUP BY 1")
+def key_itself(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member "." is the value that declares the key."""
+    v = Validator(load(schema("doc", **prop("r_regionkey", index=["."]))))
+    return v.bind("urn:x:doc", table(spark, sf_dir, "region"), ["r_name"]).postings("urn:x:doc").select("key", "n_docs")
+
+
+@query("key_by_pattern", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, key FROM (SELECT *, concat('[\"', l_returnflag, '\"]') AS key, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) WHERE n > 1")
+def key_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key that is declared for members by an expression."""
+    v = Validator(load(schema("doc", patternProperties={"^l_return": {"unique": True}})))
+    ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    return v.bind("urn:x:doc", table(spark, sf_dir, "lineitem"), ids).duplicates("urn:x:doc").select(*ids[:4], "key")
+
+
+@query("unique_holder", "SELECT p_partkey, concat('{\"p_partkey\":', f, '}') AS holder FROM (SELECT p_partkey, first_value(p_partkey) OVER (PARTITION BY p_name ORDER BY p_partkey) AS f FROM part) WHERE p_partkey <> f")
+def unique_holder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Validator(load(schema("doc", unique=["p_name"]))).bind("urn:x:doc", table(spark, sf_dir, "part"), ["p_partkey"])
+    return v.duplicates("urn:x:doc").select("p_partkey", "holder")
+
+
+@query("unique_in_turn", """
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER (ORDER BY c_custkey) AS i FROM (SELECT c_custkey, c_nationkey AS a, c_custkey // 7 AS b FROM customer)
+), g AS (
+  SELECT 0::BIGINT AS i, 0::BIGINT AS id, false AS ok, []::BIGINT[] AS held_a, []::BIGINT[] AS held_b
+  UNION ALL
+  SELECT d.i, d.c_custkey, NOT (list_contains(held_a, d.a) OR list_contains(held_b, d.b)),
+         CASE WHEN list_contains(held_a, d.a) OR list_contains(held_b, d.b) THEN held_a ELSE list_append(held_a, d.a::BIGINT) END,
+         CASE WHEN list_contains(held_a, d.a) OR list_contains(held_b, d.b) THEN held_b ELSE list_append(held_b, d.b::BIGINT) END
+  FROM g JOIN d ON d.i = g.i + 1
+)
+SELECT id AS c_custkey FROM g WHERE ok""")
+def unique_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two keys a document: a document is accepted if none of its keys is held
+    by one accepted before."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("a"), F.expr("c_custkey div 7").alias("b"))
+    v = Validator(load(schema("doc", allOf=[{"unique": ["a"]}, {"primary_key": ["b"]}]))).bind("urn:x:doc", df, ["c_custkey"])
+    return v.survivors("urn:x:doc").select("c_custkey")
+
+
+@query("provider_error", """
+SELECT '(providers)' AS doc_id, '["one"]' AS key, 'http://a/, http://b/' AS holder
+UNION ALL SELECT r_name, concat('["', r_name, '"]'), 'http://a/' FROM region WHERE r_name = (SELECT min(r_name) FROM region)""")
+def provider_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two providers that give the same key, and a document that repeats one."""
+    names = table(spark, sf_dir, "region")
+    lists = {"http://a/region/": "one\n" + names.agg(F.min("r_name")).first()[0], "http://b/region/": "one"}
+    own = {"provider": ["http://a/", "http://b/"], "accept": "text/plain", "schema_prefix": "http://x/", "fetch": lambda address, accept: lists[address]}
+    v = Validator(load({**schema("region"), "$id": "http://x/region", "primary_key": ["r_name"]}), {"primary_key": own})
+    return v.bind("http://x/region", names, ["r_name"]).all_errors().select("doc_id", "key", "holder")
+
+
+@query("guess_restricted", "SELECT event_id::VARCHAR AS doc_id, CASE WHEN (props ->> '$.k')::INT <= 60 THEN 'urn:x:mid' END AS schema_id FROM events")
+def guess_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("doc_id"), F.col("event_id").alias("ord"), F.try_parse_json("props").alias("json"), F.lit(None).cast("string").alias("reason"))
+    return _documents(spark, sf_dir, docs, schema("low", **prop("k", maximum=30)), schema("mid", **prop("k", maximum=60)), guess=["urn:x:mid"]).docs.select("doc_id", "schema_id")
+
+
+@query("schema_closure", "SELECT * FROM (VALUES ('urn:x:shared', 'primary_key', '/definitions/who'), ('urn:x:a', 'unique', '/properties/p')) AS t(owner_uri, kind, pointer)")
+def schema_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of what a schema refers to belong to the schema that holds them."""
+    shared = schema("shared", definitions={"who": {"primary_key": ["name"]}})
+    s = load(shared, schema("a", properties={"p": {"unique": True}, "q": {"$ref": "urn:x:shared#/definitions/who"}}))
+    return s.key_table(spark).filter("root_uri = 'urn:x:a'").select("owner_uri", "kind", "pointer")
+
+
+@query("schema_drawing", "SELECT * FROM (VALUES ('edges', 1), ('schemas', 2), ('PK', 1), ('FK', 1), ('/^n_/', 1)) AS t(what, n)")
+def schema_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the DOT text of a graph holds."""
+    from veridoc.plans.graph import dot
+
+    a = schema("region", primary_key=["r_regionkey"], properties={"r_regionkey": {"type": "integer"}})
+    b = schema("nation", **fk("region", "n_regionkey"), properties={"n_regionkey": {"type": "integer"}}, patternProperties={"^n_": {"type": "string"}})
+    text = "\n".join(dot(load(a, b)))
+    found = [("edges", text.count("->")), ("schemas", text.count("<TABLE")), ("PK", text.count("PK")), ("FK", text.count("FK")), ("/^n_/", text.count("/^n_/"))]
+    return spark.createDataFrame(found, "what string, n int")
+
 
 @query("stream_structural", "SELECT event_id, 'enum' AS keyword FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')")
 def stream_structural(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,16 +101,35 @@ def keys_of(df: DataFrame, root: Value, d: KeyDef | RefDef, compiler: Compiler,
     return df.select(*keep, F.explode(F.array_distinct(extract(root, d, compiler))).alias("__key"))
 
 
-def key_rows(df: DataFrame, root: Value, defs: list[KeyDef], compiler: Compiler, ids: list[str], order: Column) -> DataFrame:
-    """(doc, ord, pos, def, key): one row a key, from one scan for all
+def key_rows(df: DataFrame, root: Value, defs: list[KeyDef], compiler: Compiler, ids: list[str]) -> DataFrame:
+    """(doc, pos, def, key): one row a key, from one scan for all
     declarations. A scoped key begins with its document."""
-    doc = F.struct(*[F.col(f"`{c}`") for c in ids])
+    return spread(df.select(_doc(ids).alias("doc"), _all_keys(root, defs, compiler, ids).alias("keys")))
+
+
+def placed(df: DataFrame, root: Value, defs: list[KeyDef], compiler: Compiler, ids: list[str], order: Column) -> DataFrame:
+    """(place, doc, keys): documents in their order, numbered, so that deciding
+    between them moves a number for each. Cut, as a second sort may number
+    otherwise."""
+    rows = df.select(_doc(ids).alias("doc"), order.alias("ord"), _all_keys(root, defs, compiler, ids).alias("keys"))
+    return cut(rows.orderBy("ord").select(F.monotonically_increasing_id().alias("place"), "doc", "keys"))
+
+
+def spread(rows: DataFrame, doc: str = "doc") -> DataFrame:
+    rows = rows.select(F.col(doc).alias("doc"), F.posexplode("keys").alias("pos", "k"))
+    return rows.select("doc", "pos", F.col("k.def").alias("def"), F.col("k.key").alias("key"))
+
+
+def _doc(ids: list[str]) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in ids])
+
+
+def _all_keys(root: Value, defs: list[KeyDef], compiler: Compiler, ids: list[str]) -> Column:
     arrays = []
     for i, d in enumerate(defs):
-        prefix = F.concat(F.to_json(doc), F.lit("|")) if d.scoped else F.lit("")
+        prefix = F.concat(F.to_json(_doc(ids)), F.lit("|")) if d.scoped else F.lit("")
         arrays.append(F.transform(extract(root, d, compiler), _tagged(i, prefix)))
-    rows = df.select(doc.alias("doc"), order.alias("ord"), F.posexplode(F.concat(*arrays)).alias("pos", "k"))
-    return rows.select("doc", "ord", "pos", F.col("k.def").alias("def"), F.col("k.key").alias("key"))
+    return F.concat(*arrays)
 
 
 def _tagged(i: int, prefix: Column):
@@ -144,18 +163,17 @@ def first_come(df: DataFrame, root: Value, d: KeyDef, compiler: Compiler, order:
 
 
 def greedy(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rejected documents (doc) and the accepted documents' keys (def, key,
-    ord, doc) of ``key_rows``."""
-    keys = cut(keys)
-    own = keys.groupBy("doc", "ord", "def", "key").agg(F.count("*").alias("n"))
-    twice = own.filter("n > 1").select("doc").distinct()
-    single = own.join(twice, "doc", "left_anti").select("doc", "ord", "def", "key")
-    shared = cut(single.groupBy("def", "key").agg(F.count("*").alias("n")).filter("n > 1").select("def", "key"))
+    """Rejected documents (doc) and the accepted documents' keys (doc, def,
+    key) of keys (doc, pos, def, key) of ``placed`` documents."""
+    own = keys.groupBy("doc", "def", "key").agg(F.count("*").alias("n"))
+    twice = cut(own.filter("n > 1").select("doc").distinct())
+    single = own.join(twice, "doc", "left_anti").select("doc", "def", "key")
+    shared = few(cut(single.groupBy("def", "key").agg(F.count("*").alias("n")).filter("n > 1").select("def", "key")))
     left = cut(single.join(shared, ["def", "key"], "left_semi"))
-    rejected = [cut(twice)]
+    rejected = [twice]
     while (n := left.count()) > FINISH:
-        firsts = left.groupBy("def", "key").agg(F.min("ord").alias("first"))
-        winners = left.join(firsts, ["def", "key"]).groupBy("doc").agg(F.min(F.col("ord") == F.col("first")).alias("won")).filter("won").select("doc")
+        firsts = left.groupBy("def", "key").agg(F.min("doc").alias("first"))
+        winners = left.join(firsts, ["def", "key"]).groupBy("doc").agg(F.min(F.col("doc") == F.col("first")).alias("won")).filter("won").select("doc")
         taken = left.join(winners, "doc", "left_semi").select("def", "key")
         open_ = left.join(winners, "doc", "left_anti")
         losers = cut(open_.join(taken, ["def", "key"], "left_semi").select("doc").distinct())
@@ -179,40 +197,27 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def in_order(left: DataFrame) -> DataFrame:
     """Documents (doc) of undecided keys that are rejected, by one task that
     takes them in their order."""
-    shape = left.select("doc").schema
-    arrow = to_arrow_schema(shape)
+    shape = to_arrow_schema(left.select("doc").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken: set[tuple] = set()
-        doc, place, own = None, None, []
+        taken: set[str] = set()
         for rb in batches:
-            out = []
-            for x, at, d, key in zip(*(rb.column(k).to_pylist() for k in range(4)), strict=True):
-                if own and at != place:
-                    if taken.isdisjoint(own):
-                        taken.update(own)
-                    else:
-                        out.append(doc)
-                    own = []
-                doc, place = x, at
-                own.append((d, key))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, arrow.field(0).type)], schema=arrow)
-        if own and not taken.isdisjoint(own):
-            yield pa.RecordBatch.from_arrays([pa.array([doc], arrow.field(0).type)], schema=arrow)
-
-    return left.select("doc", "ord", "def", "key").coalesce(1).sortWithinPartitions("ord").mapInArrow(run, shape)
+            late = []
+            for own in rb.column(1).to_pylist():
+                late.append(not taken.isdisjoint(own))
+                if not late[-1]:
+                    taken.update(own)
+            yield pa.RecordBatch.from_arrays([rb.column(0).filter(pa.array(late, pa.bool_()))], schema=shape)
 
+    docs = left.groupBy("doc").agg(F.collect_list(F.concat(F.col("def").cast("string"), F.lit(" "), F.col("key"))).alias("own"))
+    return docs.coalesce(1).sortWithinPartitions("doc").mapInArrow(run, "doc bigint")
 
-def duplicates(keys: DataFrame, accepted: DataFrame) -> DataFrame:
-    """(doc, def, key, pos, holder) of occurrences that repeat a key of an
-    earlier accepted document, the holder, or an earlier place of their own
-    document."""
-    held = accepted.select("def", "key", F.col("ord").alias("held"), F.to_json("doc").alias("holder"))
-    other = keys.join(held, ["def", "key"]).filter(F.col("held") < F.col("ord")).select("doc", "def", "key", "pos", "holder")
-    again = keys.withColumn("__n", F.row_number().over(Window.partitionBy("doc", "def", "key").orderBy("pos"))).filter("__n > 1").select("doc", "def", "key", "pos", F.to_json("doc").alias("holder"))
-    return other.union(again).groupBy("doc", "def", "key", "pos").agg(F.min("holder").alias("holder"))
 
-
-def none_of(df: DataFrame) -> DataFrame:
-    return df.filter(no())
+def duplicates(keys: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(doc, def, key, pos, held) of occurrences that repeat a key of an
+    earlier accepted document, or an earlier place of their own document: the
+    document that holds the key."""
+    holders = accepted.select("def", "key", F.col("doc").alias("held"))
+    other = keys.join(holders, ["def", "key"]).filter(F.col("held") < F.col("doc")).select("doc", "def", "key", "pos", "held")
+    again = keys.withColumn("__n", F.row_number().over(Window.partitionBy("doc", "def", "key").orderBy("pos"))).filter("__n > 1").select("doc", "def", "key", "pos", F.col("doc").alias("held"))
+    return other.union(again).groupBy("doc", "def", "key", "pos").agg(F.min("held").alias("held"))

@@ -160,21 +160,27 @@ class Validator:
         out = self.bound[uri].df.sparkSession.createDataFrame(rows, "def int, key string, source string").groupBy("def", "key").agg(F.min("source").alias("source"))
         return F.broadcast(out) if len(rows) <= K.BROADCAST_KEYS else out
 
-    def _keys(self, uri: str) -> DataFrame:
-        b = self.bound[uri]
-        return K.key_rows(self.valid(uri), b.root, self._enforced(uri), self.compiler(b.schema), b.ids, b.ord)
-
-    def _settled(self, uri: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Keys, rejected documents and accepted keys, by rounds."""
+    def _settled(self, uri: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Documents in order, their keys, places of rejected ones and accepted
+        keys."""
         if uri not in self._greedy:
-            rows = K.cut(self._keys(uri))
-            provided = self._provided(uri)
-            barred = K.none_of(rows) if provided is None else rows.join(provided, ["def", "key"], "left_semi")
-            barred = K.cut(barred.select("doc").distinct())
-            rejected, accepted = K.greedy(rows.join(barred, "doc", "left_anti"))
-            self._greedy[uri] = (rows, K.cut(rejected.union(barred).distinct()), accepted)
+            b = self.bound[uri]
+            docs = K.placed(self.valid(uri), b.root, self._enforced(uri), self.compiler(b.schema), b.ids, b.ord)
+            rows, provided = K.spread(docs, "place"), self._provided(uri)
+            if provided is None:
+                rejected, accepted = K.greedy(rows)
+            else:
+                barred = K.cut(rows.join(provided, ["def", "key"], "left_semi").select("doc").distinct())
+                rejected, accepted = K.greedy(rows.join(barred, "doc", "left_anti"))
+                rejected = K.cut(rejected.union(barred).distinct())
+            self._greedy[uri] = (docs, rows, rejected, accepted)
         return self._greedy[uri]
 
+    def rejected(self, uri: str) -> DataFrame:
+        """ids of documents that several keys a document withdraw."""
+        docs, _, rejected, _ = self._settled(uri)
+        return docs.join(rejected.withColumnRenamed("doc", "place"), "place", "left_semi").select("doc.*")
+
     def _first_come(self, uri: str) -> DataFrame:
         b, d = self.bound[uri], self._enforced(uri)[0]
         df, compiler = self.valid(uri), self.compiler(b.schema)
@@ -196,11 +202,13 @@ class Validator:
                 ranked = ranked.join(provided.select(F.col("key").alias("__key"), F.col("source").alias("__source")), "__key", "left")
                 holder = F.coalesce("__source", holder)
             return ranked.withColumn("__holder", holder).filter(F.col("__holder").isNotNull()).select(*b.ids, *self._names(F.lit(0), defs), F.col("__key").alias("key"), F.col("__holder").alias("holder"))
-        rows, _, accepted = self._settled(uri)
-        found = K.duplicates(rows, accepted)
+        docs, rows, _, accepted = self._settled(uri)
+        held = docs.select(F.col("place").alias("held"), F.to_json("doc").alias("holder"))
+        found = K.duplicates(rows, accepted).join(held, "held").drop("held")
         if provided is not None:
             given = rows.join(provided, ["def", "key"]).select("doc", "def", "key", "pos", F.col("source").alias("holder"))
             found = found.union(given).groupBy("doc", "def", "key", "pos").agg(F.min("holder").alias("holder"))
+        found = found.withColumnRenamed("doc", "place").join(docs.select("place", "doc"), "place")
         return found.select("doc.*", *self._names(F.col("def"), defs), "key", "holder")
 
     @staticmethod
@@ -220,14 +228,13 @@ class Validator:
             if provided is not None:
                 ranked = ranked.join(provided.select(F.col("key").alias("__key")), "__key", "left_anti")
             return ranked.filter(~F.col("__late")).select(*b.df.columns)
-        rejected = self._settled(uri)[1].select("doc.*")
-        return self.valid(uri).join(rejected, b.ids, "left_anti").select(*b.df.columns)
+        return self.valid(uri).join(self.rejected(uri), b.ids, "left_anti").select(*b.df.columns)
 
     def postings(self, uri: str, kind: str = "index") -> DataFrame:
         """(def, key, n_docs) of a kind of key over the surviving documents."""
         b = self.bound[uri]
         defs = [k for k in b.schema.keys if k.kind == kind]
-        rows = K.key_rows(self.survivors(uri), b.root, defs, self.compiler(b.schema), b.ids, b.ord)
+        rows = K.key_rows(self.survivors(uri), b.root, defs, self.compiler(b.schema), b.ids)
         name = F.element_at(F.array(*[F.lit(d.pointer) for d in defs]), F.col("def") + 1)
         return rows.select(name.alias("pointer"), "key", "doc").distinct().groupBy("pointer", "key").agg(F.count("*").alias("n_docs"))
 

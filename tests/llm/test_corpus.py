@@ -499,3 +499,33 @@ def test_pipeline(spark, tmp_path):
     assert set(out) == set(seen["decontaminate"]) == {r.doc_id for r in d.collect()}
     for i, t in seen["decontaminate"].items():
         assert out[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, ties of keys, other columns, empty tables."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(19)
+    t = [sentence(rng, 40) for _ in range(8)]
+    rows = [(1, t[0]), (1, t[0]), (2, t[0]), (3, t[1]), (3, t[2]), (None, t[3]), (4, None), (4, None), (5, ""), (6, t[4] + " " + t[5]), (7, t[6] * 300)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, id int, mark string, label string, `group` int"
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or ""), 1, "m", "l", 2) for i, x in rows], shape)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, t[5]), (None, None)], "item_id long, text string")
+    for name, df in (("documents", docs), ("empty/documents", docs.limit(0))):
+        root = f"{tmp_path}/{name}".removesuffix("/documents")
+        for other, table in (("documents", df), ("labels", labels), ("benchmark", benchmark if name == "documents" else benchmark.limit(0))):
+            table.write.parquet(f"{root}/{other}.parquet")
+        d = spark.read.parquet(f"{root}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, root)
+            assert d.columns == docs.columns
+        out = corpus_pipeline.run(spark, root).collect()
+        kept = sorted(((r.doc_id, r.text) for r in d.collect()), key=str)
+        assert sorted((str(r.doc_id), r.decoded_sha256) for r in out) == sorted((str(i), hashlib.sha256((x or "").encode()).hexdigest()) for i, x in kept)
+        if name == "documents":
+            # t[6] comes 300 times in its text and stays once, but for its edges.
+            most = [(i, x) for i, x in kept if i != 7]
+            assert sorted(most, key=str) == sorted([(1, t[0]), (3, t[1]), (3, t[2]), (None, t[3]), (4, None), (5, ""), (6, t[4] + " ")], key=str)
+            assert len(kept) == len(most) + 1 and any(i == 7 and len(x) < 4 * len(t[6]) for i, x in kept)
+        else:
+            assert not out

@@ -207,6 +207,30 @@ def test_against_next(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
     odd = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b"), (None, "a"), (2, None)], "doc_id long, text string")
     assert sketch.against_next(odd, parts=3).count() == 5
+    for name in ("p", "guest", "s", "key", "__part"):
+        found = sketch.against_next(odd.withColumnRenamed("doc_id", name), key=name, parts=3)
+        assert found.columns[0] == name and found.count() == 5
+
+
+def test_next_brute_force(spark):
+    """Fingerprints, edits and likenesses by sets of words and sorted hashes."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(("on", "the", "way", "to", "a", "town")) for _ in range(rng.choice((0, 2, 5, 60, 400)))) for _ in range(40)]
+    got = {r.doc_id: r for r in sketch.against_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=32, parts=4).collect()}
+    one = lambda g: int(Words(g.split(b" ")).run_hashes(g.count(b" ") + 1)[0])
+    least = lambda t: sorted({one(g) for g in brute_sets([t], 5)[0]})[:32]
+
+    def alike(a, b):
+        both = sorted(set(a) | set(b))[:32]
+        return sum(x in a and x in b for x in both) / len(both) if both else 1.0
+
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        new = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        r = got[i]
+        assert sketch.from_text(r.fingerprint).tolist() == least(t) and sketch.from_text(r.edited_fingerprint).tolist() == least(new)
+        assert r.near_edited == (alike(least(t), least(new)) if least(t) and least(new) else float(least(t) == least(new)))
+        assert r.near_next == (alike(least(t), least(after)) if least(t) and least(after) else float(least(t) == least(after)))
 
 
 def test_merged_sketches(spark):

@@ -200,6 +200,14 @@ def test_rules(spark, monkeypatch):
     assert urls.judge(frame(spark, rows).limit(0), RULES).count() == 0
 
 
+def test_long_heads(spark):
+    """Tags that never end, or with an attribute over and over."""
+    rows = [(1, "http://a.com/", "<link " * 200_000), (2, "http://b.com/", "<link " + "rel= " * 200_000 + ">"), (3, "http://c.com/", "<meta http-equiv " * 50_000 + "<link rel=canonical href='http://d.net/'>")]
+    start = time.time()
+    got = {r.page_id: r.verdict for r in urls.judge(frame(spark, rows), RULES).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block"} and time.time() - start < 60
+
+
 def test_aliases(spark):
     link = '<html><head><LINK href="{}" rel="canonical"></head>'
     rows = [

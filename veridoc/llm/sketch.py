@@ -8,7 +8,12 @@ whole, so its estimates are exact.
 
 Defined results: null and empty texts have the empty fingerprint; two empty
 fingerprints have resemblance 1, an empty and a full one 0. Equal texts have
-equal fingerprints, and so have texts with equal shingle sets.
+equal fingerprints, and so have texts with equal shingle sets. Null keys come
+first; rows of one key follow each other by the hash of their text, equal rows
+too; the one row of a table is its own next; an empty table gives an empty
+result; extra columns are not read, and the key may have any name; a very long
+text takes time and memory in proportion. Rows of one key, null included, are
+in one task.
 """
 
 from __future__ import annotations
@@ -129,9 +134,11 @@ def against_next(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     no task or broadcast holds more than its range.
     """
     spark = df.sparkSession
-    rows = narrow(df, key, text).withColumn("__tie", F.xxhash64(F.col(f"`{text}`")))
+    given, kind = key, df.schema[key].dataType.simpleString()
+    df = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    key, text = "key", "text"
+    rows = df.withColumn("__tie", F.xxhash64("text"))
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    kind = df.schema[key].dataType.simpleString()
     cuts = narrow(df, key).agg(
         F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("at"), F.min(key).alias("least"), F.count(F.when(F.col(f"`{key}`").isNull(), 1)).alias("nulls")
     ).first()
@@ -156,7 +163,7 @@ def against_next(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     rows = rows.select(F.explode(F.filter(seats, lambda s: s.isNotNull())).alias("s"), F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text), "__tie")
     rows = rows.select("s.p", "s.guest", F.col(f"`{key}`"), F.col(f"`{text}`"), "__tie")
     rows = rows.repartitionById(last + 1, F.col("p")).sortWithinPartitions("p", "guest", F.col(f"`{key}`").asc_nulls_first(), "__tie")
-    ddl = f"`{key}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    ddl = f"`{given}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     shape = arrow_schema(spark, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,10 @@ Main path: built-in functions only. Rules are folded into the plan up to
 ``INLINE_RULES``; longer lists are joined by host suffix, per distinct host.
 
 Defined results: a null URL, or one without "://", has an empty host and
-path; repeated rows have equal results; a null html has no edges.
+path; repeated rows have equal results; a null html has no edges; of rules of
+equal length that fit, the one whose host, then path, comes first in order
+decides; an empty table gives an empty result; extra columns are not read; a
+very long html or URL takes time in proportion.
 """
 
 from __future__ import annotations
@@ -85,11 +88,17 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.trim(F.regexp_replace(found, "^[\"']|[\"']$", ""))
 
 
+def _tag(source: Column, name: str, attribute: str, pattern: str) -> Column:
+    """The first tag of a name whose attribute has the pattern; empty if there
+    is none. A tag ends before the next "<", so that a page is read once."""
+    tags = F.regexp_extract_all(source, F.lit(rf"(?is)<{name}\b[^<>]*+>"), F.lit(0))
+    return F.coalesce(F.get(F.filter(tags, lambda t: _attribute(t, attribute).rlike(pattern)), F.lit(0)), F.lit(""))
+
+
 def edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b) of canonical links and refresh redirects of pages, as nodes."""
     base, source = F.col(f"`{url}`"), F.col(f"`{html}`")
-    canonical = F.regexp_extract(source, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b[^>]*>", 0)
-    refresh = F.regexp_extract(source, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
+    canonical, refresh = _tag(source, "link", "rel", r"(?i)\bcanonical\b"), _tag(source, "meta", "http-equiv", r"(?i)^\s*refresh\b")
     goal = F.regexp_extract(_attribute(refresh, "content"), r"(?is)\burl\s*=\s*[\"']?([^\"']*)", 1)
     folder = F.regexp_extract(path_of(base), "(?s)^(.*/)", 1)
     found = pages.filter(source.rlike(r"(?i)canonical|http-equiv") & base.contains("://")).select(

@@ -19,7 +19,9 @@ open. A task holds one record and one stream buffer.
 Defined results: a null html is an empty payload; a null URL gives a record
 without a target; control characters in a URL are percent-encoded; rows of
 equal page id and payload are all responses; a row without a page id is a
-revisit if another row has its payload, else a response.
+revisit if another row has its payload, else a response; an empty table gives
+an empty result; extra columns are not read; a very long payload is held once
+in memory.
 """
 
 from __future__ import annotations

@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, and any others that are there.
+
+Defined results: null and empty texts stay in all stages, and have no token
+ids; of rows that are equal in key and text one stays, as of any group of near
+duplicates; rows without a key stay, are no near duplicates and lose no
+passages to others; several texts of one key are documents of their own; an
+empty table, or empty labels or benchmark, is no special case; very long texts
+are processed whole.
 """
 
 from __future__ import annotations

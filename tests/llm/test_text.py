@@ -75,14 +75,14 @@ def test_memory_is_bounded(codec):
     """Texts without spaces are not kept, and what is kept is counted."""
     own = bpe.Codec(RANKS, PATTERN, memo=300_000)
     library = tokenfile.LibraryEncoder(LIBRARY, PATTERN)
-    library.pieces.most = library.segments.most = 300_000
+    library.pieces.most = 300_000
     rng = random.Random(6)
     sizes = []
     for k in range(1500):
         t = "".join(rng.choice("漢字仮名交文abc") for _ in range(1500)) if k % 3 else " ".join(f"{rng.random():.9f}" for _ in range(80))
         own.encode(t)
         library.encode(t)
-        for memo in (own.pieces, own.segments, library.pieces, library.segments):
+        for memo in (own.pieces, library.pieces):
             assert all(len(x) <= memo.LONG for x in memo) if k % 300 == 0 else True
             sizes.append(sum(sys.getsizeof(x) + sys.getsizeof(y) for x, y in [*memo.items(), *memo.old.items()]) if k % 50 == 0 else memo.bytes)
     assert max(sizes) < 330_000

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -84,9 +83,8 @@ class MinimalPerfectHash:
 class Codec:
     """Encoder and decoder over one file of ranks (base64 token, rank a line)."""
 
-    #: Bytes of the memo of segments, and of that of pre-tokens, in a worker,
-    #: as ``Memo`` estimates them; at so many, a memo starts anew.
-    MEMO = 60_000_000
+    #: Bytes of the memo of pre-tokens in a worker, as ``Memo`` estimates them.
+    MEMO = 200_000_000
 
     def __init__(self, ranks_path: str, pattern: str, memo: int = MEMO):
         with open(ranks_path, "rb") as f:
@@ -99,69 +97,65 @@ class Codec:
         for key, rank in self.ranks.items():
             self.token[rank] = key
         self.byte_id = [self.ranks[bytes([b])] for b in range(256)] if self.ranks else []
-        #: Rank of the token that two adjacent tokens make, by both their ids.
+        #: Rank of the token that two adjacent tokens make, by both their ids,
+        #: and that two adjacent bytes make, or -1.
         self.pairs: dict[int, int] = {}
+        self.first = [[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
         get = self.ranks.get
         for key, rank in self.ranks.items():
             for i in range(1, len(key)):
                 if (a := get(key[:i])) is not None and (b := get(key[i:])) is not None:
                     self.pairs[a << 32 | b] = rank
         self.decimal = [str(i) for i in range(len(self.token))]
-        self.segments = Segments(self._learn, memo)
-        self.pieces = Memo(memo)
+        self.pieces = Memo(self._learn, memo)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token outside the vocabulary, by merges of least rank
         first, leftmost among equals."""
         n, pair = len(piece), self.pairs.get
-        ids = [self.byte_id[b] for b in piece]
+        ids = list(map(self.byte_id.__getitem__, piece))
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        heap = [r << 32 | i for i, two in enumerate(zip(ids, ids[1:])) if (r := pair(two[0] << 32 | two[1])) is not None]
+        # Rank of what each part makes with the one after it: a place in the
+        # heap with another rank is out of date.
+        made = [self.first[x][y] for x, y in zip(piece, piece[1:])]
+        made.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(made) if r >= 0]
         heapify(heap)
         while heap:
             top = heappop(heap)
-            i = top & 0xFFFFFFFF
-            j = after[i]
-            if j >= n or ids[i] < 0:
+            i, r = top & 0xFFFFFFFF, top >> 32
+            if made[i] != r:
                 continue
-            r = top >> 32
-            if pair(ids[i] << 32 | ids[j]) != r:
-                continue  # one of the two parts has grown since
-            ids[i], ids[j] = r, -1
+            j = after[i]
+            ids[i], ids[j], made[i], made[j] = r, -1, -1, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (q := pair(r << 32 | ids[k])) is not None:
+                if (q := pair(r << 32 | ids[k], -1)) >= 0:
+                    made[i] = q
                     heappush(heap, q << 32 | i)
             h = before[i]
-            if h >= 0 and (q := pair(ids[h] << 32 | r)) is not None:
-                heappush(heap, q << 32 | h)
+            if h >= 0:
+                made[h] = q = pair(ids[h] << 32 | r, -1)
+                if q >= 0:
+                    heappush(heap, q << 32 | h)
         return [x for x in ids if x >= 0]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         slot = self.mph.find(piece)
         return [self.slot_rank[slot]] if slot >= 0 else self.merge(piece)
 
-    def _learn(self, segment: str) -> bytes:
-        known, out = self.pieces, []
-        for m in self.pattern.finditer(segment):
-            piece = m[0]
-            ids = known.find(piece)
-            if ids is None:
-                raw = self.encode_piece(piece.encode("utf-8", "replace"))
-                ids = pack(f"<{len(raw)}I", *raw)
-                known.keep(piece, ids)
-            out.append(ids)
-        return b"".join(out)
+    def _learn(self, piece: str) -> bytes:
+        ids = self.encode_piece(piece.encode("utf-8", "replace"))
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as unsigned 32-bit integers."""
-        return np.frombuffer(self.segments.encode(text), "<u4")
+        return np.frombuffer(self.pieces.joined(self.pattern, text), "<u4")
 
     def forget(self) -> None:
-        """Frees the memos, as workers outlive the task that filled them."""
-        self.segments.clear()
+        """Frees the memo, as workers outlive the task that filled it."""
         self.pieces.clear()
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -173,92 +167,50 @@ class Codec:
 
 
 class Memo(dict):
-    """Ids of short texts, in at most so many bytes, in two generations: what
-    is not used while one fills up is forgotten with it.
+    """Packed ids of pre-tokens, in at most so many bytes, in two generations:
+    what is not used while one fills up is forgotten with it. ``learn`` gives
+    the ids of one that is not known.
 
-    Texts over ``LONG`` characters are not kept: they seldom come again, and
-    scripts without spaces, encoded data or minified code would fill the memo
-    with them."""
+    Pre-tokens over ``LONG`` characters are not kept: they seldom come again,
+    and scripts without spaces, encoded data or minified code would fill the
+    memo with them."""
 
     LONG = 64
     #: Bytes of an entry beside its characters and ids, measured: slot and two
     #: objects.
     ENTRY = 110
+    #: Characters of a text whose pre-tokens are listed at once.
+    AT_ONCE = 1_000_000
 
-    def __init__(self, most: int):
+    def __init__(self, learn: Callable[[str], bytes], most: int):
         super().__init__()
-        self.most, self.bytes = most, 0
+        self.learn, self.most, self.bytes = learn, most, 0
         self.old: dict[str, bytes] = {}
 
-    def keep(self, text: str, ids: bytes) -> None:
-        if len(text) <= self.LONG:
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        if len(piece) <= self.LONG:
             if self.bytes > self.most // 2:
                 old = self.copy()
                 self.clear()
                 self.old = old
-            self[text] = ids
-            self.bytes += self.ENTRY + 2 * len(text) + len(ids)
-
-    def find(self, text: str) -> bytes | None:
-        ids = self.get(text)
-        if ids is None and (ids := self.old.get(text)) is not None:
-            self.keep(text, ids)
+            self[piece] = ids
+            self.bytes += self.ENTRY + 2 * len(piece) + len(ids)
         return ids
 
+    def joined(self, pattern: regex.Pattern, text: str) -> bytes:
+        """Ids of all pre-tokens of a text, one after the other."""
+        if len(text) <= self.AT_ONCE:
+            return b"".join(map(self.__getitem__, pattern.findall(text)))
+        return b"".join(self[m[0]] for m in pattern.finditer(text))
+
     def clear(self) -> None:
         super().clear()
         self.old, self.bytes = {}, 0
 
 
-class Segments(Memo):
-    """Joined ids of texts from a memo of their segments.
-
-    A segment begins before a space that follows a non-space. The split
-    pattern of byte-level vocabularies lets a pre-token hold a space only as
-    its first character or among white space alone, so each such place is a
-    boundary of pre-tokens and what is left of it has no bearing on what is
-    right of it. Keys are segments without their leading space; ``learn``
-    gives the packed ids of a segment on its first use.
-    """
-
-    def __init__(self, learn: Callable[[str], bytes], most: int):
-        super().__init__(most)
-        self.learn = learn
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part)
-        if ids is None:
-            ids = self.learn(" " + part)
-        self.keep(part, ids)
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = text.split(" ")
-        if _SPACE_RUN.search(text):
-            parts = _with_runs(parts)
-        head = self.learn(parts[0]) if parts[0] else b""
-        return head + b"".join(map(self.__getitem__, parts[1:]))
-
-
-#: White space before a space; a superset of the split pattern's is harmless.
-_SPACE_RUN = re.compile(r"\s ")
-
-
-def _with_runs(parts: list[str]) -> list[str]:
-    """Parts of a split at single spaces, with longer runs of white space kept
-    in one segment (a space after white space is no boundary)."""
-    out, run = [], [parts[0]]
-    for p in parts[1:]:
-        if not run[-1] or run[-1][-1].isspace():
-            run.append(p)
-        else:
-            out.append(" ".join(run))
-            run = [p]
-    return [*out, " ".join(run)]
-
-
 @lru_cache(maxsize=2)
 def codec(ranks_path: str, pattern: str, memo: int = Codec.MEMO) -> Codec:
     """One codec per Python worker."""
@@ -308,7 +260,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id"
     return map_batches(narrow(df, key, text), run, f"`{key}` {kind}, {DIGESTS}")
 
 
-def encoded(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", memo: int = Codec.MEMO // 2) -> DataFrame:
+def encoded(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", memo: int = Codec.MEMO // 4) -> DataFrame:
     """As ``round_trip``, with the ids themselves as ``ids array<int>``; its
     memo is smaller, as it runs where other stages have filled the memory."""
     kind = df.schema[key].dataType.simpleString()

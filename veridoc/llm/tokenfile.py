@@ -28,6 +28,7 @@ very long text takes time in proportion and a task's memory grows with its ids.
 from __future__ import annotations
 
 import atexit
+import codecs
 import os
 import re
 import uuid
@@ -44,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm.bpe import Memo, Segments
+from veridoc.llm.bpe import Memo
 from veridoc.llm.common import _remove, arrow_schema, narrow, shared_dir, sweep, texts
 
 SEQ_LEN = 2048
@@ -64,7 +65,8 @@ class LibraryEncoder:
     than its own literal.
     """
 
-    MEMO = 60_000_000
+    #: Bytes of the memo, as ``Memo`` estimates them.
+    MEMO = 160_000_000
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,7 +77,7 @@ class LibraryEncoder:
         before = self.tokenizer.pre_tokenizer
         self.plain = self.tokenizer.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel) and not before.add_prefix_space
         self.tokenize = self.tokenizer.model.tokenize
-        self.split = regex.compile(pattern).finditer
+        self.pattern = regex.compile(pattern)
         added = self.tokenizer.get_added_tokens_decoder()
         self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
         self.literal = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
@@ -85,8 +87,9 @@ class LibraryEncoder:
         # Bytes from 128 up stand for themselves or for letters after U+00FF,
         # in the order of the bytes that have no visible character.
         self.letter = dict(enumerate(letters)) | self._high_letters(letters)
-        self.pieces = Memo(self.MEMO)
-        self.segments = Segments(self._learn, self.MEMO)
+        # What each byte is to the model, as a table.
+        self.letters = "".join(self.letter.get(b, chr(b)) for b in range(256))
+        self.pieces = Memo(self._learn, self.MEMO)
 
     @staticmethod
     def _high_letters(low: list[str]) -> dict[int, str]:
@@ -99,27 +102,19 @@ class LibraryEncoder:
                 out[b], after = chr(after), after + 1
         return out
 
-    def _learn(self, segment: str) -> bytes:
-        known, out = self.pieces, []
-        for m in self.split(segment):
-            piece = m[0]
-            ids = known.find(piece)
-            if ids is None:
-                byte_text = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letter)
-                ids = array("I", [t.id for t in self.tokenize(byte_text)]).tobytes()
-                known.keep(piece, ids)
-            out.append(ids)
-        return b"".join(out)
+    def _learn(self, piece: str) -> bytes:
+        letters = codecs.charmap_decode(piece.encode("utf-8", "replace"), "strict", self.letters)[0]
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not self.plain:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if not any(map(text.__contains__, self.added)):
-            return self.segments.encode(text)
+            return self.pieces.joined(self.pattern, text)
         if not self.literal:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(self.added[x] if i % 2 else self.segments.encode(x) for i, x in enumerate(self.at_added(text)))
+        return b"".join(self.added[x] if i % 2 else self.pieces.joined(self.pattern, x) for i, x in enumerate(self.at_added(text)))
 
 
 @lru_cache(maxsize=2)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veridoc import queries as engine
 from veridoc.cli import main
 from veridoc.extensions import Extension
+from veridoc.functions.paths import UnsupportedPath
 from veridoc.operators.documents import Documents
 from veridoc.operators.validate import Validator
 from veridoc.plans import graph
@@ -266,6 +267,45 @@ def test_files_report_and_command_line(spark, tmp_path, capsys):
     assert [(os.path.basename(r.doc_id), r.reason) for r in rows] == [("list.json [1]", "dup_pk")]
 
 
+def test_fix_and_rows(spark, tmp_path, monkeypatch):
+    """The editor is opened on what is wrong, until it is right."""
+    put(tmp_path / "schemas/s.json", {**SCHEMA, "foreign_keys": []} | {"foreign_keys": [{"members": ["up"]}]})
+    for n, up in ((1, 1), (2, 9)):
+        put(tmp_path / f"docs/{n}.json", {"@schema": "https://x.org/s", "id": n, "up": up})
+    put(tmp_path / "fix.sh", '#!/bin/sh\nsed -i "s/9/1/" "$@"\n')
+    monkeypatch.setenv("EDITOR", f"sh {tmp_path}/fix.sh")
+    monkeypatch.delenv("VISUAL", raising=False)
+    args = [str(tmp_path / "schemas"), str(tmp_path / "docs")]
+    assert main(["--report", f"{tmp_path}/rows/", *args]) == 2
+    assert {r.n_errors for r in spark.read.json(f"{tmp_path}/rows").collect()} == {0, 1}
+    assert main(["--fix", *args]) == 0 and json.loads((tmp_path / "docs/2.json").read_text())["up"] == 1
+    put(tmp_path / "docs/2.json", {"@schema": "https://x.org/s", "id": 2, "up": 8})
+    assert main(["--fix", *args]) == 2
+
+
+def test_wide_paths(spark):
+    s = load({"$schema": D7, "$id": "urn:d"})
+    docs = [{"file": "a", "errors": [], "json": {"head": {"schema": "urn:d"}, "l": [{"n": 1}, {"n": "x"}]}}, {"file": "b", "errors": [], "json": {"h": {"schema": "urn:e"}}}]
+    d = Documents(Validator(s), inline(spark, docs), id_path="$.*.schema")
+    got = {r.doc_id: (r.schema_id, r.annot) for r in d.report(annotation="$..n|l[*]").collect()}
+    assert got == {"a": ("urn:d", "1"), "b": ("urn:e", None)}
+    assert [r.reason for r in d.errors().collect()] == ["schema_unknown"]
+    with pytest.raises(UnsupportedPath):
+        d.report(annotation="l[?(@.n > 1)]")
+
+
+def test_hooks(spark):
+    seen = []
+    note = lambda what: lambda v, *more: seen.append((what, *more))
+    x = Extension("own", lambda value, schema, v: F.lit(True), bootstrap=lambda v: {"urn:d": ["not quite"]}, warm_up=note("warm"), invalidate=note("drop"), forget=note("forget"), cleanup=note("end"))
+    s = load({"$schema": D7, "$id": "urn:d", "own": 1})
+    v = Validator(s, extensions=[x]).bind("urn:d", spark.range(1), ["id"])
+    v.warm_up()
+    v.invalidate()
+    v.close()
+    assert seen == [("forget", "urn:d"), ("warm",), ("drop",), ("end",)] and [f.description for f in s.valid["urn:d"].faults] == ["not quite"]
+
+
 def test_stats(spark):
     docs = [{"file": str(i), "errors": [], "json": {"@schema": "https://x.org/s", **j}} for i, j in enumerate([{"id": 1}, {"id": "x"}, {"id": 2, "up": 5}])] + [{"json": 1}]
     d = Documents(Validator(load(SCHEMA)), inline(spark, docs))

@@ -7,8 +7,13 @@ schema with errors and no document to validate.
 from __future__ import annotations
 
 import argparse
+import hashlib
 import logging
+import os
+import shlex
+import subprocess
 import sys
+from urllib.parse import unquote, urlsplit
 
 from veridoc.functions.paths import DEFAULT_ID_PATH
 
@@ -30,8 +35,8 @@ def parser() -> argparse.ArgumentParser:
     which = p.add_mutually_exclusive_group()
     which.add_argument("--guess-schema", action="store_true")
     which.add_argument("--use-schemas", nargs="+", metavar="URI")
-    p.add_argument("--fix", action="store_true", help="accepted for compatibility; edit the files and run again")
-    p.add_argument("--report", help="write a JSON array of all entries")
+    p.add_argument("--fix", action="store_true", help="open the files of invalid documents in $VISUAL or $EDITOR, then check again, until all are valid or none was changed")
+    p.add_argument("--report", help="write a JSON array of all entries, or, to a path that ends in a slash, JSON lines by all executors")
     p.add_argument("--annotation", help="JSONPath of a value to add to each entry")
     p.add_argument("--verbose-report", action="store_true", help="entries hold their document")
     p.add_argument("--error-report", action="store_true", help="only documents with errors")
@@ -49,6 +54,15 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def edited(paths: list[str]) -> bool:
+    """Opens local files in the user's editor; whether one has changed."""
+    command = shlex.split(os.environ.get("VISUAL") or os.environ.get("EDITOR") or "vi")
+    files = [p for p in (unquote(urlsplit(x).path) for x in paths) if os.path.isfile(p)]
+    digests = lambda: [hashlib.sha256(open(p, "rb").read()).digest() for p in files]  # noqa: E731, SIM115
+    before = digests()
+    return bool(files) and subprocess.call([*command, *files]) == 0 and before != digests()
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     level = logging.DEBUG if a.debug else logging.INFO if a.verbose else logging.ERROR if a.quiet else logging.WARNING
@@ -84,7 +98,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from veridoc.operators.documents import Documents
-    from veridoc.operators.report import write_array
+    from veridoc.operators.report import write_array, write_rows
     from veridoc.operators.validate import Validator
     from veridoc.sources.documents import files
 
@@ -96,14 +110,20 @@ def main(argv: list[str] | None = None) -> int:
     if a.warm_up:
         validator.warm_up()
     report = docs.report(a.annotation, a.error_report, a.verbose_report)
+    if a.report and a.report.endswith("/"):
+        write_rows(report, a.report)
+        return 0 if report.filter("n_errors > 0").isEmpty() else 2
     if a.report:
         return 2 if write_array(schemas, report, a.report) else 0
     bad = report.filter("n_errors > 0").orderBy("doc_id")
-    failed = 0
+    failed, names = 0, []
     for row in (bad if a.go_on else bad.limit(1)).toLocalIterator():
         failed += 1
+        names.append(row.file)
         for e in row.errors:
             print(f"{row.doc_id}: {e.reason} {e.pointer or ''} {e.path or e.key or ''}{f' held by {e.holder}' if e.holder else ''}".rstrip())
     for row in docs.stats().collect() if a.verbose or a.debug else ():
         log.info("%s: %d", row.status, row.n)
+    if a.fix and names and edited(sorted(set(names))):
+        return main(argv)
     return 2 if failed else 0

@@ -10,10 +10,12 @@ known by their SHA-256, so that no shuffle moves whole texts.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -243,7 +245,75 @@ DEFAULT_ID_PATH = '"@schema"|"_schema"|"$schema"'
 
 
 class UnsupportedPath(ValueError):
-    """Wildcards, filters and descendants need the Python evaluator."""
+    """A path that Columns cannot follow; ``found_texts`` may."""
+
+
+_WIDE = re.compile(r"""\s*(?:(\.\.)|\.?\s*(?:(\*)|\[\s*(\*)\s*\]|\[\s*([0-9]+)\s*\]|\[?\s*(?:"([^"]*)"|'([^']*)')\s*\]?|(\$)|([^\s.\[\]"'|()*?]+)))""")
+_ANY, _BELOW = object(), object()
+
+
+def _wide_steps(path: str) -> list[list]:
+    out = []
+    for part in _UNION.split(path.strip()):
+        steps: list = []
+        at = 0
+        while at < len(part.rstrip()):
+            m = _WIDE.match(part, at)
+            if not m or m.end() == at:
+                raise UnsupportedPath(path)
+            if m[1]:
+                steps.append(_BELOW)
+            elif m[2] or m[3]:
+                steps.append(_ANY)
+            elif m[4] is not None:
+                steps.append(int(m[4]))
+            elif m[7] is None:
+                steps.append(next(g for g in (m[5], m[6], m[8]) if g is not None))
+            at = m.end()
+        out.append(steps)
+    return out
+
+
+def _follow(value, steps: list) -> Iterator:
+    if not steps:
+        yield value
+        return
+    step, rest = steps[0], steps[1:]
+    inner = list(value.values()) if isinstance(value, dict) else value if isinstance(value, list) else []
+    if step is _BELOW:
+        yield from _follow(value, rest)
+        for x in inner:
+            yield from _follow(x, steps)
+    elif step is _ANY:
+        for x in inner:
+            yield from _follow(x, rest)
+    elif isinstance(step, int):
+        if isinstance(value, list) and step < len(value):
+            yield from _follow(value[step], rest)
+    elif isinstance(value, dict) and step in value:
+        yield from _follow(value[step], rest)
+
+
+def found_texts(document: Column, path: str) -> Column:
+    """JSON text of the first value, in document order, of the first
+    alternative that has one: for paths with wildcards and descendants, in
+    Python. Filters raise ``UnsupportedPath``."""
+    wanted = _wide_steps(path)
+
+    @F.pandas_udf("string")
+    def first(texts: pd.Series) -> pd.Series:
+        def one(text):
+            if text is None:
+                return None
+            value = json.loads(text)
+            for steps in wanted:
+                for x in _follow(value, steps):
+                    return json.dumps(x, separators=(",", ":"), ensure_ascii=False)
+            return None
+
+        return texts.map(one)
+
+    return first(F.to_json(document))
 
 
 def parse_jsonpath(path: str) -> list[list[str | int]]:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.functions.paths import DEFAULT_ID_PATH, jsonpath, rooted
+from veridoc.functions.paths import DEFAULT_ID_PATH, UnsupportedPath, found_texts, jsonpath, rooted
 from veridoc.functions.values import VariantValue
 from veridoc.operators.validate import DETAIL, Bound, Validator
 
@@ -35,7 +35,10 @@ class Documents:
             validator.bind_as(Bound(entry, mine, ["doc_id"], ["ord"], VariantValue(F.col("json")), "json"))
 
     def _named(self) -> Column:
-        found = [v.string() for v in jsonpath(VariantValue(F.col("json")), self.id_path)]
+        try:
+            found = [v.string() for v in jsonpath(VariantValue(F.col("json")), self.id_path)]
+        except UnsupportedPath:
+            found = [VariantValue(F.try_parse_json(found_texts(F.col("json"), self.id_path))).string()]
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
     def _candidates(self) -> list[str]:
@@ -91,7 +94,11 @@ class Documents:
         by_doc = self.errors().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("schema_id", *DETAIL))).alias("errors"))
         extra = []
         if annotation:
-            extra.append(F.coalesce(*[v.canonical() for v in jsonpath(VariantValue(F.col("json")), annotation)]).alias("annot"))
+            try:
+                annot = F.coalesce(*[v.canonical() for v in jsonpath(VariantValue(F.col("json")), annotation)])
+            except UnsupportedPath:
+                annot = found_texts(F.col("json"), annotation)
+            extra.append(annot.alias("annot"))
         if verbose:
             extra.append(F.to_json("json").alias("json"))
         rows = self.docs.select("doc_id", "ord", "file", F.coalesce("schema_id", "named").alias("schema_id"), F.sha1(F.to_json("json")).alias("json_hash"), *extra)

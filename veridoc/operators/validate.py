@@ -21,7 +21,7 @@ from veridoc.functions.formats import Formats
 from veridoc.functions.keywords import ERROR, Compiler, NotColumnar
 from veridoc.functions.values import Row, Value, VariantValue
 from veridoc.operators import keys as K
-from veridoc.plans.catalog import KeyDef, RefDef, Schema, SchemaSet
+from veridoc.plans.catalog import Fault, KeyDef, RefDef, Schema, SchemaSet
 from veridoc.sources.providers import collisions, forget_lists, provider_keys
 
 DETAIL = ("reason", "keyword", "pointer", "path", "key", "holder")
@@ -58,6 +58,17 @@ class Validator:
         self._greedy: dict[str, tuple] = {}
         self._contested: dict[str, DataFrame] = {}
         self._some: dict[tuple, bool] = {}
+        for x in self.extensions:
+            for uri, messages in (x.bootstrap(self) if x.bootstrap else {}).items():
+                schemas.valid[uri].faults += [Fault("schema_error", m, f"/{x.keyword}") for m in messages]
+
+    def _hook(self, name: str, *more) -> None:
+        for x in self.extensions:
+            if (hook := getattr(x, name)) is not None:
+                hook(self, *more)
+
+    def close(self) -> None:
+        self._hook("cleanup")
 
     def bind(self, uri: str, df: DataFrame, ids: list[str], order: list[str] | None = None) -> Validator:
         """Binds a table to a schema: each row is a document whose members are
@@ -75,6 +86,7 @@ class Validator:
         self._greedy.pop(b.schema.uri, None)
         self._contested.pop(b.schema.uri, None)
         self._some.clear()
+        self._hook("forget", b.schema.uri)
         return self
 
     # --- pass 1 ------------------------------------------------------------
@@ -253,10 +265,12 @@ class Validator:
         read from the documents."""
         for owner in {k.owner for e in self.schemas.valid.values() for k in e.keys if k.kind == "primary_key"}:
             self._providers(owner)
+        self._hook("warm_up")
 
     def invalidate(self) -> None:
         """Removes the cached key lists."""
         forget_lists(self.config)
+        self._hook("invalidate")
 
     def _accepted_keys(self, b: Bound, k: KeyDef) -> DataFrame:
         """Accepted keys of one declaration, as (key), or (key, doc) if scoped.

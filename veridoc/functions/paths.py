@@ -249,7 +249,8 @@ class UnsupportedPath(ValueError):
 
 
 _WIDE = re.compile(r"""\s*(?:(\.\.)|\.?\s*(?:(\*)|\[\s*(\*)\s*\]|\[\s*([0-9]+)\s*\]|\[?\s*(?:"([^"]*)"|'([^']*)')\s*\]?|(\$)|([^\s.\[\]"'|()*?]+)))""")
-_ANY, _BELOW = object(), object()
+#: Steps that a worker knows again.
+_ANY, _BELOW = None, ...
 
 
 def _wide_steps(path: str) -> list[list]:

@@ -8,6 +8,7 @@ operator's docstring says otherwise.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -54,6 +55,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files of what is no longer referred to. Spark removes
+    them when the driver collects garbage, which a driver with room to spare
+    does late, while they fill the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

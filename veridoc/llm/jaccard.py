@@ -59,7 +59,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import Words, arrow_schema, cut, mix64, narrow, space_words, written
+from veridoc.llm.common import Words, arrow_schema, cut, mix64, narrow, release, space_words, written
 from veridoc.llm.components import components
 
 #: Shingles in the broadcast that orders them: 8 bytes each, 8 MB at most.
@@ -605,7 +605,9 @@ def join(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
     """(key, n_shingles, component_id) of every row of ``df``; the key is an
     integer column. component_id is the smallest key reachable by links."""
     docs = narrow(df, key, text).select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
-    order = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
+    spark = docs.sparkSession
+    order = spark.sparkContext.broadcast(frequent(docs, words))
+    release(spark)
     rows = written(signatures(docs, words, percent, order))
     # Cut, so that joins with it have plain exchanges on both sides and a large
     # group of equal sets can be split.
@@ -614,10 +616,12 @@ def join(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
     nodes = written(_grouped(nodes.withColumn("key", F.xxhash64("node", "mark"))))
     keyed = docs.filter("id IS NOT NULL")
     roots = cut(components(levels(keyed, nodes, words, percent)).select("node", F.col("root").alias("label")))
+    release(spark)
     few = roots.count() <= BROADCAST_ROWS
     labelled = nodes.join(F.broadcast(roots) if few else roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nodes = written(_regrouped(labelled if few else cut(labelled)))
     cand = cut(candidates(nodes, percent, _settled(nodes, order)))
+    release(spark)
     last = cut(components(opened(keyed, nodes, cand, words, percent)).select(F.col("node").alias("label"), "root"))
     of_set = reps.select("digest", "node").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")).join(last, "label", "left")
     of_set = cut(of_set.select("digest", F.coalesce("root", "label").alias("component")))

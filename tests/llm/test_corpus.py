@@ -136,6 +136,53 @@ def test_jaccard_family(spark, monkeypatch, changes):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, 4, 85).collect()} == brute_join(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [30, 60, 85, 100])
+def test_jaccard_prefixes_of_links_share_enough(percent):
+    """Linked sets, at the threshold too, share as many prefix shingles as
+    ``shared`` asks for, whatever order the counts give."""
+    rng, tight = np.random.default_rng(percent), 0
+    for _ in range(3000):
+        both, a, b = (int(rng.integers(*x)) for x in ((1, 60), (0, 12), (0, 12)))
+        if not jaccard.links(both + a, both + b, both, percent):
+            continue
+        pool = rng.integers(0, 1 << 63, both + a + b).astype(np.uint64) * np.uint64(2)
+        known = np.unique((pool[rng.random(len(pool)) < 0.5] >> np.uint64(32)).astype(np.uint32))
+        df = rng.integers(3, 40, len(known)).astype(np.uint32)
+        sets = np.sort(pool[: both + a]), np.sort(np.concatenate([pool[:both], pool[both + a :]]))
+        n, m = sorted((both + a, both + b), reverse=True)
+        prefixes = [jaccard._rarest(x, known, df, jaccard.probe_length(len(x), percent))[0] for x in sets]
+        met, least = len(np.intersect1d(*prefixes)), jaccard.shared(n, m, percent)
+        assert met >= least >= 1
+        tight += met == least
+    assert tight
+
+
+def test_jaccard_chance_passages(spark, monkeypatch):
+    """Texts that share a passage but do not link are not brought together,
+    while links near the threshold that only postings find are found; grouped
+    nodes go without their prefixes."""
+    rng, rows = random.Random(61), []
+    for k in range(400):
+        base = [f"{rng.choice(VOCABULARY)}{k}" for _ in range(rng.randrange(20, 120))]
+        other, place = list(base), rng.randrange(len(base))
+        other[place : place + 1] = [f"n{k}x{i}" for i in range(rng.randrange(5))] if k % 2 else [f"n{k}"]
+        rows += [" ".join(base), " ".join(other[: len(base) - rng.randrange(1 + len(base) // 9)])]
+    for k in range(300):
+        # One passage in two texts: each is all that a text has in common with another.
+        passage = f"p{k}a p{k}b p{k}c p{k}d p{k}e"
+        rows += [" ".join(rng.choice(VOCABULARY) + f"{k}s{side}" for _ in range(100)) + " " + passage for side in (0, 1)]
+    rows = list(enumerate(rows))
+    seen, cands, edges = [], [], []
+    grouped, candidates, opened = jaccard._grouped, jaccard.candidates, jaccard.opened
+    monkeypatch.setattr(jaccard, "_grouped", lambda nodes: (seen.extend(nodes.columns), grouped(nodes))[1])
+    monkeypatch.setattr(jaccard, "candidates", lambda *a: (cands.append(candidates(*a)), cands[0])[1])
+    monkeypatch.setattr(jaccard, "opened", lambda *a: (edges.append(opened(*a)), edges[0])[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute_join(rows, 4, 85)
+    assert edges[0].count() >= 10 and cands[0].count() < 150
+    assert "prefix" not in seen
+
+
 def test_jaccard_odd_rows(spark):
     t = "a b c d e f g h i j"
     df = spark.createDataFrame([(3, t), (3, t), (None, t), (1, "x y z w v"), (None, "q r s t u"), (2, None)], "doc_id long, text string")

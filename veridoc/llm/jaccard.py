@@ -10,7 +10,8 @@ equal sets collapse into one node first.
    only orders shingles from rare to frequent, results do not depend on it.
 2. *Signatures.* For each document: set size, a digest of the set, a min-hash
    and its probe prefix, the rarest shingles of which any linked set must
-   share one.
+   share one. One row of each set is its node; prefixes stay where they were
+   written until the postings need them.
 3. *Groups.* Nodes of equal min-hash form a group. Nodes whose probe prefix
    reaches a common shingle, as the many near copies of one text do, are
    grouped by that shingle instead. Groups over ``GROUP`` nodes are split
@@ -21,9 +22,10 @@ equal sets collapse into one node first.
    is linear in the size of a family. Nodes that these levels connect share a
    label, the smallest id among them.
 5. *Matrix.* Postings of prefix shingles, again packed by hash range, give
-   for each query the groups whose members share a prefix shingle, fit in
-   size (the larger set queries the smaller one's group) and have another
-   label. Groups that were split are dealt anew by label for that, so that
+   for each query the groups whose members share as many prefix shingles as
+   sets of such sizes must if they link (``shared``), fit in
+   size (the larger set queries the smaller one's group, of equal sizes that of
+   the larger label) and have another label. Groups that were split are dealt anew by label for that, so that
    what the levels left over stands apart. Shingles of many nodes that all have
    one label are left out of the postings.
 6. *Opening.* Members of a group and its queries meet in one task. The
@@ -31,7 +33,7 @@ equal sets collapse into one node first.
    percent of its own set with the union cannot link to any member and is
    skipped; otherwise members of other labels are compared exactly. Groups with
    many queries are opened in several tasks, each with a share of the queries.
-   So every pair that shares a prefix shingle and fits in size is either
+   So every pair that fits in size and shares enough of its prefixes is either
    compared or known to be connected: no link is lost.
 7. *Components.* Distributed star contraction of the edges, of the levels
    first, then of labels.
@@ -91,9 +93,12 @@ def probe_length(n: int, percent: int) -> int:
     return n - needed(n, percent) + 1
 
 
-def index_length(n: int, percent: int) -> int:
-    """As ``probe_length``, for links to sets that are not smaller."""
-    return n - -(-2 * percent * n // (100 + percent)) + 1
+def shared(n, m, percent: int):
+    """Least number of shingles that the probe prefixes of linked sets of n and
+    m <= n shingles share. Common shingles up to the end of the prefix that
+    ends first in the order are in both prefixes; beyond it are fewer than
+    ``needed(n)``, and a link takes percent / (100 + percent) of n + m."""
+    return -(-percent * (n + m) // (100 + percent)) - needed(n, percent) + 1
 
 
 def links(a: int, b: int, both: int, percent: int) -> bool:
@@ -312,8 +317,9 @@ def _settled(nodes: DataFrame, order: Broadcast) -> np.ndarray:
 
 
 def candidates(nodes: DataFrame, percent: int, settled: np.ndarray) -> DataFrame:
-    """Distinct (key, grp) that must be compared: some member of the group has
-    another label, is not larger, fits in size and shares a prefix shingle."""
+    """Distinct (key, grp) that must be compared: members of the group have
+    another label, are not larger, fit in size and share as many prefix
+    shingles as a link to the smallest of them takes."""
     bits, spark = _range_bits(nodes), nodes.sparkSession
     kinds = (np.uint32, np.int64, np.int64, np.int64, np.int32)
     ddl = "bucket int, shingle binary, key binary, grp binary, label binary, n binary"
@@ -328,80 +334,97 @@ def candidates(nodes: DataFrame, percent: int, settled: np.ndarray) -> DataFrame
         prefixes = rb.column(4).to_pylist()
         size = np.array([len(p) // 8 for p in prefixes], np.int64)
         shingle = np.frombuffer(b"".join(prefixes), np.uint64)
-        n = rb.column(3).to_numpy()
-        # Negative sizes mark shingles of the probe prefix beyond the index prefix.
-        place = np.arange(len(shingle)) - np.repeat(np.cumsum(size) - size, size)
-        index = np.array([index_length(int(x), percent) for x in n], np.int64)
-        signed = np.where(place < np.repeat(index, size), np.repeat(n, size), -np.repeat(n, size)).astype(np.int32)
         order = np.argsort(shingle, kind="stable")
         if len(skipped.value):
             order = order[~np.isin((shingle[order] >> np.uint64(32)).astype(np.uint32), skipped.value)]
         bucket = (shingle[order] >> np.uint64(64 - bits)).astype(np.int32)
         # Within a bucket 32 bits tell shingles apart; a clash costs a comparison.
-        columns = [((shingle[order] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), *(np.repeat(rb.column(k).to_numpy(), size)[order] for k in range(3)), signed[order]]
+        columns = [((shingle[order] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), *(np.repeat(rb.column(k).to_numpy(), size)[order].astype(kinds[k + 1]) for k in range(4))]
         at = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = np.append(at[1:], len(bucket))
         blobs = [pa.array([c[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()) for c in columns]
         return pa.RecordBatch.from_arrays([pa.array(bucket[at]), *blobs], schema=shape)
 
-    found = arrow_schema(spark, "key bigint, grps array<bigint>")
+    pairs = "key bigint, grp bigint, hits bigint, least bigint"
+    found = arrow_schema(spark, pairs)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_bucket(batches, 5):
             columns = [np.frombuffer(b"".join(b), t) for b, t in zip(blobs, kinds, strict=True)]
             order = np.argsort(columns[0], kind="stable")
-            shingle, key, group, label, signed = (c[order] for c in columns)
+            shingle, key, group, label, n = (c[order] for c in columns)
             starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
             ends = np.append(starts[1:], len(shingle))
             # Runs of one shingle that hold more than one label.
             several = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)
-            out_key, out_group, held = [], [], 0
+            out, held = [], 0
             for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
-                for x, g in _run_pairs(key[a:b], group[a:b], label[a:b], signed[a:b], percent):
-                    out_key.append(x)
-                    out_group.append(g)
-                    held += len(x)
+                for hit in _run_pairs(key[a:b], group[a:b], label[a:b], n[a:b].astype(np.int64), percent):
+                    out.append(hit)
+                    held += len(hit[0])
                     if held > 1_000_000:
-                        yield _distinct(out_key, out_group)
-                        out_key, out_group, held = [], [], 0
+                        yield _counted(out)
+                        out, held = [], 0
             if held:
-                yield _distinct(out_key, out_group)
+                yield _counted(out)
 
-    def _distinct(a: list, b: list) -> pa.RecordBatch:
-        """One row a query, with the groups that it meets in this range."""
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        at = np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0]))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(pairs)).astype(np.int32)), pa.array(pairs[:, 1]))
-        return pa.RecordBatch.from_arrays([pa.array(pairs[at, 0]), lists.cast(found.field(1).type)], schema=found)
+    def _counted(hits: list[tuple]) -> pa.RecordBatch:
+        """One row a query and group that meet in this range: at how many
+        shingles, and how many a link takes at least."""
+        key, group, least = (np.concatenate(c) for c in zip(*hits, strict=True))
+        order = np.lexsort((least, group, key))
+        key, group, least = key[order], group[order], least[order]
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (key[at], group[at], np.diff(np.append(at, len(key))), least[at])], schema=found)
 
     packed = nodes.select("key", "grp", "label", "n", "prefix").mapInArrow(pack, ddl)
-    met = _deal(packed).mapInArrow(meet, "key bigint, grps array<bigint>")
-    return met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("grps"))).alias("grps")).select("key", F.explode("grps").alias("grp"))
+    met = _deal(packed).mapInArrow(meet, pairs)
+    return met.groupBy("key", "grp").agg(F.sum("hits").alias("hits"), F.min("least").alias("least")).filter("hits >= least").select("key", "grp")
 
 
-def _run_pairs(key: np.ndarray, group: np.ndarray, label: np.ndarray, signed: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries and groups that meet at one shingle. Sizes of a group's members
-    of one label are sorted, so whether one of them fits is one binary search
-    a query of another label."""
-    n = np.abs(signed).astype(np.int64)
+def _run_pairs(key: np.ndarray, group: np.ndarray, label: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries and groups that meet at one shingle, and how many shingles a
+    link of the two takes. Sizes of a group's members of one label are sorted,
+    so the least of them that fits is one binary search a query of another
+    label."""
     low = needed(n, percent)
+
+    def fitting(asked: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some queries those for which some member fits, and the size of
+        the least that does. Of equal sizes the larger label is the query."""
+        if own & 1:
+            asked = asked[group[asked] != own]
+        sizes = n[members]
+        least = np.searchsorted(sizes, low[asked])
+        size = sizes[np.minimum(least, len(sizes) - 1)]
+        fits = (least < len(sizes)) & (size <= n[asked] - (label[asked] <= label[members].min()))
+        return asked[fits], size[fits]
+
     by_label = np.argsort(label, kind="stable")
     in_order = label[by_label]
-    indexed = np.flatnonzero(signed > 0)
-    order = indexed[np.lexsort((n[indexed], label[indexed], group[indexed]))]
+    order = np.lexsort((n, label, group))
     for a, b in _stretches(group[order]):
         members = order[a:b]
         own, parts = group[members[0]], list(_stretches(label[members]))
         # Labels one by one, but of many only the largest: the rest together.
         first = max(parts, key=lambda p: p[1] - p[0])
         few = parts if len(parts) <= 4 else [first]
-        several = [] if few is parts else [np.concatenate([members[: first[0]], members[first[1] :]])]
+        fits = []
         for c, d in few:
             x = label[members[c]]
             i, j = np.searchsorted(in_order, x), np.searchsorted(in_order, x, "right")
-            yield from _fitting(np.concatenate([by_label[:i], by_label[j:]]), n[members[c:d]], own, key, group, n, low)
-        for part in several:
-            yield from _fitting(by_label, np.sort(n[part]), own, key, group, n, low)
+            fits.append(fitting(np.concatenate([by_label[:i], by_label[j:]]), members[c:d]))
+        if few is not parts:
+            rest = np.concatenate([members[: first[0]], members[first[1] :]])
+            fits.append(fitting(by_label, rest[np.argsort(n[rest], kind="stable")]))
+        asked, size = (np.concatenate(c) for c in zip(*fits, strict=True))
+        if len(fits) > 1:  # a query counts once, with the smallest member that fits
+            by_query = np.lexsort((size, asked))
+            asked, size = asked[by_query], size[by_query]
+            once = np.append(True, asked[1:] != asked[:-1])[: len(asked)]
+            asked, size = asked[once], size[once]
+        if len(asked):
+            yield key[asked], np.full(len(asked), own, np.int64), shared(n[asked], size, percent)
 
 
 def _stretches(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -410,18 +433,6 @@ def _stretches(values: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(at.tolist(), [*at[1:].tolist(), len(values)], strict=True)
 
 
-def _fitting(asked: np.ndarray, sizes: np.ndarray, own: int, key: np.ndarray, group: np.ndarray, n: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of some queries those for which one of the sorted sizes fits."""
-    if own & 1:
-        asked = asked[group[asked] != own]
-    least = np.searchsorted(sizes, low[asked])
-    fits = least < len(sizes)
-    fits[fits] = sizes[least[fits]] <= n[asked][fits]
-    if fits.any():
-        x = key[asked[fits]]
-        yield x, np.full(len(x), own, np.int64)
-
-
 class Group:
     """One group's members, and its row of the token-group matrix."""
 
@@ -608,19 +619,23 @@ def join(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent(docs, words))
     release(spark)
-    rows = written(signatures(docs, words, percent, order))
+    rows = written(signatures(docs, words, percent, order).withColumn("place", F.monotonically_increasing_id()))
     # Cut, so that joins with it have plain exchanges on both sides and a large
-    # group of equal sets can be split.
-    reps = cut(rows.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("rep")).select("digest", F.col("rep.id").alias("node"), F.col("rep.mark").alias("mark")))
-    nodes = rows.withColumnRenamed("id", "node").join(reps, ["digest", "node", "mark"], "left_semi").dropDuplicates(["node", "digest"])
-    nodes = written(_grouped(nodes.withColumn("key", F.xxhash64("node", "mark"))))
+    # group of equal sets can be split. What is beside the id is the same in all
+    # rows of a set, or tells which row's prefix is taken.
+    rep = F.min(F.struct(F.col("id").alias("node"), "mark", "place", "n", "low", "common"))
+    reps = cut(rows.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(rep.alias("rep")).select("digest", "rep.*"))
+    nodes = written(_grouped(reps.withColumn("key", F.xxhash64("node", "mark"))))
     keyed = docs.filter("id IS NOT NULL")
     roots = cut(components(levels(keyed, nodes, words, percent)).select("node", F.col("root").alias("label")))
     release(spark)
     few = roots.count() <= BROADCAST_ROWS
     labelled = nodes.join(F.broadcast(roots) if few else roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nodes = written(_regrouped(labelled if few else cut(labelled)))
-    cand = cut(candidates(nodes, percent, _settled(nodes, order)))
+    # The one shuffle of prefixes.
+    posted = written(rows.select("place", "prefix").join(nodes.select("place", "key", "grp", "label", "n"), "place"))
+    release(spark)
+    cand = cut(candidates(posted, percent, _settled(posted, order)))
     release(spark)
     last = cut(components(opened(keyed, nodes, cand, words, percent)).select(F.col("node").alias("label"), "root"))
     of_set = reps.select("digest", "node").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")).join(last, "label", "left")

@@ -198,6 +198,29 @@ def test_rounds_and_finish(spark, monkeypatch, finish):
     assert {r.i for r in v.survivors("urn:d").collect()} == {i for i, _ in docs} - set(sequential(docs))
 
 
+def test_hot_key_among_several(spark, monkeypatch):
+    """Places of a hot key are not sent to the one task of that key, however
+    well they compress: it is a broadcast even where joins may not choose one."""
+    from veridoc.operators import keys
+
+    monkeypatch.setattr(keys, "HOT", 50, raising=False)
+    monkeypatch.setattr(keys, "FINISH", 0)
+    docs = [(i, (i % 2 or None, i // 3, True)) for i in range(400)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in docs], "i int, a int, b int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        v = Validator(load({"$schema": D7, "$id": "urn:d", "allOf": [{"unique": ["a"]}, {"primary_key": ["b"]}]})).bind("urn:d", df, ["i"])
+        found = v.duplicates("urn:d").select("i", "key", "holder")
+        got = {}
+        for r in found.collect():
+            got[r.i] = got.get(r.i, 0) + 1
+        assert got == {i: n for i, n in sequential(docs).items() if n}
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 KEY = {"unique": True}
 
 

@@ -33,6 +33,8 @@ REASONS = {"unique": "dup_unique", "primary_key": "dup_pk"}
 BROADCAST_KEYS = 100_000
 #: Undecided keys that one task decides: some 200 MB.
 FINISH = 500_000
+#: Places of a key from which on it is hot.
+HOT = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -162,29 +164,46 @@ def first_come(df: DataFrame, root: Value, d: KeyDef, compiler: Compiler, order:
     return keyed.join(taken, "__key", "left").withColumn("__late", F.coalesce(F.col("__ord") > F.col("__first"), no())).drop("__ord", "__first")
 
 
-def greedy(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rejected documents (doc) and the accepted documents' keys (doc, def,
-    key) of keys (doc, pos, def, key) of ``placed`` documents."""
-    own = keys.groupBy("doc", "def", "key").agg(F.count("*").alias("n"))
-    twice = cut(own.filter("n > 1").select("doc").distinct())
-    single = own.join(twice, "doc", "left_anti").select("doc", "def", "key")
-    shared = few(cut(single.groupBy("def", "key").agg(F.count("*").alias("n")).filter("n > 1").select("def", "key")))
-    left = cut(single.join(shared, ["def", "key"], "left_semi"))
-    rejected = [twice]
+def contests(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys that occur more than once, (kid, hot, def, key), and where they do,
+    (doc, pos, kid, hot, again, rep, m), of keys (doc, pos, def, key): whether a
+    key is there again, whether any key of the document is, and how many
+    contested places the document has. Both cut; from here a key is a number."""
+    counts = rows.groupBy("def", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(counts.select(F.monotonically_increasing_id().alias("kid"), (F.col("n") > HOT).alias("hot"), "def", "key"))
+    on, hot = ["def", "key"], F.broadcast(shared.filter("hot"))
+    cold = rows.join(hot, on, "left_anti").join(shared.filter("NOT hot"), on)
+    places = cold.union(rows.join(hot, on).select(cold.columns)).select("doc", "pos", "kid", "hot")
+    own = Window.partitionBy("doc")
+    places = places.withColumn("again", F.coalesce(F.lag("kid").over(own.orderBy("kid", "pos")) == F.col("kid"), no()))
+    return shared, cut(places.withColumns({"rep": F.max("again").over(own), "m": F.count("*").over(own)}))
+
+
+def by_kid(places: DataFrame, keys: DataFrame, how: str = "inner") -> DataFrame:
+    """``places`` with columns of ``keys``, one row a key. Hot keys are few, as
+    each has more than ``HOT`` places, and are a broadcast: adaptive execution
+    does not see them, since rows of one key compress to little."""
+    cold = places.filter("NOT hot").join(keys.filter("NOT hot").drop("hot"), "kid", how)
+    return cold.unionByName(places.filter("hot").join(F.broadcast(keys.filter("hot").drop("hot")), "kid", how))
+
+
+def greedy(places: DataFrame) -> DataFrame:
+    """Rejected documents (doc) of ``contests``."""
+    rejected = [places.filter("rep").select("doc").distinct()]
+    left = places.filter("NOT rep").select("doc", "kid", "hot", "m")
+    own = Window.partitionBy("doc")
     while (n := left.count()) > FINISH:
-        firsts = left.groupBy("def", "key").agg(F.min("doc").alias("first"))
-        winners = left.join(firsts, ["def", "key"]).groupBy("doc").agg(F.min(F.col("doc") == F.col("first")).alias("won")).filter("won").select("doc")
-        taken = left.join(winners, "doc", "left_semi").select("def", "key")
-        open_ = left.join(winners, "doc", "left_anti")
-        losers = cut(open_.join(taken, ["def", "key"], "left_semi").select("doc").distinct())
-        left = cut(open_.join(losers, "doc", "left_anti"))
-        rejected.append(losers)
+        firsts = left.groupBy("kid").agg(F.min("doc").alias("first"), F.min_by("m", "doc").alias("m"), F.max("hot").alias("hot"))
+        taken = firsts.withColumn("n", F.count("*").over(Window.partitionBy("first"))).filter("n = m").select("kid", "hot", "first")
+        met = by_kid(left, taken, "left").withColumns({"won": F.coalesce(F.max(F.col("first") == F.col("doc")).over(own), no()), "lost": F.coalesce(F.max(F.col("first") != F.col("doc")).over(own), no())})
+        state = cut(met.filter("NOT won").select("doc", "kid", "hot", "m", "lost"))
+        rejected.append(state.filter("lost").select("doc").distinct())
+        left = state.filter("NOT lost").drop("lost")
         if len(rejected) == 16:  # a short plan, however many rounds
             rejected = [cut(_union(rejected))]
     if n:
         rejected.append(in_order(left))
-    gone = cut(_union(rejected))
-    return gone, single.join(gone, "doc", "left_anti")
+    return cut(_union(rejected))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -200,7 +219,7 @@ def in_order(left: DataFrame) -> DataFrame:
     shape = to_arrow_schema(left.select("doc").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken: set[str] = set()
+        taken: set[int] = set()
         for rb in batches:
             late = []
             for own in rb.column(1).to_pylist():
@@ -209,15 +228,19 @@ def in_order(left: DataFrame) -> DataFrame:
                     taken.update(own)
             yield pa.RecordBatch.from_arrays([rb.column(0).filter(pa.array(late, pa.bool_()))], schema=shape)
 
-    docs = left.groupBy("doc").agg(F.collect_list(F.concat(F.col("def").cast("string"), F.lit(" "), F.col("key"))).alias("own"))
+    docs = left.groupBy("doc").agg(F.collect_list("kid").alias("own"))
     return docs.coalesce(1).sortWithinPartitions("doc").mapInArrow(run, "doc bigint")
 
 
-def duplicates(keys: DataFrame, accepted: DataFrame) -> DataFrame:
-    """(doc, def, key, pos, held) of occurrences that repeat a key of an
-    earlier accepted document, or an earlier place of their own document: the
-    document that holds the key."""
-    holders = accepted.select("def", "key", F.col("doc").alias("held"))
-    other = keys.join(holders, ["def", "key"]).filter(F.col("held") < F.col("doc")).select("doc", "def", "key", "pos", "held")
-    again = keys.withColumn("__n", F.row_number().over(Window.partitionBy("doc", "def", "key").orderBy("pos"))).filter("__n > 1").select("doc", "def", "key", "pos", F.col("doc").alias("held"))
-    return other.union(again).groupBy("doc", "def", "key", "pos").agg(F.min("held").alias("held"))
+def duplicates(shared: DataFrame, places: DataFrame, rejected: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, def, key, pos, holder, ids) of occurrences that repeat a key of an
+    earlier accepted document, the holder, or an earlier place of their own
+    document. Texts are put to rows last, so that joins move numbers."""
+    own = docs.select(F.col("place").alias("doc"), F.col("doc").alias("ids"))
+    held = places.filter("NOT rep").join(rejected, "doc", "left_anti").select("kid", F.col("doc").alias("held"))
+    late = F.coalesce(F.col("held") < F.col("doc"), no()).alias("late")
+    found = by_kid(places, shared.select("kid", "hot").join(held, "kid", "left")).select("doc", "pos", "kid", "hot", "again", late)
+    found = found.filter("late OR again").join(own, "doc")
+    holders = held.join(own.select(F.col("doc").alias("held"), F.to_json("ids").alias("holder")), "held").drop("held")
+    holder = F.when(F.col("late"), F.col("holder")).otherwise(F.to_json("ids")).alias("holder")
+    return by_kid(found, shared.join(holders, "kid", "left")).select("doc", "def", "key", "pos", holder, "ids")

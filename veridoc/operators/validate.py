@@ -172,25 +172,25 @@ class Validator:
         out = self.bound[uri].df.sparkSession.createDataFrame(rows, "def int, key string, source string").groupBy("def", "key").agg(F.min("source").alias("source"))
         return F.broadcast(out) if len(rows) <= K.BROADCAST_KEYS else out
 
-    def _settled(self, uri: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """Documents in order, their keys, places of rejected ones and accepted
-        keys."""
+    def _settled(self, uri: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Documents in order, their keys, contested keys and their places, and
+        places of rejected documents."""
         if uri not in self._greedy:
             b = self.bound[uri]
             docs = K.placed(self.valid(uri), b.root, self._enforced(uri), self.compiler(b.schema), b.ids, b.ord)
             rows, provided = K.spread(docs, "place"), self._provided(uri)
+            shared, places = K.contests(rows)
             if provided is None:
-                rejected, accepted = K.greedy(rows)
+                rejected = K.greedy(places)
             else:
                 barred = K.cut(rows.join(provided, ["def", "key"], "left_semi").select("doc").distinct())
-                rejected, accepted = K.greedy(rows.join(barred, "doc", "left_anti"))
-                rejected = K.cut(rejected.union(barred).distinct())
-            self._greedy[uri] = (docs, rows, rejected, accepted)
+                rejected = K.cut(K.greedy(places.join(barred, "doc", "left_anti")).union(barred).distinct())
+            self._greedy[uri] = (docs, rows, shared, places, rejected)
         return self._greedy[uri]
 
     def rejected(self, uri: str) -> DataFrame:
         """ids of documents that several keys a document withdraw."""
-        docs, _, rejected, _ = self._settled(uri)
+        docs, *_, rejected = self._settled(uri)
         return docs.join(rejected.withColumnRenamed("doc", "place"), "place", "left_semi").select("doc.*")
 
     def _first_come(self, uri: str) -> DataFrame:
@@ -214,14 +214,13 @@ class Validator:
                 ranked = ranked.join(provided.select(F.col("key").alias("__key"), F.col("source").alias("__source")), "__key", "left")
                 holder = F.coalesce("__source", holder)
             return ranked.withColumn("__holder", holder).filter(F.col("__holder").isNotNull()).select(*b.ids, *self._names(F.lit(0), defs), F.col("__key").alias("key"), F.col("__holder").alias("holder"))
-        docs, rows, _, accepted = self._settled(uri)
-        held = docs.select(F.col("place").alias("held"), F.to_json("doc").alias("holder"))
-        found = K.duplicates(rows, accepted).join(held, "held").drop("held")
+        docs, rows, shared, places, rejected = self._settled(uri)
+        found = K.duplicates(shared, places, rejected, docs)
         if provided is not None:
-            given = rows.join(provided, ["def", "key"]).select("doc", "def", "key", "pos", F.col("source").alias("holder"))
-            found = found.union(given).groupBy("doc", "def", "key", "pos").agg(F.min("holder").alias("holder"))
-        found = found.withColumnRenamed("doc", "place").join(docs.select("place", "doc"), "place")
-        return found.select("doc.*", *self._names(F.col("def"), defs), "key", "holder")
+            own = docs.select(F.col("place").alias("doc"), F.col("doc").alias("ids"))
+            given = rows.join(provided, ["def", "key"]).join(own, "doc").select("doc", "def", "key", "pos", F.col("source").alias("holder"), "ids")
+            found = found.union(given).groupBy("doc", "def", "key", "pos").agg(F.min("holder").alias("holder"), F.first("ids").alias("ids"))
+        return found.select("ids.*", *self._names(F.col("def"), defs), "key", "holder")
 
     @staticmethod
     def _names(which: Column, defs: list[KeyDef]) -> list[Column]:

@@ -221,6 +221,21 @@ def test_hot_key_among_several(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_sort_moves_no_keys(spark, monkeypatch):
+    """The sort reads its input twice; keys of the columns that it moves are
+    made after it, once."""
+    from veridoc.operators import keys
+
+    monkeypatch.setattr(keys, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    s = load({"$schema": D7, "$id": "urn:d", "allOf": [{"unique": ["a"]}, {"unique": ["b"]}]})
+    for order, after in ((["a", "b"], True), (["a"], False)):
+        plans: list[str] = []
+        v = Validator(s).bind("urn:d", spark.createDataFrame([(2, 1), (1, 1)], "a int, b int"), ["a"], order)
+        v.rejected("urn:d")
+        sort = plans[0].rindex("rangepartitioning")
+        assert ("concat(" in plans[0][sort:]) is not after
+
+
 KEY = {"unique": True}
 
 

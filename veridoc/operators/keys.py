@@ -109,12 +109,26 @@ def key_rows(df: DataFrame, root: Value, defs: list[KeyDef], compiler: Compiler,
     return spread(df.select(_doc(ids).alias("doc"), _all_keys(root, defs, compiler, ids).alias("keys")))
 
 
-def placed(df: DataFrame, root: Value, defs: list[KeyDef], compiler: Compiler, ids: list[str], order: Column) -> DataFrame:
+def placed(df: DataFrame, root: Value, defs: list[KeyDef], compiler: Compiler, ids: list[str], order: list[str]) -> DataFrame:
     """(place, doc, keys): documents in their order, numbered, so that deciding
     between them moves a number for each. Cut, as a second sort may number
-    otherwise."""
-    rows = df.select(_doc(ids).alias("doc"), order.alias("ord"), _all_keys(root, defs, compiler, ids).alias("keys"))
-    return cut(rows.orderBy("ord").select(F.monotonically_increasing_id().alias("place"), "doc", "keys"))
+    otherwise. The sort reads its input twice, so keys that follow from the
+    columns it moves anyway are made after it."""
+    keys, by = _all_keys(root, defs, compiler, ids).alias("keys"), [F.col(f"`{c}`") for c in order]
+    place = F.monotonically_increasing_id().alias("place")
+    moved = dict.fromkeys([*ids, *order])
+    if _needs(df, keys) <= set(moved):
+        return cut(df.select(*[F.col(f"`{c}`") for c in moved]).orderBy(*by).select(place, _doc(ids).alias("doc"), keys))
+    rows = df.select(_doc(ids).alias("doc"), F.struct(*by).alias("ord"), keys)
+    return cut(rows.orderBy("ord").select(place, "doc", "keys"))
+
+
+def _needs(df: DataFrame, c: Column) -> set[str]:
+    """Names of the columns that a column is made of."""
+    found, out = df.select(c)._jdf.queryExecution().analyzed().expressions().head().references().iterator(), set()
+    while found.hasNext():
+        out.add(found.next().name())
+    return out
 
 
 def spread(rows: DataFrame, doc: str = "doc") -> DataFrame:

@@ -177,7 +177,7 @@ class Validator:
         places of rejected documents."""
         if uri not in self._greedy:
             b = self.bound[uri]
-            docs = K.placed(self.valid(uri), b.root, self._enforced(uri), self.compiler(b.schema), b.ids, b.ord)
+            docs = K.placed(self.valid(uri), b.root, self._enforced(uri), self.compiler(b.schema), b.ids, b.order)
             rows, provided = K.spread(docs, "place"), self._provided(uri)
             shared, places = K.contests(rows)
             if provided is None:

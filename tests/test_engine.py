@@ -236,6 +236,19 @@ def test_sort_moves_no_keys(spark, monkeypatch):
         assert ("concat(" in plans[0][sort:]) is not after
 
 
+def test_postings_keep_no_table(spark):
+    """Keys are counted with no group for each key of each document; rows of
+    one document count once, in each place of a declaration."""
+    rows = [(1, 7, ["a", "b", "a"]), (1, 7, ["b"]), (2, None, ["a"]), (None, 7, ["a"]), (None, 7, []), (3, 8, [])]
+    df = spark.createDataFrame(rows, "i int, a int, k array<string>")
+    s = load({"$schema": D7, "$id": "urn:d", "allOf": [{"index": ["k"]}, {"index": ["a"]}]})
+    got = Validator(s).bind("urn:d", df, ["i"]).postings("urn:d")
+    want = {("/allOf/0", '["a"]', 3), ("/allOf/0", '["b"]', 1), ("/allOf/1", "[7]", 2), ("/allOf/1", "[8]", 1)}
+    assert {tuple(r) for r in got.select("pointer", "key", "n_docs").collect()} == want
+    groups = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert len(groups) == 1 and "i#" not in groups[0]
+
+
 KEY = {"unique": True}
 
 

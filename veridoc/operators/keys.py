@@ -103,10 +103,34 @@ def keys_of(df: DataFrame, root: Value, d: KeyDef | RefDef, compiler: Compiler,
     return df.select(*keep, F.explode(F.array_distinct(extract(root, d, compiler))).alias("__key"))
 
 
-def key_rows(df: DataFrame, root: Value, defs: list[KeyDef], compiler: Compiler, ids: list[str]) -> DataFrame:
-    """(doc, pos, def, key): one row a key, from one scan for all
-    declarations. A scoped key begins with its document."""
-    return spread(df.select(_doc(ids).alias("doc"), _all_keys(root, defs, compiler, ids).alias("keys")))
+def postings(df: DataFrame, root: Value, defs: list[KeyDef], compiler: Compiler, ids: list[str]) -> DataFrame:
+    """(pointer, key, n_docs): in how many documents each key is. A row gives
+    each of its keys once, and rows of one document are next to each other in
+    one task, so that keys can be counted without a table of who has them. A
+    scoped key begins with its document."""
+    pointers, own = list(dict.fromkeys(d.pointer for d in defs)), Window.partitionBy(*[F.col(f"`{c}`") for c in ids])
+    texts = []
+    for p in pointers:
+        found = [F.transform(extract(root, d, compiler), _after(_scope(d, ids))) if d.scoped else extract(root, d, compiler) for d in defs if d.pointer == p]
+        texts.append(F.array_distinct(F.concat(*found)).alias(f"__keys{len(texts)}"))
+    names = [f"__keys{i}" for i in range(len(texts))]
+    rows = df.select(*[F.col(f"`{c}`") for c in ids], *texts).withColumns({"__n": F.count("*").over(own), **{f"{x}s": F.collect_list(x).over(own) for x in names}})
+    rows = rows.withColumn("__row", F.row_number().over(own.orderBy(*[F.col(f"`{c}`") for c in ids]))).filter("__row = 1")
+    each = [F.when(F.col("__n") == 1, F.col(x)).otherwise(F.array_distinct(F.flatten(f"{x}s"))) for x in names]
+    keys = rows.select(F.explode(F.concat(*[F.transform(x, _at(p)) for x, p in zip(each, pointers, strict=True)])).alias("k"))
+    return keys.groupBy(F.col("k.pointer").alias("pointer"), F.col("k.key").alias("key")).agg(F.count("*").alias("n_docs"))
+
+
+def _scope(d: KeyDef, ids: list[str]) -> Column:
+    return F.concat(F.to_json(_doc(ids)), F.lit("|")) if d.scoped else F.lit("")
+
+
+def _after(prefix: Column):
+    return lambda k: F.concat(prefix, k)
+
+
+def _at(pointer: str):
+    return lambda k: F.struct(F.lit(pointer).alias("pointer"), k.alias("key"))
 
 
 def placed(df: DataFrame, root: Value, defs: list[KeyDef], compiler: Compiler, ids: list[str], order: list[str]) -> DataFrame:
@@ -143,8 +167,7 @@ def _doc(ids: list[str]) -> Column:
 def _all_keys(root: Value, defs: list[KeyDef], compiler: Compiler, ids: list[str]) -> Column:
     arrays = []
     for i, d in enumerate(defs):
-        prefix = F.concat(F.to_json(_doc(ids)), F.lit("|")) if d.scoped else F.lit("")
-        arrays.append(F.transform(extract(root, d, compiler), _tagged(i, prefix)))
+        arrays.append(F.transform(extract(root, d, compiler), _tagged(i, _scope(d, ids))))
     return F.concat(*arrays)
 
 

@@ -245,9 +245,7 @@ class Validator:
         """(def, key, n_docs) of a kind of key over the surviving documents."""
         b = self.bound[uri]
         defs = [k for k in b.schema.keys if k.kind == kind]
-        rows = K.key_rows(self.survivors(uri), b.root, defs, self.compiler(b.schema), b.ids)
-        name = F.element_at(F.array(*[F.lit(d.pointer) for d in defs]), F.col("def") + 1)
-        return rows.select(name.alias("pointer"), "key", "doc").distinct().groupBy("pointer", "key").agg(F.count("*").alias("n_docs"))
+        return K.postings(self.survivors(uri), b.root, defs, self.compiler(b.schema), b.ids)
 
     # --- pass 2 ----------------------------------------------------------------
 
